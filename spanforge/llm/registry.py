@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from spanforge.llm.chat import OP9_SQL, op9_preference
+from spanforge.llm.fingerprints import op2_minhash
 from spanforge.llm.sharding import op4_virtual_slots
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op4_virtual_slots": op4_virtual_slots,
     "op9_preference": op9_preference,
 }
