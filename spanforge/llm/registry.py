@@ -5,8 +5,10 @@ from __future__ import annotations
 from spanforge.llm.chat import OP9_SQL, op9_preference
 from spanforge.llm.fingerprints import op2_minhash
 from spanforge.llm.sharding import op4_virtual_slots
+from spanforge.llm.simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_minhash": op2_minhash,
     "op4_virtual_slots": op4_virtual_slots,
     "op9_preference": op9_preference,
