@@ -6,8 +6,10 @@ from spanforge.llm.chat import OP9_SQL, op9_preference
 from spanforge.llm.fingerprints import op2_minhash
 from spanforge.llm.sharding import op4_virtual_slots
 from spanforge.llm.simhash import op1_simhash
+from spanforge.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op1_simhash": op1_simhash,
     "op2_minhash": op2_minhash,
     "op4_virtual_slots": op4_virtual_slots,
