@@ -29,6 +29,7 @@ LOW_BITS = 8
 WORDS = 5
 TRIES = 10
 RANGE = 64
+NULL_RANGE = -(1 << 60)
 WHITE = " \t\n\u000b\f\r"
 
 
@@ -89,29 +90,27 @@ def packed(fingerprint: Column) -> Column:
 
 def _following(ranges: DataFrame) -> DataFrame:
     """For each range number (column _r, distinct) the next lower one, and the highest after the lowest."""
-    down = lambda part, by: W.partitionBy(*part).orderBy(F.desc_nulls_last(by))
+    down = lambda part, by: W.partitionBy(*part).orderBy(F.desc(by))
     two = ranges.withColumn("_s", F.floor(F.col("_r") / 4096))
     near = two.withColumn("_n", F.lead("_r").over(down(["_s"], "_r")))
     tops = two.groupBy("_s").agg(F.max("_r").alias("_top"))
-    tops = tops.withColumns({"_below": F.lead("_top").over(down([], "_s")), "_first": F.max("_top").over(W.partitionBy()), "_nulls": F.max(F.col("_s").isNull()).over(W.partitionBy())})
-    joined = near.join(tops, near["_s"].eqNullSafe(tops["_s"])).drop(tops["_s"])
-    # the null range comes last: what is below the lowest number is the null range, if there is one
-    return joined.select(F.col("_r"), F.when(F.col("_r").isNull(), F.col("_first")).otherwise(F.coalesce("_n", "_below", F.when(~F.col("_nulls"), F.col("_first")))).alias("_next"))
+    tops = tops.select("_s", F.lead("_top").over(down([], "_s")).alias("_below"), F.max("_top").over(W.partitionBy()).alias("_first"))
+    return near.join(tops, "_s").select(F.col("_r"), F.coalesce("_n", "_below", "_first").alias("_next"))
 
 
 def followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text and _fp of every document, and _next_text and _next_fp of the document after it in
-    descending order of id (after the last: the first)."""
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_r", F.floor(F.col("_id") / RANGE))
-    order = W.partitionBy("_r").orderBy(F.desc_nulls_last("_id"), F.desc("_text"))
+    descending order of id (after the last: the first).  The window and the join with the heads deal
+    rows out by the same range number, so that texts are shuffled once."""
+    number = F.coalesce(F.floor(F.col("_id") / RANGE), F.lit(NULL_RANGE))
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_r", number)
+    order = W.partitionBy("_r").orderBy(F.desc("_id"), F.desc("_text"))
     rows = with_fingerprint(base, "_text", "_fp")
     rows = rows.withColumns({"_next_text": F.lead("_text").over(order), "_next_fp": F.lead("_fp").over(order)})
-    heads = base.groupBy("_r").agg(F.max_by("_text", F.struct(F.coalesce("_id", F.lit(0)), "_text")).alias("_head"))
-    after = _following(base.select("_r").distinct())
-    heads = heads.withColumnRenamed("_r", "_hr")
-    heads = after.join(heads, after["_next"].eqNullSafe(heads["_hr"])).select(F.col("_r").alias("_ar"), "_head")
+    heads = base.groupBy("_r").agg(F.max_by("_text", F.struct("_id", "_text")).alias("_head")).withColumnRenamed("_r", "_next")
+    heads = _following(base.select("_r").distinct()).join(heads, "_next").select("_r", "_head")
     heads = with_fingerprint(heads, "_head", "_head_fp")
-    rows = rows.join(heads, rows["_r"].eqNullSafe(heads["_ar"]))
+    rows = rows.join(heads, "_r")
     return rows.select("_id", "_text", "_fp", F.coalesce("_next_text", "_head").alias("_next_text"), F.coalesce("_next_fp", "_head_fp").alias("_next_fp"))
 
 
