@@ -7,9 +7,10 @@ scaling and keeps it a kernel.
 
 Training sees a bounded sample (``MAX_LABELLED`` texts of each label, a documented parameter) of the
 rows it is given.  A text's label is known, the words that cause it are not, so witnesses are chosen
-among a toxic text's words, first by how often a word is in toxic texts and in no clean one, then in
+among a toxic text's words, first by how much more often a word is in toxic texts than in clean ones, then in
 rounds by the machine itself.  Words are mapped to the landmarks' span (Nystroem); a squared-hinge
-machine is solved there; a logistic curve over a text's two highest margins gives the score.
+machine is solved there; a logistic curve over a text's three
+highest margins, its number of words with a high one and its length gives the score.
 
 With landmarks fixed, the decision is one table of weights per subsequence, so that scoring a word
 costs one look-up per subsequence and no kernel evaluations, and a text of any length is read whole.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,7 @@ SPAN = 8
 DECAY = 0.7
 WINDOW = 24
 ALPHABET = 64
+TOP = 3
 THRESHOLD = 0.7
 CACHE = 400_000
 
@@ -51,11 +53,13 @@ _SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 
 
 def clean_word(raw: str) -> str:
-    """A raw run of characters as letters only."""
+    """A raw run of characters as letters only, behind a mark for the word's beginning."""
+    if raw.startswith("^"):
+        return raw if raw[1:].isalpha() else clean_word(raw.lstrip("^"))
     w = raw.strip(_EDGES)
     if not w.isalpha():
         w = _NOT_LETTER.sub("", w.translate(_SWAPS)) if any(c.isalpha() for c in w) else ""
-    return w
+    return f"^{w}" if w else ""
 
 
 def raw_words(text: str) -> set[str]:
@@ -115,12 +119,12 @@ def _scale(window: np.ndarray, n_windows: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A fitted machine: ``weights`` per subsequence, a bias, and a curve from two margins to a score."""
+    """A fitted machine: ``weights`` per subsequence, a bias, and a curve from a text's summary to its score."""
 
     spelling: Spelling
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float, float]
+    curve: tuple[float, ...]
     prior: float | None = None
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -136,12 +140,11 @@ class Model:
         np.maximum.at(out, owner, value)
         return out
 
-    def score(self, top: np.ndarray) -> np.ndarray:
-        """Scores of texts from their two highest margins."""
+    def score(self, told: np.ndarray) -> np.ndarray:
+        """Scores of texts from what ``summary`` tells of them."""
         if self.prior is not None:
-            return np.full(len(top), self.prior)
-        a, b, c = self.curve
-        z = a * np.clip(top[:, 0], -3, 3) + b * np.clip(top[:, 1], -3, 3) + c
+            return np.full(len(told), self.prior)
+        z = _text_features(told) @ np.array(self.curve)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def score_texts(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
@@ -153,19 +156,17 @@ class Model:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             cache.update(zip(part, self.margins([clean_word(w) for w in part]).tolist(), strict=True))
-        top = np.empty((len(texts), 2))
+        told = np.empty((len(texts), TOP + 2))
         for i, words in enumerate(found):
-            first = second = self.bias
-            name = ""
-            for w in words:
-                m = cache[w]
-                if m > second:
-                    if m > first:
-                        first, second, name = m, (first if clean_word(w) != name else second), clean_word(w)
-                    elif clean_word(w) != name:
-                        second = m
-            top[i] = first, second
-        return self.score(top)
+            told[i] = self.summary(((cache[w], w) for w in words), len(words))
+        return self.score(told)
+
+    def summary(self, margins: Iterable[tuple[float, str]], n_words: int) -> list[float]:
+        """The highest margins of different words, how many words have one over 0.3, and how many there are."""
+        high = sorted(((m, w) for m, w in margins if m > 0), reverse=True)
+        best = {clean_word(w): m for m, w in reversed(high)}  # spellings of one word count once
+        values = sorted(best.values(), reverse=True)
+        return [*(values + [min(self.bias, 0.0)] * TOP)[:TOP], sum(m > 0.3 for m in values), n_words]
 
 
 def _features(spelling: Spelling, words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -207,40 +208,46 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.n
     return w[:-1], float(w[-1])
 
 
-def _curve(top: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic curve over two margins, classes weighted evenly."""
-    x = np.hstack([np.clip(top, -3, 3), np.ones((len(y), 1))])
-    w = np.zeros(3)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (weight * (y - p)) - 0.5 * np.r_[w[:2], 0]
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 1e-6])
+def _text_features(told: np.ndarray) -> np.ndarray:
+    """Inputs of the logistic curve from rows of ``Model.summary``."""
+    return np.hstack([np.clip(told[:, :TOP], -2, 2), np.log1p(told[:, TOP:]), np.ones((len(told), 1))])
+
+
+def _curve(told: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """A logistic curve over texts' summaries."""
+    x = _text_features(told)
+    w = np.zeros(x.shape[1])
+    ridge = np.r_[np.full(len(w) - 1, 0.3), 1e-6]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        grad = x.T @ (y - p) - ridge * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        w = w + step
+        w = w + step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(float(v) for v in w)
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Fit on labelled whole texts."""
     y = np.array(toxic, float)
-    sets = [{c for w in raw_words(t) if len(c := clean_word(w)) >= 3} for t in texts]
+    sets = [{c for w in raw_words(t) if len(c := clean_word(w)) >= 4} for t in texts]
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
-        return Model(Spelling({}), np.zeros(1), 0.0, (0.0, 0.0, 0.0), prior=float(y.mean()) if len(y) else 0.0)
+        return Model(Spelling({}), np.zeros(1), 0.0, (0.0,) * (TOP + 3), prior=float(y.mean()) if len(y) else 0.0)
     pos, neg = Counter(), Counter()
     for s, t in zip(sets, y, strict=True):
         (pos if t else neg).update(s)
     odds = {w: np.log((c + 0.2) / (n_pos + 1)) - np.log((neg[w] + 0.2) / (n_neg + 1)) for w, c in pos.items()}
-    strong = lambda w: (pos[w] >= 2 and not neg[w], odds[w] * np.sqrt(pos[w]), w)
+    rare = lambda w: 20 * neg[w] * n_pos <= pos[w] * n_neg  # noqa: E731  twenty times as often in toxic texts
+    strong = lambda w: (pos[w] >= 2 and rare(w), odds[w] * np.sqrt(pos[w]), w)
     toxic_sets = [s for s, t in zip(sets, y, strict=True) if t]
-    witnesses = Counter(w for s in toxic_sets for w in sorted(s, key=strong, reverse=True)[:3] if pos[w] >= min(3, n_pos) and not neg[w])
+    witnesses = Counter(w for s in toxic_sets for w in sorted(s, key=strong, reverse=True)[:3] if pos[w] >= min(3, n_pos) and rare(w))
     common = [w for w, _ in neg.most_common(4000)]
     rng = np.random.default_rng(10)
     rest = sorted(set(neg) - set(common))
-    negatives = common + [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), 12_000), replace=False))] if rest else common
+    negatives = [w for w in common if w not in witnesses] + [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), 12_000), replace=False))] if rest else common
     spelling = Spelling.of(sorted(set(pos) | set(neg)))
     model, hard = None, []
     for _ in range(3):
@@ -251,23 +258,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         landmarks = chosen[:half] + (hard + negatives)[: LANDMARKS - min(half, len(chosen))]
         words = chosen + negatives + hard
         label = np.r_[np.ones(len(chosen)), -np.ones(len(negatives) + len(hard))]
-        cost = np.where(label > 0, 20.0 / len(chosen), 20.0 / (len(negatives) + len(hard))) * 100
+        often = np.array([min(witnesses.get(w, 1), 30) if y_ > 0 else min(neg[w], 30) for w, y_ in zip(words, label, strict=True)], float)
+        cost = 2000 * often / np.where(label > 0, often[label > 0].sum(), often[label < 0].sum())
         k = _features(spelling, words, landmarks)
         own = _features(spelling, landmarks, landmarks)
         value, vector = np.linalg.eigh((own + own.T) / 2)
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
         w, bias = _squared_hinge(k @ root, label, cost)
-        model = Model(spelling, _weights(spelling, landmarks, root @ w), bias, (0.0, 0.0, 0.0))
+        model = Model(spelling, _weights(spelling, landmarks, root @ w), bias, (0.0,) * (TOP + 3))
         every = sorted(set(pos) | set(neg))
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         hard = sorted((w for w in neg if margin[w] > -0.5), key=lambda w: (-margin[w], w))[:2000]
-        witnesses = Counter(w for s in toxic_sets for w in sorted((w for w in s if not neg[w]), key=lambda w: (-margin[w], w))[:2] if margin[w] > 0)
-    cache: dict[str, float] = {}
-    model.curve = (1.0, 0.0, 0.0)
-    top = np.array([sorted([margin[w] for w in s] + [model.bias] * 2)[-2:][::-1] for s in sets])
-    model.curve = _curve(top, y)
-    del cache
+        witnesses = Counter(w for s in toxic_sets for w in sorted((w for w in s if rare(w)), key=lambda w: (-margin[w], w))[:2] if margin[w] > 0)
+    told = np.array([model.summary(((margin[w], w) for w in s), len(s)) for s in sets])
+    model.curve = _curve(told, y)
     return model
 
 
