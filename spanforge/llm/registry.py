@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from spanforge.llm.chat import OP9_SQL, op9_preference
 from spanforge.llm.fingerprints import op2_minhash
+from spanforge.llm.packing import op6_packing
 from spanforge.llm.sharding import op4_virtual_slots
 from spanforge.llm.simhash import op1_simhash
+from spanforge.llm.tokens import op5_byte_bpe
 from spanforge.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_packing": op6_packing,
     "op10_toxicity": op10_toxicity,
     "op1_simhash": op1_simhash,
     "op2_minhash": op2_minhash,
