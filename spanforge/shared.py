@@ -31,12 +31,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanforge-{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files,
-    so a lost executor costs no recomputation of what came before."""
+    so a lost executor costs no recomputation of what came before.  Once the files are written
+    nothing reads the shuffle that made them again, so Spark removes it with the job."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
