@@ -7,10 +7,12 @@ from spanforge.llm.fingerprints import op2_minhash
 from spanforge.llm.packing import op6_packing
 from spanforge.llm.sharding import op4_virtual_slots
 from spanforge.llm.simhash import op1_simhash
+from spanforge.llm.suffixes import op3_suffix
 from spanforge.llm.tokens import op5_byte_bpe
 from spanforge.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_suffix": op3_suffix,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op10_toxicity": op10_toxicity,
