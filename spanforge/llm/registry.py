@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanforge.llm.chat import OP9_SQL, op9_preference
 from spanforge.llm.fingerprints import op2_minhash
+from spanforge.llm.neighbours import op7_cross_polytope
 from spanforge.llm.packing import op6_packing
 from spanforge.llm.sharding import op4_virtual_slots
 from spanforge.llm.simhash import op1_simhash
@@ -12,6 +13,7 @@ from spanforge.llm.tokens import op5_byte_bpe
 from spanforge.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op7_cross_polytope": op7_cross_polytope,
     "op3_suffix": op3_suffix,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
