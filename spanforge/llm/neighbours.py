@@ -45,6 +45,8 @@ SEED = 1000
 
 def shape_for(n: int) -> tuple[int, int, int]:
     """(tables, hashes per table, probes per table) for an index of ``n`` vectors."""
+    if n <= 1 << 13:
+        return 16, 1, 12
     return (16, 1, 5) if n <= 1 << 17 else (32, 2, 48)
 
 

@@ -6,6 +6,7 @@ from spanforge.llm.chat import OP9_SQL, op9_preference
 from spanforge.llm.fingerprints import op2_minhash
 from spanforge.llm.neighbours import op7_cross_polytope
 from spanforge.llm.packing import op6_packing
+from spanforge.llm.pages import op8_main_text
 from spanforge.llm.sharding import op4_virtual_slots
 from spanforge.llm.simhash import op1_simhash
 from spanforge.llm.suffixes import op3_suffix
@@ -13,6 +14,7 @@ from spanforge.llm.tokens import op5_byte_bpe
 from spanforge.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op8_main_text": op8_main_text,
     "op7_cross_polytope": op7_cross_polytope,
     "op3_suffix": op3_suffix,
     "op5_byte_bpe": op5_byte_bpe,
