@@ -244,7 +244,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     strong = lambda w: (pos[w] >= 2 and rare(w), odds[w] * np.sqrt(pos[w]), w)
     toxic_sets = [s for s, t in zip(sets, y, strict=True) if t]
     witnesses = Counter(w for s in toxic_sets for w in sorted(s, key=strong, reverse=True)[:3] if pos[w] >= min(3, n_pos) and rare(w))
-    common = [w for w, _ in neg.most_common(4000)]
+    common = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:4000]]
     rng = np.random.default_rng(10)
     rest = sorted(set(neg) - set(common))
     negatives = [w for w in common if w not in witnesses] + [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), 12_000), replace=False))] if rest else common
