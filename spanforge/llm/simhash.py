@@ -7,8 +7,9 @@ shard's members answers each member's search.  The trees are built where their s
 instead of being broadcast, because a tree of all rows has no size bound.
 
 With more disjoint bands than ``radius`` the pigeonhole principle finds every link (op1: 3 bands,
-radius 2).  ``WIDE`` compares 256 bits, shingles of five words and a Hamming radius that stands for
-a similarity of 0.8, over 40 bands of 20 bits drawn from all bits.
+radius 2).  ``WIDE`` compares 512 bits, shingles of five words and a Hamming radius that stands for
+a similarity of 0.8, over 64 bands of 20 bits
+drawn from all bits.
 
 Equal texts have equal fingerprints, so a group of copies of any size is one member.  A shard of more
 than ``SHARD`` members is dealt to several trees; a member is sought in every tree from its own on,
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.bktree import BKTree, Forest
 from spanforge.llm.components import components
-from spanforge.shared import materialise
+from spanforge.shared import drop_written, materialise
 from spanforge.sources.tables import table
 
 SHARD = 1024
@@ -56,7 +57,7 @@ def _wide_bands(n: int, width: int, bits: int) -> tuple[tuple[int, ...], ...]:
 
 
 NARROW = Spec(64, 3, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))), 2)
-WIDE = Spec(256, 5, _wide_bands(40, 20, 256), 40)
+WIDE = Spec(512, 5, _wide_bands(64, 20, 512), 82)
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -111,7 +112,7 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
 
 
 def _bands(spec: Spec):
-    """Rows (_band, _fp, _rep) of every fingerprint: the band's number and bits as one long."""
+    """Rows (_band, _rep) of every fingerprint: the band's number and bits as one long."""
     masks = np.zeros((len(spec.bands), spec.bits), np.int64)
     for i, band in enumerate(spec.bands):
         masks[i, list(band)] = 1 << np.arange(len(band), dtype=np.int64)
@@ -126,7 +127,7 @@ def _bands(spec: Spec):
             keys = (bits.astype(np.float64) @ masks).astype(np.int64) + tags
             n = len(spec.bands)
             at = pa.array(np.repeat(np.arange(b.num_rows), n))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(0).take(at), b.column(1).take(at)], names=["_band", "_fp", "_rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(1).take(at)], names=["_band", "_rep"])
 
     return run
 
@@ -167,9 +168,11 @@ def _tree_links(radius: int):
 
 def links(members: DataFrame, spec: Spec) -> DataFrame:
     """Edges (u, v) whose components are those of all links. members: (_fp, _rep), distinct in both."""
-    keyed = materialise(members.mapInArrow(_bands(spec), "_band long, _fp binary, _rep long"), "bands")
+    keyed = materialise(members.mapInArrow(_bands(spec), "_band long, _rep long"), "bands")
     sizes = keyed.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = keyed.join(sizes, "_band")
+    met = materialise(keyed.join(sizes, "_band"), "bands")
+    drop_written(members.sparkSession, keyed)
+    met = met.join(members, "_rep")  # fingerprints travel only with bands that meet
     trees = F.ceil(F.col("_n") / SHARD).cast("int")
     met = met.withColumn("_own", F.pmod(F.xxhash64("_fp"), trees).cast("int"))
     met = met.select("_band", F.explode(F.sequence(F.col("_own"), trees - 1)).alias("_tree"), "_own", "_fp", "_rep")
