@@ -1,0 +1 @@
+"""Operators on interval, alignment and variant tables."""
