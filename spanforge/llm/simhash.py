@@ -8,8 +8,8 @@ instead of being broadcast, because a tree of all rows has no size bound.
 
 With more disjoint bands than ``radius`` the pigeonhole principle finds every link (op1: 3 bands,
 radius 2).  ``WIDE`` compares 512 bits, shingles of five words and a Hamming radius that stands for
-a similarity of 0.8, over 64 bands of 20 bits
-drawn from all bits.
+a similarity of 0.8, over bands drawn from all bits, whose width and number follow from the number of
+fingerprints (``bands_for``): recall stays the same at every size, as does the share of chance meetings.
 
 Equal texts have equal fingerprints, so a group of copies of any size is one member.  A shard of more
 than ``SHARD`` members is dealt to several trees; a member is sought in every tree from its own on,
@@ -23,6 +23,7 @@ Repeated rows are kept.  An empty table gives an empty result.  Other columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,21 +44,35 @@ CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Spec:
-    """Fingerprint width in bits, words of a shingle, bands as tuples of bit positions, link radius."""
+    """Fingerprint width in bits, words of a shingle, link radius, and bands as tuples of bit positions;
+    without bands they are drawn for the number of fingerprints (``bands_for``)."""
 
     bits: int
     words: int
-    bands: tuple[tuple[int, ...], ...]
     radius: int
+    bands: tuple[tuple[int, ...], ...] | None = None
 
 
-def _wide_bands(n: int, width: int, bits: int) -> tuple[tuple[int, ...], ...]:
-    rng = np.random.default_rng(20)
-    return tuple(tuple(sorted(int(b) for b in rng.choice(bits, width, replace=False))) for _ in range(n))
+NARROW = Spec(64, 3, 2, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))))
+WIDE = Spec(512, 5, 82)
+#: Similarity and share of its pairs that meet in some band, by which bands are counted.
+SIMILARITY, RECALL = 0.85, 0.95
+
 
+def bands_for(spec: Spec, n: int) -> tuple[tuple[int, ...], ...]:
+    """The spec's bands, or bands for ``n`` fingerprints.
 
-NARROW = Spec(64, 3, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))), 2)
-WIDE = Spec(512, 5, _wide_bands(64, 20, 512), 82)
+    A band is three bits wider than log2(n), so that an unrelated fingerprint shares it with an eighth
+    of another one at any n.  Fingerprints of texts whose shingles are alike to ``SIMILARITY`` agree on
+    a bit with probability p = 1 - arccos(2s / (1 + s)) / pi; there are as many bands as it takes to
+    agree on one of them with probability ``RECALL``."""
+    if spec.bands is not None:
+        return spec.bands
+    width = max(n, 2).bit_length() + 3
+    p = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - p**width))
+    rng = np.random.default_rng(20)
+    return tuple(tuple(sorted(int(b) for b in rng.choice(spec.bits, width, replace=False))) for _ in range(count))
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -111,13 +126,13 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, "_id long, _fp binary")
 
 
-def _bands(spec: Spec):
+def _bands(spec: Spec, bands: tuple[tuple[int, ...], ...]):
     """Rows (_band, _rep) of every fingerprint: the band's number and bits as one long."""
-    masks = np.zeros((len(spec.bands), spec.bits), np.int64)
-    for i, band in enumerate(spec.bands):
+    masks = np.zeros((len(bands), spec.bits), np.int64)
+    for i, band in enumerate(bands):
         masks[i, list(band)] = 1 << np.arange(len(band), dtype=np.int64)
     masks = masks.T.astype(np.float64)  # products stay below 2^53
-    tags = np.arange(len(spec.bands), dtype=np.int64) << 40
+    tags = np.arange(len(bands), dtype=np.int64) << 48
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +140,7 @@ def _bands(spec: Spec):
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
             keys = (bits.astype(np.float64) @ masks).astype(np.int64) + tags
-            n = len(spec.bands)
+            n = len(bands)
             at = pa.array(np.repeat(np.arange(b.num_rows), n))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(1).take(at)], names=["_band", "_rep"])
 
@@ -168,7 +183,8 @@ def _tree_links(radius: int):
 
 def links(members: DataFrame, spec: Spec) -> DataFrame:
     """Edges (u, v) whose components are those of all links. members: (_fp, _rep), distinct in both."""
-    keyed = materialise(members.mapInArrow(_bands(spec), "_band long, _rep long"), "bands")
+    bands = bands_for(spec, members.count() if spec.bands is None else 0)
+    keyed = materialise(members.mapInArrow(_bands(spec, bands), "_band long, _rep long"), "bands")
     sizes = keyed.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = materialise(keyed.join(sizes, "_band"), "bands")
     drop_written(members.sparkSession, keyed)
