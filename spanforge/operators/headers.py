@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINES = "pos int, type string, tags map<string,string>"
 DEFINITIONS = "pos int, kind string, id string, number string, type string, description string, line string"
 
 
@@ -17,8 +16,10 @@ def parse_header(spark: SparkSession, text: str) -> DataFrame:
     rows = []
     for k, line in enumerate(t for t in text.splitlines() if t.startswith("@")):
         kind, *fields = line[1:].split("\t")
-        rows.append((k, kind, {"CO": "\t".join(fields)} if kind == "CO" else dict(f.split(":", 1) for f in fields if ":" in f)))
-    return spark.createDataFrame(rows, LINES)
+        tags = {"CO": "\t".join(fields)} if kind == "CO" else dict(f.split(":", 1) for f in fields if ":" in f)
+        rows.append((k, kind, list(tags), list(tags.values())))
+    arrays = spark.createDataFrame(rows, "pos int, type string, keys array<string>, vals array<string>")
+    return arrays.select("pos", "type", F.map_from_arrays("keys", "vals").alias("tags"))  # tags keep their order
 
 
 def header_text(lines: DataFrame) -> DataFrame:
@@ -30,10 +31,9 @@ def header_text(lines: DataFrame) -> DataFrame:
 
 def add_line(lines: DataFrame, kind: str, **tags: str) -> DataFrame:
     """Lines with one more at the end."""
-    spark = lines.sparkSession
-    top = lines.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"))
-    new = top.crossJoin(F.broadcast(spark.createDataFrame([(kind, tags)], "type string, tags map<string,string>")))
-    return lines.unionByName(new.select(F.col("pos").cast("int").alias("pos"), "type", "tags"))
+    top = lines.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).cast("int").alias("pos"))
+    said = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]).cast("map<string,string>")
+    return lines.unionByName(top.select("pos", F.lit(kind).alias("type"), said.alias("tags")))
 
 
 def _is(kind: str, key: str | None, value: str | None) -> Column:

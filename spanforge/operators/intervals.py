@@ -103,7 +103,9 @@ def merge_regions_dense(regions: DataFrame, scheme: Scheme = STANDARD, level: in
 def complement(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     """What regions leave of contigs (contig, length)."""
     merged = merge_regions(regions).join(contigs, "contig").select("contig", "beg", "end")
-    edges = merged.union(contigs.select("contig", F.lit(0).cast("long"), F.lit(0).cast("long"))).union(contigs.select("contig", F.col("length").cast("long"), F.col("length").cast("long")))
+    # an empty interval at either end of each contig
+    ends = contigs.select("contig", F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("beg")).withColumn("end", F.col("beg") + 0)
+    edges = merged.select("contig", F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("end")).union(ends)
     order = W.partitionBy("contig").orderBy("beg", "end")
     return edges.select("contig", F.lag("end").over(order).alias("_from"), F.col("beg").alias("_to")).where("_to > _from").select("contig", F.col("_from").alias("beg"), F.col("_to").alias("end"))
 
