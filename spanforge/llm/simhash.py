@@ -54,9 +54,9 @@ class Spec:
 
 
 NARROW = Spec(64, 3, 2, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))))
-WIDE = Spec(512, 5, 82)
+WIDE = Spec(512, 5, 86)
 #: Similarity and share of its pairs that meet in some band, by which bands are counted.
-SIMILARITY, RECALL = 0.85, 0.95
+SIMILARITY, RECALL = 0.85, 0.99
 
 
 def bands_for(spec: Spec, n: int) -> tuple[tuple[int, ...], ...]:

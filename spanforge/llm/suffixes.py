@@ -355,17 +355,17 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(every column of docs, _ranges): the rows with their own ranges, as a list or null."""
+    """(every column of docs, __ranges): the rows with their own ranges, as a list or null."""
     keys = _row_key(id_col, text_col)[:2]
-    lists = ranges.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("beg", "end")).alias("_ranges"))
-    keyed = docs.withColumns({"_d": keys[0], "_th": keys[1]})
-    return keyed.join(lists, ["_d", "_th"], "left").drop("_d", "_th")
+    lists = ranges.groupBy(F.col("d").alias("__row_d"), F.col("th").alias("__row_th")).agg(F.collect_list(F.struct("beg", "end")).alias("__ranges"))
+    keyed = docs.withColumns({"__row_d": keys[0], "__row_th": keys[1]})
+    return keyed.join(lists, ["__row_d", "__row_th"], "left").drop("__row_d", "__row_th")
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes that start more than once in the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_ranges(docs, repeated_ranges(docs), "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), "_ranges")
+    rows = with_ranges(docs, repeated_ranges(docs), "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), "__ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
