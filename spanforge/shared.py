@@ -34,11 +34,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 100_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files,
     so a lost executor costs no recomputation of what came before.  Once the files are written
-    nothing reads the shuffle that made them again, so Spark removes it with the job."""
+    nothing reads the shuffle that made them again, so Spark removes it with the job.
+
+    ``rows``, where the caller knows how many there can be at most, bounds the number of files, so
+    that a small table is not written as hundreds of tiny ones."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // ROWS_PER_FILE)))
     path = new_path(spark, name)
     was = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
