@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if done == state or not done[0]:
             break
         state = done
-        after = materialise(_star(_star(now, True), False), "edges")
+        after = materialise(_star(_star(now, True), False), "edges", 2 * done[0])
         drop_written(now.sparkSession, now)
         now = after
     else:

@@ -139,14 +139,15 @@ def _batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 def classify(units: DataFrame) -> DataFrame:
     """Units whose core occurs more than once, with ``n`` (size of the class), ``first`` (whether the
     unit is the class's first) and ``kinds`` (classes with this core)."""
-    again = materialise(units.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"), "cores")
-    left = materialise(units.join(again, "core"), "repeated")
+    most = units.count()  # of a written table: the files' footers
+    again = materialise(units.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"), "cores", most // 2)
+    left = materialise(units.join(again, "core"), "repeated", most)
     place = F.struct("d", "th", (F.col("a") - F.col("o2")).alias("w"))
     classes = left.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_least"))
     kinds = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
     told = classes.join(kinds, "core")
     out = left.join(told, ["core", "full"]).withColumn("first", F.col("_least") == place).drop("_least")
-    out = materialise(out, "classes")
+    out = materialise(out, "classes", most)
     drop_written(units.sparkSession, left)
     drop_written(units.sparkSession, again)
     return out
