@@ -266,6 +266,14 @@ def index_bytes(contigs: list[str], bins: list[tuple], linear: list[tuple], stat
     return b"".join(out)
 
 
+def read_slice_index(spark: SparkSession, path: str) -> DataFrame:
+    """A container index (gzip text): refid, beg (0-based), end, container, slice, size."""
+    f = F.split("value", "\t")
+    at = lambda k: F.get(f, F.lit(k)).cast("long")
+    rows = spark.read.text(path).where("value <> ''")
+    return rows.select(at(0).cast("int").alias("refid"), (at(1) - 1).alias("beg"), (at(1) - 1 + at(2)).alias("end"), at(3).alias("container"), at(4).alias("slice"), at(5).alias("size"))
+
+
 def detect_format(data: bytes) -> str:
     """The format of a file by its first bytes; of blocked and gzip files that of what is inside."""
     if bgzf.block_size(data) is not None:
