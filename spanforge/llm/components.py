@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a group minimum (combined before the shuffle) and an equi-join that adaptive
-execution may split at a hub.  Each round's edges are written to the shared folder, so a lost
-executor repeats one round at most.  Edges whose ends are equal or null connect nothing.
+Every step is a group minimum (combined before the shuffle), written, and an equi-join of edges with
+written minima, which adaptive execution may split at a hub.  A lost executor repeats one step at
+most.  Edges whose ends are equal or null connect nothing.
 """
 
 from __future__ import annotations
@@ -15,20 +15,24 @@ from spanforge.shared import drop_written, materialise
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang each node's larger (large star) or smaller (small star) neighbours under the least one."""
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """Hang each node's larger (large star) or smaller (small star) neighbours under the least one.
+    ``rows`` is about how many edges there are."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = materialise(least.select("u", F.least("u", "m").alias("m")), "least", rows)
     joined = both.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    out = materialise(out.where(F.col("u") != F.col("v")).distinct(), "edges", rows)
+    for done in (least, edges):
+        drop_written(edges.sparkSession, done)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,9 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         if done == state or not done[0]:
             break
         state = done
-        after = materialise(_star(_star(now, True), False), "edges", 2 * done[0])
-        drop_written(now.sparkSession, now)
-        now = after
+        now = _star(_star(now, True, 2 * done[0]), False, 2 * done[0])
     else:
         raise RuntimeError("components did not settle")
     # settled: every edge hangs a node under its component's least node

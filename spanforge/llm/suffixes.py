@@ -143,13 +143,15 @@ def classify(units: DataFrame) -> DataFrame:
     again = materialise(units.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"), "cores", most // 2)
     left = materialise(units.join(again, "core"), "repeated", most)
     place = F.struct("d", "th", (F.col("a") - F.col("o2")).alias("w"))
-    classes = left.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_least"))
-    kinds = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
+    # aggregates are written before they are joined, so that a join may split a core or class that is in
+    # a large share of all rows
+    classes = materialise(left.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_least")), "sizes", most)
+    kinds = materialise(classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")), "kinds", most // 2)
     told = classes.join(kinds, "core")
     out = left.join(told, ["core", "full"]).withColumn("first", F.col("_least") == place).drop("_least")
     out = materialise(out, "classes", most)
-    drop_written(units.sparkSession, left)
-    drop_written(units.sparkSession, again)
+    for done in (left, again, classes, kinds):
+        drop_written(units.sparkSession, done)
     return out
 
 
