@@ -43,12 +43,14 @@ class Scheme:
         """log2 of the width of a level's bins."""
         return self.min_shift + 3 * (self.n_levels - level)
 
-    def _last(self, beg: Column, end: Column) -> Column:
-        return F.least(F.greatest(end - 1, beg), F.lit(self.reach - 1))
+    def _ends(self, beg: Column, end: Column) -> tuple[Column, Column]:
+        """First and last position, as far as the scheme reaches: what lies beyond counts as its last one."""
+        top = F.lit(self.reach - 1)
+        return F.least(beg, top), F.least(F.greatest(end - 1, beg), top)
 
     def reg2bin(self, beg: Column, end: Column) -> Column:
         """The smallest bin that holds the interval."""
-        last = self._last(beg, end)
+        beg, last = self._ends(beg, end)
         out = F.lit(0)
         for level in range(1, self.n_levels + 1):
             s = self.shift(level)
@@ -57,7 +59,7 @@ class Scheme:
 
     def reg2bins(self, beg: Column, end: Column) -> Column:
         """All bins that overlap the interval, as an array."""
-        last = self._last(beg, end)
+        beg, last = self._ends(beg, end)
         parts = [F.sequence(F.shiftright(beg, self.shift(k)) + self.first(k), F.shiftright(last, self.shift(k)) + self.first(k)) for k in range(self.n_levels + 1)]
         return F.transform(F.flatten(F.array(*parts)), lambda b: b.cast("int"))
 
@@ -75,7 +77,8 @@ class Scheme:
 
     def reg2lins(self, beg: Column, end: Column) -> Column:
         """All linear windows that overlap the interval."""
-        return F.sequence(self.pos2lin(beg), self.pos2lin(self._last(beg, end)))
+        first, last = self._ends(beg, end)
+        return F.sequence(self.pos2lin(first), self.pos2lin(last))
 
     def lin2bin(self, lin: Column) -> Column:
         """The leaf bin of a linear window."""

@@ -25,7 +25,7 @@ def rand_spans(seed, n, width=200_000):
 
 def test_interval_join_model(spark):
     records, regs = rand_spans(1, 300), [(c, b, e + 1) for c, b, e in rand_spans(2, 80)] + [(None, 1, 5), (1, 5, 5), (1, None, 9)]
-    edge = [(1, 16383, 16384), (1, 16384, 16385), (2, (1 << 29) - 1, 1 << 29)]
+    edge = [(1, 16383, 16384), (1, 16384, 16385), (2, (1 << 29) - 1, 1 << 29), (2, 1 << 29, (1 << 29) + 5), (2, 1 << 33, (1 << 33) + 9), (2, (1 << 29) - 9, 1 << 34)]
     records += edge
     regs += edge
     meets = lambda a, b: a[0] == b[0] and None not in b and b[2] > b[1] and max(a[2], a[1] + 1) > b[1] and b[2] > a[1]
