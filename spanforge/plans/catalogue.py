@@ -413,11 +413,19 @@ def checksum_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(*checksum.md5_lanes(F.col("text")))
 
 
-@query()
+_H1 = "((h + c) % 18446744073709551616)"
+_H2 = f"(xor({_H1}, {_H1} >> 23) * 2388976653695081527 % 18446744073709551616)"
+
+
+@query(
+    f"""WITH t AS (SELECT '@' || p_partkey || chr(10) || upper(p_name) || chr(10) || '+' || chr(10) || p_name || chr(10) AS t FROM part),
+h AS (SELECT list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(t, ''), lambda x: CAST(ord(x) AS HUGEINT))), lambda h, c: xor({_H2}, {_H2} >> 47)) AS h FROM t)
+SELECT count(*) AS n, CAST(CAST(sum(h) % 18446744073709551616 AS HUGEINT) AS VARCHAR) AS checksum FROM h"""
+)
 def checksum_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64-bit record checksum of reads made from parts' names."""
     p = table(spark, sf_dir, "part")
-    return checksum.fastq_checksum(p.select(F.col("p_partkey").cast("string").alias("name"), F.upper("p_name").alias("seq"), F.col("p_name").alias("qual")))
+    return checksum.fastq_checksum(p.select(F.col("p_partkey").cast("string").alias("name"), F.upper("p_name").alias("seq"), F.col("p_name").alias("qual"))).withColumn("checksum", F.col("checksum").cast("string"))
 
 
 @query("WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 50 <> 0) SELECT o_custkey, o_orderstatus, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
@@ -470,11 +478,26 @@ def pileup_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.pileup_columns(_alignments(spark, sf_dir)).select("contig", "ref_pos", "depth")
 
 
-@query()
+# per CIGAR: reference offset, read offset (-1 in a gap), skipped, indel behind
+_COVERED = (
+    [(k, k, 0, -2 * (k == 4)) for k in range(5)] + [(5, -1, 0, 0), (6, -1, 0, 0)] + [(k, k - 2, 0, 0) for k in range(7, 11)],
+    [(k, k + 3, 0, int(k == 5)) for k in range(6)] + [(6, 10, 0, 0), (7, 11, 0, 0)],
+    [(k, k, 0, 0) for k in range(4)] + [(k, -1, 1, 0) for k in (4, 5, 6)] + [(k, k - 3, 0, 0) for k in range(7, 12)],
+    [(k, k, 0, 0) for k in range(10)],
+    [(k, k, 0, 0) for k in range(10)],
+    [(k, k, 0, int(k == 5)) for k in range(6)] + [(k, k + 1, 0, 0) for k in range(6, 9)],
+)
+
+
+@query(
+    "WITH a AS (SELECT p_partkey % 20 AS contig, p_partkey % 97 AS pos, p_partkey % 6 AS c FROM part WHERE p_partkey % 13 <> 0), s(c, o, q, sk, ind) AS (VALUES "
+    + ", ".join(f"({c}, {o}, {q}, {k}, {i})" for c, rows in enumerate(_COVERED) for o, q, k, i in rows)
+    + ") SELECT contig, CAST(pos + o AS BIGINT) AS ref_pos, count(*) FILTER (WHERE q >= 0) AS n_bases, count(*) FILTER (WHERE q < 0) AS n_gaps, count(*) FILTER (WHERE sk = 1) AS n_skips, CAST(sum(ind) AS BIGINT) AS indels, CAST(coalesce(sum(CASE WHEN q < 0 THEN NULL WHEN q < 5 THEN 40 WHEN q < 10 THEN 39 ELSE 38 END), -1) AS BIGINT) AS qual FROM a JOIN s ON s.c = a.c GROUP BY 1, 2"
+)
 def pileup_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases, gaps and indels over each position."""
     p = pileup.pileup(_alignments(spark, sf_dir))
-    return p.groupBy("contig", "ref_pos").agg(F.count("base").alias("n_bases"), F.count(F.when(F.col("is_del"), 1)).alias("n_gaps"), F.count(F.when(F.col("is_refskip"), 1)).alias("n_skips"), F.sum("indel").alias("indels"), F.sum("base_qual").alias("qual"))
+    return p.groupBy("contig", "ref_pos").agg(F.count("base").alias("n_bases"), F.count(F.when(F.col("is_del"), 1)).alias("n_gaps"), F.count(F.when(F.col("is_refskip"), 1)).alias("n_skips"), F.sum("indel").alias("indels"), F.coalesce(F.sum("base_qual"), F.lit(-1)).alias("qual"))
 
 
 @query()
@@ -600,9 +623,19 @@ def variant_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", variants.variant_end(F.col("p_size").cast("long"), F.col("p_brand"), info).alias("v_end"))
 
 
-@query()
+@query(
+    f"""{VAR}, p AS (SELECT ref, alt, count(*) AS n FROM v GROUP BY 1, 2),
+k AS (SELECT *, (SELECT max(i) FROM range(0, 12) t(i) WHERE i <= least(length(ref), length(alt)) AND left(ref, i) = left(alt, i)) AS pre FROM p),
+r AS (SELECT *, substr(ref, pre + 1) AS r, substr(alt, pre + 1) AS a FROM k),
+s AS (SELECT *, (SELECT max(i) FROM range(0, 12) t(i) WHERE i <= greatest(least(length(r), length(a)) - 1, 0) AND right(r, i) = right(a, i)) AS suf FROM r),
+q AS (SELECT *, left(r, length(r) - suf) AS rr, left(a, length(a) - suf) AS aa FROM s)
+SELECT ref, alt, n, CAST(CASE WHEN alt = '*' THEN 32 WHEN length(ref) = 1 AND length(alt) = 1 THEN CASE WHEN alt = ref THEN 0 ELSE 1 END WHEN alt LIKE '<%' THEN 8
+  WHEN r = '' AND a = '' THEN 0 WHEN r = '' THEN CASE WHEN a LIKE '[%' OR a LIKE ']%' THEN 16 ELSE 4 END WHEN a = '' THEN 4
+  WHEN length(aa) = 1 THEN CASE WHEN length(rr) = 1 THEN 1 WHEN right(rr, 1) = right(aa, 1) THEN 4 ELSE 8 END
+  WHEN length(rr) = 1 THEN CASE WHEN right(rr, 1) = right(aa, 1) THEN 4 ELSE 8 END WHEN length(rr) = length(aa) THEN 2 ELSE 8 END AS INTEGER) AS kind FROM q"""
+)
 def variant_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of variants; tests hold each pair of alleles against the rules."""
+    """Classes of variants."""
     v = genome.variants(spark, sf_dir)
     return v.withColumn("kind", variants.variant_class(F.col("ref"), F.array("alt"))).groupBy("ref", "alt", "kind").agg(F.count(F.lit(1)).alias("n"))
 
