@@ -2,9 +2,10 @@
 
 Documents become pieces of at most ``CAPACITY`` tokens.  Only the number of pieces of each length
 matters for a plan, so the plan is made from at most ``CAPACITY`` counts: for each length, longest
-first, the gap it leaves is looked up among the sums of one, two and three available lengths, and
-every combination that fills it exactly is used as often as counts allow.  What no combination
-completes is placed by best fit, longest first, as often per sequence as it fits.
+first, the gap it leaves is looked up among the sums of one, two and three available lengths, and a
+combination that fills it exactly is used as often as counts allow.  A gap that no combination fills
+takes the best-fitting length, and what remains of the gap is looked up again.  Sums of fewer lengths
+make other plans; the one with the fewest sequences is taken.
 
 A plan is a list of layouts (lengths and how often) with the number of sequences of each.  A piece
 finds its place from its rank among the pieces of its length, so no task ever holds more than a
@@ -19,7 +20,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +40,20 @@ VOCABULARY = "byte_bpe_50k.json"
 Layout = tuple[tuple[int, int], ...]
 
 
-def _complement(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, the largest first; None if none do."""
+def _complement(count: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """At most ``most`` (one to three) available lengths that sum to ``gap``, the largest first; None if
+    none do."""
     if count[gap]:
         return (gap,)
+    if most == 1:
+        return None
     there = count[: gap + 1] > 0
     a = np.arange((gap + 1) // 2, gap)
     two = a[there[a] & there[gap - a] & ((2 * a != gap) | (count[a] > 1))]
     if len(two):
         return int(two[-1]), int(gap - two[-1])
+    if most == 2:
+        return None
     for first in np.flatnonzero(there[: max(gap - 1, 0)])[::-1].tolist():
         rest = gap - first
         if 3 * first < gap:
@@ -65,7 +70,12 @@ def _complement(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Layout, int]]:
-    """Layouts and their number of sequences for so many pieces of each length."""
+    """Layouts and their number of sequences for so many pieces of each length: of the plans that look up
+    sums of up to three, two and one lengths, one with the fewest sequences."""
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[Layout, int]]:
     count = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         count[length] = n
@@ -75,46 +85,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Layout,
         count[capacity] = 0
     for length in range(capacity - 1, 0, -1):
         while count[length]:
-            count[length] -= 1  # the piece whose gap is filled
-            parts = _complement(count, capacity - length)
-            count[length] += 1
-            if parts is None:
-                break
-            layout = {x: (length, *parts).count(x) for x in (length, *parts)}
+            layout = _fill(count, length, capacity, most)
             n = min(int(count[x]) // k for x, k in layout.items())
             for x, k in layout.items():
                 count[x] -= n * k
             out.append((tuple(sorted(layout.items(), reverse=True)), n))
-    gaps: list[int] = []  # of open sequences, sorted
-    open_: dict[int, list[tuple[Layout, int]]] = {}
-
-    def add(layout: Layout, n: int, gap: int) -> None:
-        if gap not in open_:
-            insort(gaps, gap)
-        open_.setdefault(gap, []).append((layout, n))
-
-    for length in range(capacity - 1, 0, -1):
-        left = int(count[length])
-        while left:
-            k = bisect_left(gaps, length)
-            if k == len(gaps):
-                fits = capacity // length
-                if n := left // fits:
-                    add(((length, fits),), n, capacity - fits * length)
-                if rest := left % fits:
-                    add(((length, rest),), 1, capacity - rest * length)
-                break
-            gap = gaps[k]
-            layout, n = open_[gap].pop()
-            if not open_[gap]:
-                del open_[gap], gaps[k]
-            fits = min(gap // length, left)
-            used = min(n, left // fits)
-            add((*layout, (length, fits)), used, gap - fits * length)
-            if n > used:
-                add(layout, n - used, gap)
-            left -= used * fits
-    return out + [x for group in open_.values() for x in group]
+    return out
+
+
+def _fill(count: np.ndarray, length: int, capacity: int, most: int) -> dict[int, int]:
+    """The lengths of one sequence that begins with ``length``: whenever one, two or three available
+    lengths fill its gap exactly they end it; until then the gap takes the length that fits it best."""
+    left = count.copy()
+    left[length] -= 1
+    parts, gap = [length], capacity - length
+    while gap:
+        exact = _complement(left, gap, most)
+        if exact is not None:
+            parts += exact
+            break
+        fits = np.flatnonzero(left[: gap + 1])
+        if not len(fits):
+            break
+        best = int(fits[-1])
+        left[best] -= 1
+        parts.append(best)
+        gap -= best
+    return {x: parts.count(x) for x in parts}
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
