@@ -7,8 +7,10 @@ again as the next stage's docs.  All but the last return the columns of document
    documents that it scores at its threshold or above.
 2. simhash_near_dedup: of documents linked by their SimHash (shingles of five words, similarity 0.8),
    the one with the smallest id stays; rows without an id are no part of a group and stay.
-3. suffix_array_dedup: later copies of strings of 400 bytes go, the first stays; characters cut in
-   half stay whole; documents stay even if nothing is left of them; n_chars is the new length.
+3. suffix_array_dedup: later copies of passages go, the first stays.  A passage is a run of bytes all of
+   whose strings of ``PASSAGE_BYTES`` have an earlier copy, and has at least ``PASSAGE_WORDS`` words;
+   characters cut in half stay whole; documents stay even if nothing is left of them; n_chars is the
+   new length.
 4. best_fit_packing: the pieces of what is left, in sequences of 1024 tokens.
 
 SQL cannot express the stages (trained scores, hashes, tokenizers), so ``ORACLE_SQL`` is None and
@@ -28,6 +30,11 @@ from spanforge.shared import materialise
 from spanforge.sources.tables import table
 
 
+PASSAGE_BYTES = 256
+PASSAGE_REACH = 160
+PASSAGE_WORDS = 50
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic."""
     model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), toxicity.in_training(F.col("doc_id"))))
@@ -65,14 +72,15 @@ def _cut_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
             if isinstance(text, str) and beg is not None and len(beg):
                 raw = text.encode()
                 spans = suffixes.merged([{"beg": int(b), "end": int(e)} for b, e in zip(beg, end, strict=True)])
+                spans = [(b, e) for b, e in spans if len(raw[b:e].split()) >= PASSAGE_WORDS]
                 text = suffixes.cut(raw, whole_characters(raw, spans)).decode()
             out.append(text if isinstance(text, str) else None)
         yield pd.Series(out, dtype="object")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without later copies of long strings."""
-    rows = suffixes.with_ranges(docs, suffixes.repeated_ranges(docs, keep_first=True), "doc_id", "text")
+    """The documents without later copies of passages."""
+    rows = suffixes.with_ranges(docs, suffixes.repeated_ranges(docs, PASSAGE_BYTES, keep_first=True, reach=PASSAGE_REACH), "doc_id", "text")
     text = F.pandas_udf(_cut_text, "string")(F.col("text"), F.transform("__ranges", lambda r: r["beg"]), F.transform("__ranges", lambda r: r["end"]))
     rows = rows.withColumn("text", text)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

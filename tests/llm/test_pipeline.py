@@ -44,6 +44,13 @@ def test_planted_cases(spark, tmp_path):
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
     passage = text(90)
     docs = {k: text(200) for k in range(60)}
+    short = text(35)
+    for k in (20, 21):
+        docs[k] = text(80) + " " + short + " " + text(80)
+    sixty = " ".join(w for w in text(200).split() if len(w) <= 6)
+    sixty = " ".join(sixty.split()[:60])
+    for k in (30, 31):
+        docs[k] = text(80) + " " + sixty + " " + text(80)
     docs[60], docs[61] = docs[3], docs[3].replace(docs[3].split()[50], "changed")
     for k in (10, 11, 12):
         docs[k] = text(80) + " é " + passage + " ü " + text(80)
@@ -55,6 +62,7 @@ def test_planted_cases(spark, tmp_path):
     assert single.where("doc_id IS NULL").count() == 1
     cut = {x["doc_id"]: x["text"] for x in P.suffix_stage(spark, single, "").collect()}
     assert passage in cut[10] and all(passage[60:-60] not in cut[k] and cut[k].startswith(docs[k][:300]) and cut[k].endswith(docs[k][-300:]) for k in (11, 12))
-    assert all(cut[k] == docs[k] for k in range(60) if k not in (10, 11, 12)) and cut[70] is None
+    assert all(cut[k] == docs[k] for k in range(60) if k not in (11, 12, 31)) and cut[70] is None
+    assert sixty in cut[30] and sixty[20:-20] not in cut[31]  # sixty short words; thirty-five words stay
     empty = df.limit(0)
     assert P.simhash_stage(spark, empty, "").count() == P.suffix_stage(spark, empty, "").count() == P.packing_stage(spark, empty, "").count() == 0
