@@ -382,3 +382,18 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS k FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400) x),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE k IN (SELECT k FROM r)),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM h),
+s AS (SELECT doc_id, min(i) AS beg, max(i) + 400 AS fin FROM g GROUP BY doc_id, g),
+e AS (SELECT doc_id, beg, fin, coalesce(lag(fin) OVER (PARTITION BY doc_id ORDER BY beg), 0) AS prev FROM s),
+k AS (SELECT e.doc_id, string_agg(hex(b[prev + 1:beg]), '' ORDER BY beg) AS head, max(fin) AS last, sum(fin - beg) AS gone, count(*) AS spans FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN gone IS NULL THEN b ELSE unhex(head || hex(b[last + 1:n])) END) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
