@@ -281,6 +281,59 @@ class LineSource(DataSource):
         return _Reader(self.options, _line_rows)
 
 
+class _Chunk(InputPartition):
+    def __init__(self, path: str, beg: int, end: int) -> None:
+        self.path, self.beg, self.end = path, beg, end
+
+
+def _chunk_rows(p: _Chunk) -> Iterator[tuple]:
+    """The lines that start at virtual offsets [beg, end)."""
+    rest, start = b"", None
+    for at, block in read_blocks_between(p.path, p.beg >> 16, 1 << 62):
+        data = inflate(block)
+        pos = p.beg & 0xFFFF if at == p.beg >> 16 else 0
+        while (cut := data.find(b"\n", pos)) >= 0:
+            place = start if start is not None else (at, pos)
+            if place[0] << 16 | place[1] >= p.end:
+                return
+            yield p.path, place[0], place[1], (rest + data[pos:cut]).decode("utf-8", "replace").removesuffix("\r")
+            rest, start, pos = b"", None, cut + 1
+        if pos < len(data):
+            start = start if start is not None else (at, pos)
+            if start[0] << 16 | start[1] >= p.end:
+                return
+            rest += data[pos:]
+    if rest:
+        yield p.path, start[0], start[1], rest.decode("utf-8", "replace")
+
+
+class _ChunkReader(DataSourceReader):
+    def __init__(self, path: str, chunks: list[tuple[int, int]]) -> None:
+        self.path, self.chunks = path, chunks
+
+    def partitions(self) -> list[_Chunk]:
+        return [_Chunk(self.path, *c) for c in self.chunks]
+
+    def read(self, partition: _Chunk | None) -> Iterator[tuple]:
+        return _chunk_rows(partition) if partition is not None else iter(())  # None: there are no chunks
+
+
+class ChunkSource(DataSource):
+    """``spark.read.format("bgzf_chunks").option("chunks", "beg-end,...").load(path)``: the lines of some
+    ranges of virtual offsets; nothing else of the file is read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bgzf_chunks"
+
+    def schema(self) -> str:
+        return "path string, coffset long, uoffset int, line string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        said = self.options.get("chunks", "")
+        return _ChunkReader(self.options["path"], [tuple(map(int, c.split("-"))) for c in said.split(",") if c])
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, held: str, final: str) -> None:
         self.held, self.final = held, final
@@ -348,7 +401,7 @@ class BlockedSink(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the formats of this module known to a session."""
-    for source in (BlockSource, LineSource, BlockedSink):
+    for source in (BlockSource, LineSource, ChunkSource, BlockedSink):
         spark.dataSource.register(source)
 
 
@@ -366,6 +419,33 @@ def lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     return spark.read.format("bgzf_lines").option("split", split).load(path)
 
 
+def chunk_lines(spark: SparkSession, path: str, chunks: list[tuple[int, int]]) -> DataFrame:
+    """The lines of a blocked file that start in the given ranges of virtual offsets."""
+    register(spark)
+    return spark.read.format("bgzf_chunks").option("chunks", ",".join(f"{a}-{b}" for a, b in chunks)).load(path)
+
+
+def read_bytes(path: str) -> bytes:
+    """A whole small file, inflated if it is blocked."""
+    system, inner, _ = open_file(path)
+    with system.open_input_file(inner) as f:
+        data = f.read()
+    return decompress(data) if block_size(data) is not None else data
+
+
+def load_block_index(spark: SparkSession, path: str) -> DataFrame:
+    """(coffset, uoffset) of the blocks that a block index file names."""
+    return spark.createDataFrame(parse_block_index(read_bytes(path)), "coffset long, uoffset long")
+
+
+def write_block_index(blocks_: DataFrame, path: str) -> None:
+    """Write the block index of a table of blocks (coffset, uoffset). An index is a small document."""
+    rows = [tuple(r) for r in blocks_.select("coffset", "uoffset").orderBy("coffset").collect()]
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    with system.open_output_stream(inner, compression=None) as f:
+        f.write(block_index_bytes(rows[1:]))
+
+
 def write(df: DataFrame, path: str, level: int = 6) -> None:
     """Write the first column, lines or bytes, as blocked files."""
     register(df.sparkSession)

@@ -37,13 +37,19 @@ LAYOUTS = {"gff": Layout(1, 4, 5), "bed": Layout(1, 2, 3, zero_based=True), "psl
 def read_features(spark: SparkSession, path: str, layout: Layout | str, blocked_offsets: bool = False) -> DataFrame:
     """(contig, beg, end, line) of a feature file; lines that do not parse are left out. With
     ``blocked_offsets`` the lines carry their file offsets (coffset, uoffset)."""
-    name = layout if isinstance(layout, str) else ""
     at = LAYOUTS[layout] if isinstance(layout, str) else layout
     rows = bgzf.lines(spark, path) if blocked_offsets else spark.read.text(path).withColumnRenamed("value", "line")
-    offsets = ["coffset", "uoffset"] if blocked_offsets else []
     if at.skip:
         first = bgzf.lines(spark, path).orderBy("coffset", "uoffset").limit(at.skip).select("line") if blocked_offsets else rows.limit(at.skip)
         rows = rows.join(F.broadcast(first.distinct()), "line", "left_anti")  # a file's skipped lines are few
+    return features_of(rows, layout)
+
+
+def features_of(rows: DataFrame, layout: Layout | str) -> DataFrame:
+    """(contig, beg, end, line, and offsets if there) of lines in a column ``line``."""
+    name = layout if isinstance(layout, str) else ""
+    at = LAYOUTS[layout] if isinstance(layout, str) else layout
+    offsets = [c for c in ("coffset", "uoffset") if c in rows.columns]
     rows = rows.where(~F.col("line").startswith(at.comment) & (F.col("line") != "")).withColumn("_f", F.split("line", "\t"))
     field = lambda k: F.get("_f", F.lit(k - 1))
     beg, end = text_interval(field(at.beg).try_cast("long"), field(at.end).try_cast("long") if at.end else F.lit(None).cast("long"), at.zero_based)
@@ -266,6 +272,64 @@ def index_bytes(contigs: list[str], bins: list[tuple], linear: list[tuple], stat
     return b"".join(out)
 
 
+_INDEX = {
+    "contigs": "refid int, contig string",
+    "bins": "refid int, bin int, chunk_beg long, chunk_end long",
+    "linear": "refid int, win int, voff long",
+    "stats": "refid int, off_beg long, off_end long, n_mapped long, n_unmapped long",
+    "scheme": "min_shift int, n_levels int",
+}
+
+
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a coordinate index file, by the names of ``parse_index``."""
+    found = parse_index(bgzf.read_bytes(path))
+    return {name: spark.createDataFrame(found[name], schema) for name, schema in _INDEX.items()}
+
+
+def write_index(path: str, contigs: list[str], bins: DataFrame, linear: DataFrame, stats: DataFrame, layout: Layout) -> None:
+    """Write tables with refid as a blocked index file. An index is a small document."""
+    rows = lambda df, name: [tuple(r) for r in df.select(*[f.split()[0] for f in _INDEX[name].split(", ")]).collect()]
+    data = index_bytes(contigs, rows(bins, "bins"), rows(linear, "linear"), rows(stats, "stats"), layout)
+    system, inner = bgzf.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    with system.open_output_stream(inner, compression=None) as f:
+        f.write(bgzf.compress(data))
+
+
+def filed_features(features: DataFrame) -> DataFrame:
+    """Features read with offsets as records (contig, beg, end, line, voff, next_voff)."""
+    from pyspark.sql import Window as W
+
+    from spanforge.functions.bins import virtual_offset
+
+    rows = features.withColumn("voff", virtual_offset(F.col("coffset"), F.col("uoffset")))
+    after = F.lead("voff").over(W.partitionBy("contig").orderBy("voff"))
+    return rows.withColumn("next_voff", F.coalesce(after, F.col("voff") + 1)).drop("coffset", "uoffset")
+
+
+def query_file(spark: SparkSession, path: str, layout: Layout | str, chunks: DataFrame, linear: DataFrame, contig, beg: int, end: int) -> DataFrame:
+    """Features of a blocked, indexed file that overlap a region; only the blocks that the index names
+    are read. chunks and linear: tables with contig, as made by ``operators.indexing``."""
+    from spanforge.operators.indexing import query_chunks
+
+    ranges = [tuple(r) for r in query_chunks(linear, chunks, contig, beg, end).collect()]  # of one region: few
+    lines = bgzf.chunk_lines(spark, path, ranges)
+    found = features_of(lines, layout)
+    return found.where((F.col("contig") == contig) & (F.col("beg") < end) & (F.col("end") > beg))
+
+
+def fetch_bases(path: str, index: tuple[str, int, int, int, int], beg: int, end: int) -> str:
+    """Bases [beg, end) of a sequence in a plain FASTA file, by its entry of ``sequence_index``."""
+    _, length, offset, per, width = index
+    beg, end = max(beg, 0), min(end, length)
+    if beg >= end:
+        return ""
+    system, inner, _ = bgzf.open_file(path)
+    first, last = offset + beg // per * width + beg % per, offset + (end - 1) // per * width + (end - 1) % per
+    with system.open_input_file(inner) as f:
+        return "".join(f.read_at(last + 1 - first, first).decode().split())
+
+
 def read_slice_index(spark: SparkSession, path: str) -> DataFrame:
     """A container index (gzip text): refid, beg (0-based), end, container, slice, size."""
     f = F.split("value", "\t")

@@ -176,3 +176,46 @@ def test_index_bytes_and_formats():
     for data, name in said.items():
         assert textfiles.detect_format(data) == name
         assert textfiles.detect_format(bgzf.compress(data) if data else data) == ("blocked " + name if data else name)
+
+
+def test_indexed_query(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanforge.operators import indexing
+
+    r = random.Random(11)
+    rows = sorted((c, b, b + r.randint(1, 30_000)) for c in ("c1", "c2") for b in (r.randint(0, 3_000_000) for _ in range(2500)))
+    text = ("#head\n" + "".join(f"{c}\t{b}\t{e}\tname{k}\n" for k, (c, b, e) in enumerate(rows))).encode()
+    path = str(tmp_path / "a.bed.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(bgzf.deflate(text[k : k + 3000]) for k in range(0, len(text), 3000)) + bgzf.EOF)
+    feats = textfiles.filed_features(textfiles.read_features(spark, path, "bed", blocked_offsets=True))
+    linear, chunks = indexing.linear_index(feats), indexing.compress_bins(indexing.bin_chunks(feats))
+    index = str(tmp_path / "a.tbi")
+    ids = {"c1": 0, "c2": 1}
+    number = F.when(F.col("contig") == "c1", 0).otherwise(1)
+    stats = indexing.index_stats(feats, F.lit(False))
+    textfiles.write_index(index, ["c1", "c2"], chunks.withColumn("refid", number), linear.withColumn("refid", number), stats.withColumn("refid", number), textfiles.LAYOUTS["bed"])
+    back = textfiles.load_index(spark, index)
+    names = back["contigs"]
+    chunks, linear = (back[k].join(names, "refid") for k in ("bins", "linear"))
+    assert back["stats"].count() == 2 and linear.count() == back["linear"].count() > 300
+    for contig, beg, end in (("c1", 0, 5), ("c1", 1_000_000, 1_020_000), ("c2", 2_999_000, 4_000_000), ("c2", 0, 3_100_000), ("c2", 9_000_000, 9_000_010)):
+        got = sorted((x["contig"], x["beg"], x["end"]) for x in textfiles.query_file(spark, path, "bed", chunks, linear, contig, beg, end).collect())
+        assert got == [x for x in rows if x[0] == contig and x[1] < end and x[2] > beg], (contig, beg, end)
+    assert ids and bgzf.read_bytes(path) == text
+    table = bgzf.blocks(spark, path)
+    bgzf.write_block_index(table, str(tmp_path / "a.gzi"))
+    assert bgzf.load_block_index(spark, str(tmp_path / "a.gzi")).count() == table.count()
+
+
+def test_fetch_bases(tmp_path):
+    path = str(tmp_path / "a.fa")
+    seqs = {"s1": "ACGTACGTAC" * 7 + "TT", "s2": "GG"}
+    text = "".join(f">{n}\n" + "".join(s[k : k + 10] + "\n" for k in range(0, len(s), 10)) for n, s in seqs.items())
+    with open(path, "w") as f:
+        f.write(text)
+    for entry in textfiles.sequence_index(text.splitlines(keepends=True)):
+        s = seqs[entry[0]]
+        for beg, end in ((0, 5), (8, 23), (-4, 99), (len(s) - 1, len(s)), (50, 50), (900, 950)):
+            assert textfiles.fetch_bases(path, entry, beg, end) == s[max(beg, 0) : max(end, 0)]
