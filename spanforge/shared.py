@@ -7,8 +7,11 @@ A stage that must cut its lineage writes a Parquet table below the folder named
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,19 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         if "spanforge-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package (and modules beside it that use it) to the Python workers, once per context, unless
+    their search path names its folder already.  Functions that run on executors are looked up there by name."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if getattr(sc, "_spanforge_shipped", False) or any(p and Path(p).resolve() == root for p in known):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="spanforge-code-"), "spanforge-code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in [*sorted((root / "spanforge").rglob("*.py")), *root.glob("corpus_pipeline.py")]:
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    sc._spanforge_shipped = True
