@@ -5,8 +5,9 @@ again as the next stage's docs.  All but the last return the columns of document
 
 1. toxicity: the machine of ``spanforge.llm.toxicity``, fitted on the labels of ``sf_dir``, drops
    documents that it scores at its threshold or above.
-2. simhash_near_dedup: of documents linked by their SimHash (shingles of five words, similarity 0.8),
-   the one with the smallest id stays; rows without an id are no part of a group and stay.
+2. simhash_near_dedup: of documents linked by their SimHash (shingles of five words) and an exact
+   similarity of 0.8 or more, the one with the smallest id stays; rows without an id are no part of a
+   group and stay.
 3. suffix_array_dedup: later copies of passages go, the first stays.  A passage is a run of bytes all of
    whose strings of ``PASSAGE_BYTES`` have an earlier copy, and has at least ``PASSAGE_WORDS`` words;
    characters cut in half stay whole; documents stay even if nothing is left of them; n_chars is the

@@ -297,3 +297,43 @@ def test_repeated_rows_are_cut_alike(spark):
     kept = [r["__ranges"] is None for r in suffixes.with_ranges(df, suffixes.repeated_ranges(df, keep_first=True), "doc_id", "text").orderBy("doc_id").collect()]  # noqa: E501
     assert kept == [True, True, False]
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def alike_pairs(seed, pairs, shared):
+    """Pairs of texts of 90 shingles, ``shared`` of them in both: ids 2k and 2k + 1."""
+    r = random.Random(seed)
+    some = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    rows = []
+    for k in range(pairs):
+        head = some(shared + 4)
+        rows += [(2 * k + i, " ".join(head + some(90 - shared))) for i in (0, 1)]
+    return rows
+
+
+def test_wide_links_are_verified(spark):
+    """No document loses to one that is less than 0.8 like it, however near their fingerprints."""
+    rows = alike_pairs(5, 120, 77)  # 77 of 103: 0.748
+    line = " ".join(f"line{k}" for k in range(12))
+    r = random.Random(6)
+    for k in range(1000, 1012):  # one line many times over, and twelve words of its own
+        rows.append((k, " ".join([line] * 60 + [f"w{r.getrandbits(40)}" for _ in range(12)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["_id"]: x["_component"] for x in simhash.near_duplicates(df, simhash.WIDE).collect()}
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    for i, c in got.items():
+        assert c == i or any(len(sets[i] & sets[o]) / len(sets[i] | sets[o]) >= 0.8 for o in sets if o != i)
+    assert sum(c != i for i, c in got.items() if i < 1000) == 0
+
+
+def test_verified_links_beyond_a_forest(spark):
+    """A forest that joins a group by pairs that fail still loses no pair that passes."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    head, rows = words(81), []
+    for k in range(12):  # twelve pairs; 0.748 or less between them, more within
+        mine = words(13)
+        rows += [(2 * k + i, " ".join(head + mine[: 13 - i] + words(i))) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = simhash.Spec(512, 5, 200, similarity=0.8)
+    got = {x["_id"]: x["_component"] for x in simhash.near_duplicates(df, wide).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
