@@ -9,7 +9,8 @@ instead of being broadcast, because a tree of all rows has no size bound.
 With more disjoint bands than ``radius`` the pigeonhole principle finds every link (op1: 3 bands,
 radius 2).  ``WIDE`` compares 512 bits, shingles of five words and a Hamming radius that stands for
 a similarity of 0.8, over bands drawn from all bits, whose width and number follow from the number of
-fingerprints (``bands_for``): recall stays the same at every size, as does the share of chance meetings.
+fingerprints (``bands_for``): recall at 0.8 stays the same at every size, as does the share of chance
+meetings.
 
 Equal texts have equal fingerprints, so a group of copies of any size is one member.  A shard of more
 than ``SHARD`` members is dealt to several trees; a member is sought in every tree from its own on,
@@ -64,23 +65,31 @@ class Spec:
 
 
 NARROW = Spec(64, 3, 2, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))))
-WIDE = Spec(512, 5, 86, similarity=0.8)
-#: Similarity and share of its pairs that meet in some band, by which bands are counted.
-SIMILARITY, RECALL = 0.85, 0.99
+#: Pairs at 0.8 differ in 78 bits on average (standard deviation 8), five shingles and four of them in 96.
+WIDE = Spec(512, 5, 124, similarity=0.8)
+#: Share of pairs at the least similarity to be found, by which bands are counted.
+RECALL = 0.99
 
 
 def bands_for(spec: Spec, n: int) -> tuple[tuple[int, ...], ...]:
     """The spec's bands, or bands for ``n`` fingerprints.
 
     A band is three bits wider than log2(n), so that an unrelated fingerprint shares it with an eighth
-    of another one at any n.  Fingerprints of texts whose shingles are alike to ``SIMILARITY`` agree on
-    a bit with probability p = 1 - arccos(2s / (1 + s)) / pi; there are as many bands as it takes to
-    agree on one of them with probability ``RECALL``."""
+    of another one at any n.  Fingerprints of texts whose shingles are alike to the spec's similarity s
+    differ in a bit with probability arccos(2s / (1 + s)) / pi; there are as many bands as it takes for
+    ``RECALL`` of such pairs to differ in at most ``radius`` bits and to agree on a band.  Few bits that
+    differ make every band likelier, so this is summed over their number."""
     if spec.bands is not None:
         return spec.bands
     width = max(n, 2).bit_length() + 3
-    p = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - p**width))
+    s = spec.similarity
+    p = math.acos(2 * s / (1 + s)) / math.pi
+    differ = np.arange(spec.radius + 1)
+    chance = np.array([math.comb(spec.bits, d) * p**d * (1 - p) ** (spec.bits - d) for d in differ.tolist()])
+    agree = np.array([math.comb(spec.bits - d, width) / math.comb(spec.bits, width) for d in differ.tolist()])
+    count = 1
+    while chance @ (1 - (1 - agree) ** count) < RECALL:
+        count += 1
     rng = np.random.default_rng(20)
     return tuple(tuple(sorted(int(b) for b in rng.choice(spec.bits, width, replace=False))) for _ in range(count))
 

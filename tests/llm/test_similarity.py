@@ -337,3 +337,10 @@ def test_verified_links_beyond_a_forest(spark):
     wide = simhash.Spec(512, 5, 200, similarity=0.8)
     got = {x["_id"]: x["_component"] for x in simhash.near_duplicates(df, wide).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_wide_simhash_at_the_threshold(spark):
+    """Of pairs at exactly 0.8 no more than a few are missed."""
+    df = spark.createDataFrame(alike_pairs(7, 300, 80), "doc_id long, text string")  # 80 of 100
+    got = {x["_id"]: x["_component"] for x in simhash.near_duplicates(df, simhash.WIDE).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 291 and all(got[2 * k] == 2 * k for k in range(300))
