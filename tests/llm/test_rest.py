@@ -254,3 +254,17 @@ def test_toxicity_edges(spark, edge_dir, empty_dir):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_neighbours_of_unequal_norms(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 32))
+    x *= (rng.lognormal(0, 0.5, 3000) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= 10 / np.linalg.norm(x[7])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_neighbours(x, list(range(3000)), range(0, 3000, 50), 20)
+    hits = sum(len(got.get(q, set()) & set(want[q])) for q in want)
+    assert all(len(got.get(q, ())) == 20 for q in want) and hits >= 0.9 * 20 * len(want)
