@@ -39,7 +39,9 @@ BATCH = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|title|xmp|noembed|noframes|object|canvas|audio|video|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(?P<held>template|svg|math|object|canvas|audio|video|select)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=held)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -102,7 +104,7 @@ class Page:
             at = m.end()
             tag = m["tag"]
             if tag is None:
-                if m["raw"] and m["raw"].lower() in ("select", "textarea"):
+                if (m["raw"] or m["held"] or "").lower() in ("select", "textarea"):
                     self._open("input", "")
                     self._close_to(len(self._stack) - 1)
                 continue

@@ -268,3 +268,11 @@ def test_neighbours_of_unequal_norms(spark):
     want = brute_neighbours(x, list(range(3000)), range(0, 3000, 50), 20)
     hits = sum(len(got.get(q, set()) & set(want[q])) for q in want)
     assert all(len(got.get(q, ())) == 20 for q in want) and hits >= 0.9 * 20 * len(want)
+
+
+def test_raw_elements_end():
+    """Custom, self-closed and unclosed elements take nothing of what follows with them."""
+    for odd in ("<svg-icon name=x></svg-icon>", "<svg width=1/>", "<math/>", "<video-player>", "<select-box></select-box>", "<video src=x>", "<canvas>", "<object>"):
+        page = pages.Page(f"<article>{odd}<p>Whole article text</p></article>")
+        assert list(page.text.values()) == ["Whole article text"], odd
+    assert not pages.Page("<svg><p>drawn</p></svg><script>var x").text
