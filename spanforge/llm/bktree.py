@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 
 class BKTree:
     """Children of a node are keyed by their integer distance to it; a search follows only edges
@@ -23,30 +25,30 @@ class BKTree:
                 return
             node = child
 
-    def near(self, value: int, radius: int) -> list[int]:
-        """Labels of all values at most ``radius`` away."""
-        found, todo = [], [self.root] if self.root else []
+    def near(self, value: int, radius: int) -> Iterator[int]:
+        """Labels of all values at most ``radius`` away, as they are found."""
+        todo = [self.root] if self.root else []
         while todo:
             at, label, children = todo.pop()
             d = (at ^ value).bit_count()
             if d <= radius:
-                found.append(label)
+                yield label
             if children:
                 low, high = d - radius, d + radius
                 if len(children) > 2 * radius + 1:
                     todo.extend(children[k] for k in range(low, high + 1) if k in children)
                 else:
                     todo.extend(c for k, c in children.items() if low <= k <= high)
-        return found
 
 
 class Forest:
-    """Disjoint sets with the smallest member as representative."""
+    """Disjoint sets."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
+        """The top of a member's set."""
         up = self.up
         top = x
         while up.get(top, top) != top:
@@ -55,12 +57,8 @@ class Forest:
             up[x], x = top, up[x]
         return top
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.up.setdefault(min(a, b), min(a, b))
-
-    def edges(self) -> list[tuple[int, int]]:
-        """(member, representative), one for each member that is not its own."""
-        return [(x, top) for x in list(self.up) if (top := self.find(x)) != x]
+    def hang(self, x, under) -> None:
+        """Join two sets; the top of the second is that of both."""
+        x, under = self.find(x), self.find(under)
+        if x != under:
+            self.up[x] = under

@@ -1,45 +1,46 @@
 """SimHash near-duplicates over sharded BK-trees.
 
 A text's fingerprint has bit i set if more than half of its shingles' hashes have it set.  Distinct
-fingerprints are linked when they differ in at most ``radius`` bits.  Shards are bands: runs of bits
-of the fingerprint; fingerprints that agree on a band meet in one shard, where a BK-tree of the
-shard's members answers each member's search.  The trees are built where their shard's rows are
-instead of being broadcast, because a tree of all rows has no size bound.
-
-With more disjoint bands than ``radius`` the pigeonhole principle finds every link (op1: 3 bands,
-radius 2).  ``WIDE`` compares 512 bits, shingles of five words and a Hamming radius that stands for
-a similarity of 0.8, over bands drawn from all bits, whose width and number follow from the number of
-fingerprints (``bands_for``): recall at 0.8 stays the same at every size, as does the share of chance
-meetings.
+fingerprints are *members*; members are linked when they differ in at most ``radius`` bits.  Members
+that share a shard key meet in one shard, where a BK-tree answers each member's search.  The trees are
+built where their shard's rows are instead of being broadcast, because a tree of all rows has no size
+bound.
+
+*Shards without loss* (op1).  The fingerprint is cut into blocks of bits and a key is all blocks but
+``radius`` of them: by the pigeonhole principle two fingerprints within the radius agree on some key.
+There are as many blocks as make a key wide enough for the number of members (``blocks_for``), so that
+unrelated members rarely meet at any size.
+
+*Shards of a similarity* (``WIDE``).  512 bits are too many for blocks, and keys of bits would have to
+multiply with the table.  A key is there the smallest values of ``MINIMA`` hash orders over the set of
+shingles: sets alike to s share a key with probability s^MINIMA, whatever the size of the table, and
+``KEYS`` keys find 0.997 of the pairs at 0.8.  Of a pair within the radius the sets themselves are
+compared (64-bit hashes of the distinct shingles): a link has the spec's similarity, exactly.
 
 Equal texts have equal fingerprints, so a group of copies of any size is one member.  A shard of more
-than ``SHARD`` members is dealt to several trees; a member is sought in every tree from its own on,
-so that each pair meets once.  Links leave a tree as a spanning forest of pairs that were found.
-
-A distance only estimates a similarity.  Where the spec names one, fingerprints weigh each distinct
-shingle once, as the similarity does, and pairs within the radius are candidates: a link is a pair
-whose sets of shingles (as 64-bit hashes) are that alike (``verified_links``).  First the pairs of the
-forests are looked at; then every candidate whose ends they leave in different components, so that
-no link is lost because a forest left it out, and a dense group does not leave as all its pairs.
-Equal fingerprints stand for equal sets: sets alike to 0.8 or less agree on 512 bits with a
-probability below 10^-36.
+than ``SHARD`` members is dealt to several trees.  Each tree first links its own members; then every
+member that is not in its shard's most frequent component visits the shard's other trees.  Any two
+members of different components include one such visitor, so no link between components is lost,
+while a dense group of near copies, one component by then, travels once.  In a tree a pair is looked
+at unless its ends are connected already: what leaves a tree is a spanning forest.
 
 Defined results: words are runs without ASCII white space, A-Z in lower case; fewer words than a
 shingle has are one shingle; no words (or a null text) give fingerprint zero, linked like any other.
-A row with a null id has a fingerprint and the component of that fingerprint's other rows, if any.
-Repeated rows are kept.  An empty table gives an empty result.  Other columns are ignored.
+A row with a null id has a fingerprint and links like others; the component of a group is its
+smallest id, null if no row of it has one.  Repeated rows are kept.  An empty table gives an empty
+result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.bktree import BKTree, Forest
@@ -49,49 +50,36 @@ from spanforge.sources.tables import table
 
 SHARD = 1024
 CHUNK = 1 << 15
+KEYS, MINIMA = 11, 4
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Fingerprint width in bits, words of a shingle, link radius, and bands as tuples of bit positions;
-    without bands they are drawn for the number of fingerprints (``bands_for``).  With a similarity,
-    links are pairs within the radius whose distinct shingles have it."""
+    """Fingerprint width in bits, words of a shingle and link radius.  With a similarity, links are pairs
+    within the radius whose distinct shingles have it, and shards are keyed by smallest hashes."""
 
     bits: int
     words: int
     radius: int
-    bands: tuple[tuple[int, ...], ...] | None = None
     similarity: float | None = None
 
 
-NARROW = Spec(64, 3, 2, (tuple(range(22)), tuple(range(22, 43)), tuple(range(43, 64))))
+NARROW = Spec(64, 3, 2)
 #: Pairs at 0.8 differ in 78 bits on average (standard deviation 8), five shingles and four of them in 96.
 WIDE = Spec(512, 5, 124, similarity=0.8)
-#: Share of pairs at the least similarity to be found, by which bands are counted.
-RECALL = 0.99
-
-
-def bands_for(spec: Spec, n: int) -> tuple[tuple[int, ...], ...]:
-    """The spec's bands, or bands for ``n`` fingerprints.
-
-    A band is three bits wider than log2(n), so that an unrelated fingerprint shares it with an eighth
-    of another one at any n.  Fingerprints of texts whose shingles are alike to the spec's similarity s
-    differ in a bit with probability arccos(2s / (1 + s)) / pi; there are as many bands as it takes for
-    ``RECALL`` of such pairs to differ in at most ``radius`` bits and to agree on a band.  Few bits that
-    differ make every band likelier, so this is summed over their number."""
-    if spec.bands is not None:
-        return spec.bands
-    width = max(n, 2).bit_length() + 3
-    s = spec.similarity
-    p = math.acos(2 * s / (1 + s)) / math.pi
-    differ = np.arange(spec.radius + 1)
-    chance = np.array([math.comb(spec.bits, d) * p**d * (1 - p) ** (spec.bits - d) for d in differ.tolist()])
-    agree = np.array([math.comb(spec.bits - d, width) / math.comb(spec.bits, width) for d in differ.tolist()])
-    count = 1
-    while chance @ (1 - (1 - agree) ** count) < RECALL:
-        count += 1
-    rng = np.random.default_rng(20)
-    return tuple(tuple(sorted(int(b) for b in rng.choice(spec.bits, width, replace=False))) for _ in range(count))
+
+
+def blocks_for(spec: Spec, n: int) -> list[tuple[int, ...]]:
+    """The keys of lossless shards as bit positions: all blocks but ``radius``, in every choice, of the
+    smallest number of blocks (up to ten) whose keys are no narrower than log2(n) - 1 bits."""
+    for k in range(spec.radius + 1, 11):
+        edges = [spec.bits * i // k for i in range(k + 1)]
+        blocks = [range(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        keys = [tuple(x for b in kept for x in b) for kept in combinations(blocks, k - spec.radius)]
+        if min(map(len, keys)) >= n.bit_length() - 1:
+            break
+    return keys
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -120,18 +108,13 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, words)]))
 
 
-def simhash(text: bytes, spec: Spec) -> bytes:
-    """The fingerprint, most significant bit first."""
-    count = np.zeros(spec.bits, np.int64)
+def simhash(blocks: Iterator[np.ndarray], bits: int) -> bytes:
+    """The fingerprint of hashes, most significant bit first."""
+    count = np.zeros(bits, np.int64)
     n = 0
-    if spec.similarity is None:
-        blocks = shingle_hashes(text, spec.words)
-    else:
-        once = shingle_set(text, spec.words)
-        blocks = (once[k : k + CHUNK] for k in range(0, len(once), CHUNK))
     for h in blocks:
         n += len(h)
-        for k in range(spec.bits // 64):
+        for k in range(bits // 64):
             if k:
                 h = (h + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
                 h ^= h >> np.uint64(30)
@@ -139,50 +122,126 @@ def simhash(text: bytes, spec: Spec) -> bytes:
                 h ^= h >> np.uint64(27)
                 h *= np.uint64(0x94D049BB133111EB)
                 h ^= h >> np.uint64(31)
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            count[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
+            unpacked = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            count[64 * k : 64 * k + 64] += unpacked.sum(axis=0, dtype=np.int64)
     return np.packbits(2 * count > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _fp binary) of every row."""
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    draw = lambda: rng.integers(0, 1 << 63, KEYS * MINIMA, np.uint64)
+    return draw() * np.uint64(2) + np.uint64(1), draw()
+
+
+def least_keys(hashes: np.ndarray) -> list[int]:
+    """Shard keys of a set of shingle hashes: for each key the smallest values of its hash orders."""
+    if not len(hashes):
+        return []
+    factor, offset = _ORDERS
+    least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 4096):
+        h = hashes[k : k + 4096]
+        h = h ^ (h >> np.uint64(31))
+        np.minimum(least, (h[:, None] * factor + offset).min(axis=0), out=least)
+    least = least.reshape(KEYS, MINIMA)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
+_ORDERS = _orders()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [simhash(t or b"", spec) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_id", "_fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, "_id long, _fp binary")
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What names a row's id and text: the id (null: ``NO_ID``) and 128 bits of the text's hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit("second"), text).alias("_t2")]
 
 
-def _bands(spec: Spec, bands: tuple[tuple[int, ...], ...]):
-    """Rows (_band, _rep) of every fingerprint: the band's number and bits as one long."""
-    masks = np.zeros((len(bands), spec.bits), np.int64)
-    for i, band in enumerate(bands):
-        masks[i, list(band)] = 1 << np.arange(len(band), dtype=np.int64)
-    masks = masks.T.astype(np.float64)  # products stay below 2^53
-    tags = np.arange(len(bands), dtype=np.int64) << 48
+KEY = ["_k", "_t1", "_t2"]
+
+
+def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _k, _t1, _t2, _fp binary, _keys) of every row; the keys are null without a similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, keys = [], []
+            for t in b.column(4).to_pylist():
+                if spec.similarity is None:
+                    found.append(simhash(shingle_hashes(t or b"", spec.words), spec.bits))
+                    keys.append(None)
+                else:
+                    once = shingle_set(t or b"", spec.words)
+                    found.append(simhash((once[k : k + CHUNK] for k in range(0, len(once), CHUNK)), spec.bits))
+                    keys.append(least_keys(once))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", *KEY, "_fp", "_keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, "_id long, _k long, _t1 long, _t2 long, _fp binary, _keys array<long>")
+
+
+def _block_keys(spec: Spec, keys: list[tuple[int, ...]]):
+    """Rows (_shard, _key, _m) of every fingerprint."""
+    masks = np.zeros((len(keys), spec.bits), np.int64)
+    for i, bits in enumerate(keys):
+        masks[i, list(bits)] = 1 << np.arange(len(bits), dtype=np.int64)
+    low, high = (masks & 0xFFFFFFFF).T.astype(np.float64), (masks >> 32).T.astype(np.float64)  # sums stay below 2^53
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            keys = (bits.astype(np.float64) @ masks).astype(np.int64) + tags
-            n = len(bands)
-            at = pa.array(np.repeat(np.arange(b.num_rows), n))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column(1).take(at)], names=["_band", "_rep"])
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.float64)
+            key = ((bits @ high).astype(np.int64) << 32) | (bits @ low).astype(np.int64)
+            shard = np.tile(np.arange(len(keys), dtype=np.int32), b.num_rows)
+            at = pa.array(np.repeat(np.arange(b.num_rows), len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.reshape(-1)), b.column(1).take(at)], names=["_shard", "_key", "_m"])
 
     return run
 
 
-def _tree_links(radius: int, across: bool = False):
-    """Of the pairs within the radius found in each tree a spanning forest or, with ``across``, all whose
-    labels differ; rows come sorted by band and tree, a tree's own members before those that only search it."""
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of hashes; that of empty ones is 1."""
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+class _Tree:
+    """One tree's members, the components they are in so far, and the links that made them."""
+
+    def __init__(self, spec: Spec) -> None:
+        self.spec, self.tree, self.forest, self.sets, self.parts = spec, BKTree(), Forest(), {}, set()
+        self.out: list[tuple[int, int]] = []
+
+    def meet(self, fp: int, m: int, label: int, own: bool, seek: bool, hashes: np.ndarray | None) -> None:
+        """Link a member, if it is to ``seek``, to all of the tree's that are near and not connected to it
+        yet; ``label``, a component's, connects from the start.  Its own members the tree keeps."""
+        find, spec = self.forest.find, self.spec
+        mine, here = ("m", m), ("c", label)
+        self.forest.up.setdefault(here, here)
+        self.forest.hang(mine, here)
+        for other in self.tree.near(fp, spec.radius) if seek and self.parts - {find(mine)} else ():
+            theirs = ("m", other)
+            if find(theirs) == find(mine) or spec.similarity is not None and _alike(self.sets[other], hashes) < spec.similarity:
+                continue
+            self.forest.hang(find(mine), find(theirs))
+            self.out.append((m, other))
+            self.parts = {find(p) for p in self.parts}
+            if not self.parts - {find(mine)}:
+                break
+        if own:
+            self.tree.add(fp, m)
+            self.sets[m] = hashes
+            self.parts.add(find(mine))
+
+
+def _tree_links(spec: Spec, within: bool):
+    """Links (u, v) found in each tree: ``within`` its own members, or else between them and its visitors;
+    rows come sorted by shard, key and tree, a tree's own members before its visitors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, sets, out = None, BKTree(), Forest(), []
-        first, labels = None, {}
+        key, tree, out = None, _Tree(spec), []
 
         def close() -> pa.RecordBatch:
             e = out.copy()
@@ -190,117 +249,88 @@ def _tree_links(radius: int, across: bool = False):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64())], names=["u", "v"])
 
         for b in batches:
-            for band, at, own, fp, rep, label in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if len(out) >= CHUNK:
-                    yield close()
-                if (band, at) != key:
-                    key, tree, sets, labels, first = (band, at), None, Forest(), {}, (fp, rep) if own else None
-                    labels[rep] = label
-                    continue
-                labels[rep] = label
-                value = int.from_bytes(fp, "big")
-                if tree is None:
-                    tree = BKTree()
-                    if first:
-                        tree.add(int.from_bytes(first[0], "big"), first[1])
-                for other in tree.near(value, radius):
-                    if across:
-                        if labels[other] != label:
-                            out.append((rep, other))
-                    elif sets.find(rep) != sets.find(other):
-                        sets.join(rep, other)
-                        out.append((rep, other))
-                if own:
-                    tree.add(value, rep)
+            for shard, band, at, own, fp, m, label, hashes in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if (shard, band, at) != key:
+                    out += tree.out
+                    key, tree = (shard, band, at), _Tree(spec)
+                    if len(out) >= CHUNK:
+                        yield close()
+                tree.meet(int.from_bytes(fp, "big"), m, label, own, within or not own, None if hashes is None else np.frombuffer(hashes, np.uint64))
+        out += tree.out
         if out:
             yield close()
 
     return run
 
 
-def meetings(members: DataFrame, spec: Spec) -> DataFrame:
-    """(_band, _rep, _n): members in bands that ``_n`` > 1 of them share, written."""
-    bands = bands_for(spec, members.count() if spec.bands is None else 0)
-    keyed = materialise(members.mapInArrow(_bands(spec, bands), "_band long, _rep long"), "bands")
-    sizes = keyed.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = materialise(keyed.join(sizes, "_band"), "bands")
-    drop_written(members.sparkSession, keyed)
-    return met
+def _dealt(met: DataFrame, members: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """The rows of ``_tree_links``, of (_shard, _key, _tree, _own, _m, _label)."""
+    met = met.join(members.select("_m", "_fp"), "_m")  # fingerprints and sets travel only with keys that meet
+    met = met.withColumn("_set", F.lit(None).cast("binary")) if sets is None else met.join(sets, "_m")
+    met = met.select("_shard", "_key", "_tree", "_own", "_fp", "_m", "_label", "_set")
+    return met.repartition("_shard", "_key", "_tree").sortWithinPartitions("_shard", "_key", "_tree", F.desc("_own"), "_m")
 
 
-def tree_links(met: DataFrame, members: DataFrame, spec: Spec, across: bool = False) -> DataFrame:
-    """Pairs (u, v) that meet within the radius: spanning forests of each tree's or, with ``across``, all
-    whose _label differs."""
-    if not across:
-        members = members.withColumn("_label", F.lit(0).cast("long"))
-    met = met.join(members, "_rep")  # fingerprints travel only with bands that meet
-    trees = F.ceil(F.col("_n") / SHARD).cast("int")
-    met = met.withColumn("_own", F.pmod(F.xxhash64("_fp"), trees).cast("int"))
-    met = met.select("_band", F.explode(F.sequence(F.col("_own"), trees - 1)).alias("_tree"), "_own", "_fp", "_rep", "_label")
-    met = met.select("_band", "_tree", (F.col("_own") == F.col("_tree")).alias("_member"), "_fp", "_rep", "_label")
-    dealt = met.repartition("_band", "_tree").sortWithinPartitions("_band", "_tree", F.desc("_member"))
-    return dealt.mapInArrow(_tree_links(spec.radius, across), "u long, v long")
+def _sets(docs: DataFrame, nodes: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
+    """(_m, _set) of members, from one row of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t or b"", spec.words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_m", "_set"])
 
-def links(members: DataFrame, spec: Spec) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs within the radius. members: (_fp, _rep),
-    distinct in both."""
-    return tree_links(meetings(members, spec), members, spec)
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, j) of (u, v, _a, _b): the similarity of two sets of hashes; that of empty ones is 1."""
-    for batch in batches:
-        found = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            found.append(shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "j"])
-
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("binary").alias("_text")).join(nodes, KEY).select("_m", "_text")
+    return texts.mapInArrow(run, "_m long, _set binary").groupBy("_m").agg(F.max("_set").alias("_set"))
 
-def verified_links(docs: DataFrame, members: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) whose components are those of all candidates that have the spec's similarity."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t or b"", spec.words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["_id", "_set"])
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u")
-        both = both.join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v").select("u", "v", "_a", "_b")
-        return materialise(both.mapInArrow(_compared, "u long, v long, j double"), "compared")
-
-    def pairs_of(found: DataFrame) -> DataFrame:
-        return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    met = meetings(members, spec)
-    first = materialise(pairs_of(tree_links(met, members, spec)), "pairs")
-    nodes = materialise(first.select(F.col("u").alias("_id")).union(first.select("v")).distinct(), "nodes")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(nodes, "_id", "left_semi")
-    sets = materialise(texts.mapInArrow(hashed, "_id long, _set binary").distinct(), "sets")
-    enough = F.col("j") >= spec.similarity
-    looked = compared(first)
-    edges = looked.where(enough).select("u", "v")
-    if looked.where(~enough).isEmpty():
-        return edges
-    # who is in no pair of a forest has no candidate at all
-    named = components(edges)
-    left = members.join(nodes, members["_rep"] == nodes["_id"], "left_semi").join(named, F.col("_rep") == named["node"], "left")
-    left = materialise(left.select("_fp", "_rep", F.coalesce("component", "_rep").alias("_label")), "left")
-    rest = compared(materialise(pairs_of(tree_links(met, left, spec, across=True)), "pairs"))
-    return edges.union(rest.where(enough).select("u", "v"))
+def links(docs: DataFrame, members: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (u, v) between members whose components are those of all links. members: written."""
+    spark = members.sparkSession
+    if spec.similarity is None:
+        keyed = members.select("_fp", "_m").mapInArrow(_block_keys(spec, blocks_for(spec, members.count())), "_shard int, _key long, _m long")
+    else:
+        keyed = members.select(F.posexplode("_keys").alias("_shard", "_key"), "_m")
+    keyed = materialise(keyed, "keys")
+    sizes = keyed.groupBy("_shard", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = keyed.join(sizes, ["_shard", "_key"])
+    trees = F.ceil(F.col("_n") / SHARD).cast("int")
+    met = materialise(met.select("_shard", "_key", "_m", trees.alias("_trees"), F.pmod(F.xxhash64("_m", "_shard"), trees).cast("int").alias("_tree")), "met")
+    drop_written(spark, keyed)
+    sets = None
+    if spec.similarity is not None:
+        nodes = members.join(met.select("_m").distinct(), "_m", "left_semi").select("_m", *KEY)
+        sets = materialise(_sets(docs, nodes, spec, id_col, text_col), "sets")
+    schema = "u long, v long"
+    first = materialise(_dealt(met.withColumns({"_own": F.lit(True), "_label": F.col("_m")}), members, sets).mapInArrow(_tree_links(spec, True), schema), "links")
+    dense = met.where("_trees > 1")
+    if dense.isEmpty():
+        return first
+    named = components(first)
+    dense = dense.join(named, dense["_m"] == named["node"], "left").withColumn("_label", F.coalesce("component", "_m")).drop("node", "component")
+    dense = materialise(dense, "dense")
+    most = dense.groupBy("_shard", "_key", "_label").agg(F.count(F.lit(1)).alias("_c"))
+    most = materialise(most.groupBy("_shard", "_key").agg(F.max_by("_label", F.struct("_c", "_label")).alias("_most")), "most")
+    dense = dense.join(most, ["_shard", "_key"])
+    others = F.filter(F.sequence(F.lit(0), F.col("_trees") - 1), lambda t: t != F.col("_tree"))
+    visits = dense.where("_label <> _most").withColumns({"_tree": F.explode(others), "_own": F.lit(False)})
+    rest = _dealt(dense.withColumn("_own", F.lit(True)).unionByName(visits), members, sets).mapInArrow(_tree_links(spec, False), schema)
+    return materialise(first.union(rest), "links")
 
 
 def near_duplicates(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _fp, _component) of every row; the component is the smallest id reachable by links, which
-    are verified if the spec has a similarity."""
+    """(_id, _k, _t1, _t2, _fp, _group, _component) of every row: its fingerprint, a number of its group,
+    and the group's smallest id.  Equal fingerprints are one member (sets alike to 0.8 or less agree on 512
+    bits with a probability below 10^-36)."""
     rows = materialise(fingerprints(docs, spec, id_col, text_col), "fingerprints")
-    members = materialise(rows.where("_id is not null").groupBy("_fp").agg(F.min("_id").alias("_rep")), "members")
-    found = components(links(members, spec) if spec.similarity is None else verified_links(docs, members, spec, id_col, text_col))
-    named = members.join(found, members["_rep"] == found["node"], "left").select("_fp", F.coalesce("component", "_rep").alias("_component"))
-    return rows.join(named, "_fp", "left").select("_id", "_fp", "_component")
+    members = rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.min(F.struct(*KEY)).alias("_row"), F.first("_keys").alias("_keys"))
+    # a member's number is fixed once it is written
+    members = materialise(members.select("_fp", "_least", "_row.*", "_keys", F.monotonically_increasing_id().alias("_m")), "members")
+    found = components(links(docs, members, spec, id_col, text_col))
+    named = members.join(found, members["_m"] == found["node"], "left").select("_fp", "_least", F.coalesce("component", "_m").alias("_group"))
+    named = materialise(named, "named")
+    least = materialise(named.groupBy("_group").agg(F.min("_least").alias("_component")), "least")
+    named = named.join(least, "_group").select("_fp", "_group", "_component")
+    return rows.join(named, "_fp").select("_id", *KEY, "_fp", "_group", "_component")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

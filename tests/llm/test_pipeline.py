@@ -24,9 +24,9 @@ def test_stages_of_the_table(spark, sf):
     shingles = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
     ids = sorted(texts)
     alike = {(a, b): len(shingles[a] & shingles[b]) / max(len(shingles[a] | shingles[b]), 1) for a in ids for b in ids if a < b and shingles[a] & shingles[b]}
-    assert not [p for p, j in alike.items() if j >= 0.87 and p[0] in kept and p[1] in kept]
+    assert not [p for p, j in alike.items() if j >= 0.8 and p[0] in kept and p[1] in kept]
     for i in set(ids) - set(kept):
-        assert max([j for p, j in alike.items() if i in p], default=0) >= 0.6
+        assert max([j for p, j in alike.items() if i in p], default=0) >= 0.8
     cut = P.suffix_stage(spark, single, sf)
     assert cut.columns == columns and cut.count() == len(kept) and cut.where(F.length("text") != F.col("n_chars")).count() == 0
     packed = P.packing_stage(spark, cut, sf)
@@ -60,6 +60,9 @@ def test_planted_cases(spark, tmp_path):
     ids = sorted(x[0] for x in single.select("doc_id").where("doc_id IS NOT NULL").collect())
     assert ids == [*range(60), 70]  # 60 and 61 are copies of 3, 71 of 70, and 5 stays once
     assert single.where("doc_id IS NULL").count() == 1
+    again = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((7, docs[1]), (7, docs[2]), (8, docs[4]), (3, docs[1]), (3, docs[1]), (None, docs[2]))], df.schema)
+    told = sorted((x["doc_id"], x["text"]) for x in P.simhash_stage(spark, again, "").collect())
+    assert told == sorted([(3, docs[1]), (7, docs[2]), (8, docs[4])])
     cut = {x["doc_id"]: x["text"] for x in P.suffix_stage(spark, single, "").collect()}
     assert passage in cut[10] and all(passage[60:-60] not in cut[k] and cut[k].startswith(docs[k][:300]) and cut[k].endswith(docs[k][-300:]) for k in (11, 12))
     assert all(cut[k] == docs[k] for k in range(60) if k not in (11, 12, 31)) and cut[70] is None
