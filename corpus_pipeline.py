@@ -6,8 +6,9 @@ again as the next stage's docs.  All but the last return the columns of document
 1. toxicity: the machine of ``spanforge.llm.toxicity``, fitted on the labels of ``sf_dir``, drops
    documents that it scores at its threshold or above.
 2. simhash_near_dedup: of documents linked by their SimHash (shingles of five words) and an exact
-   similarity of 0.8 or more, the one with the smallest id stays; rows without an id are no part of a
-   group and stay.
+   similarity of 0.8 or more, the one with the smallest id stays.  A row without an id stays only if its
+   group has none with an id; documents are told apart by id and text, so that different texts of one id
+   are different documents, and of rows with equal id and text one stays.
 3. suffix_array_dedup: later copies of passages go, the first stays.  A passage is a run of bytes all of
    whose strings of ``PASSAGE_BYTES`` have an earlier copy, and has at least ``PASSAGE_WORDS`` words;
    characters cut in half stay whole; documents stay even if nothing is left of them; n_chars is the
@@ -44,13 +45,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    found = materialise(simhash.near_duplicates(docs, simhash.WIDE).where("_id is not null"), "groups")
-    copies = found.where("_id <> _component").select(F.col("_id").alias("doc_id")).distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("_id = _component").groupBy("_id").count().where("count > 1").select(F.col("_id").alias("doc_id"))
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    found = materialise(simhash.near_duplicates(docs, simhash.WIDE).select("_id", *simhash.KEY, "_group"), "groups")
+    first = found.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), *simhash.KEY)).alias("row"))
+    again = found.groupBy(*simhash.KEY).agg((F.count(F.lit(1)) > 1).alias("again"))
+    stays = first.select(*(F.col(f"row.{k}").alias(k) for k in simhash.KEY)).join(again, simhash.KEY)
+    own = [f"__row{k}" for k in simhash.KEY]
+    stays = materialise(stays.toDF(*own, "__again"), "stays")
+    rows = docs.withColumns(dict(zip(own, simhash.row_key("doc_id", "text"), strict=True))).join(stays, own)
+    return rows.where(~F.col("__again")).union(rows.where("__again").dropDuplicates(own)).select(*docs.columns)
 
 
 def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
