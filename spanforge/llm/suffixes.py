@@ -1,9 +1,13 @@
 """Removal of repeated substrings by longest-previous-factor arrays over sharded suffix arrays.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere else, the same
-document included (matches never cross documents).  With ``keep_first`` only the later copies go: a
-position's longest previous factor, found among the nearest smaller positions before and after it in
-suffix order, tells whether an earlier copy exists.
+document included (matches never cross documents).  With ``keep_first`` only the later copies go.  A
+window of ``LENGTH`` bytes has an earlier copy if its longest previous factor, the longest match that
+starts earlier, reaches ``LENGTH``; that is found at the nearest smaller positions before and after it
+in suffix order.  Its source is then the copy to be marked too, where all copies go.
+
+Equal texts are one text with a count and the smallest id of its rows: copies of a whole text, however
+many, meet nothing but that count.
 
 One suffix array of a corpus would not fit a task, so suffixes are dealt out by content:
 
@@ -13,21 +17,23 @@ One suffix array of a corpus would not fit a task, so suffixes are dealt out by
 2. *Classes.*  A unit whose core (what all windows of its group share) occurs once repeats nothing and
    is discarded, as in prefix doubling with discarding.  Units that are equal as a whole are one class:
    all their windows repeat, and one of them, the first, stands for the class from there on.
-3. *Suffix arrays.*  Of what is left, groups with a common core meet in one task with the bytes of
-   their windows.  Ranks are doubled from 8 bytes to ``LENGTH``; in suffix order, windows with equal
-   ranks are neighbours, and the smallest position of such a run is the previous smaller one of all
-   others.  Groups of more than ``GROUP`` units are split by a finer grid of offsets first (their
-   cores grow towards ``LENGTH``), and pass through step 2 again, however large they were.
+3. *Longest previous factors.*  Of what is left, groups with a common core meet in one task with the
+   bytes of their windows.  Ranks are doubled from 8 bytes to ``LENGTH``; the suffix order that they
+   give, its previous and next smaller positions and the common prefixes with those make the array.
+   Groups of more than ``GROUP`` units are split by a finer grid of offsets first (their cores grow
+   towards ``LENGTH``), and pass through step 2 again, however large they were.
 
 Names of substrings are 64-bit hashes; windows are compared by rank, not by hash, except within a
-class and in groups that had to be split down to single windows.
+class and in groups that had to be split down to single windows.  Texts are named by 128 bits.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` bytes repeat nothing; rows with
-equal id and text are copies of each other and are cut alike; rows with a null id are documents like
-others.  Ties in ``keep_first`` go to the smaller id.  Other columns are ignored.
+equal id and text are copies of each other and are cut alike: with ``keep_first`` all rows of a text's
+smallest id count as its first, and all others lose it whole.  Rows with a null id are documents like
+others and come first.  Ties between texts of one id go by the order in which they were numbered.
+Other columns are ignored.
 
-Scale: texts are shuffled twice, to fetch windows' bytes and to be cut; everything else moves some 30
-bytes per 128 bytes of text once, then only what repeats.
+Scale: texts are shuffled three times, to meet their copies, to fetch windows' bytes and to be cut;
+everything else moves some 40 bytes per 128 bytes of text once, then only what repeats.
 """
 
 from __future__ import annotations
@@ -108,20 +114,20 @@ def anchored_units(text: bytes, length: int, reach: int) -> Iterator[tuple[np.nd
         yield a + s, a - high, a - low, core[a], names.of_each(low, high - low + length)
 
 
-UNIT = "core long, full long, d long, th int, a long, o1 int, o2 int"
+UNIT = "core long, full long, d long, t long, a long, o1 int, o2 int"
 
 
 def _units(length: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            d, t = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             parts: list[tuple[np.ndarray, ...]] = []
             for i, text in enumerate(b.column(2)):
                 raw = text.as_py() or b""
                 if len(raw) < length:
                     continue
                 for a, o1, o2, core, full in anchored_units(raw, length, reach):
-                    parts.append((core.view(np.int64), full.view(np.int64), np.full(len(a), d[i]), np.full(len(a), th[i]), a, o1.astype(np.int32), o2.astype(np.int32)))
+                    parts.append((core.view(np.int64), full.view(np.int64), np.full(len(a), d[i]), np.full(len(a), t[i]), a, o1.astype(np.int32), o2.astype(np.int32)))
                 if sum(len(p[0]) for p in parts[-64:]) > 50_000 or len(parts) > 2000:
                     yield _batch(parts)
                     parts = []
@@ -133,7 +139,7 @@ def _units(length: int, reach: int):
 
 def _batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["core", "full", "d", "th", "a", "o1", "o2"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["core", "full", "d", "t", "a", "o1", "o2"])
 
 
 def classify(units: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def classify(units: DataFrame) -> DataFrame:
     most = units.count()  # of a written table: the files' footers
     again = materialise(units.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"), "cores", most // 2)
     left = materialise(units.join(again, "core"), "repeated", most)
-    place = F.struct("d", "th", (F.col("a") - F.col("o2")).alias("w"))
+    place = F.struct("d", "t", (F.col("a") - F.col("o2")).alias("w"))
     # aggregates are written before they are joined, so that a join may split a core or class that is in
     # a large share of all rows
     classes = materialise(left.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_least")), "sizes", most)
@@ -156,7 +162,7 @@ def classify(units: DataFrame) -> DataFrame:
 
 
 def _contexts(length: int):
-    """The bytes of units' windows: rows (d, th, text, units) to (unit, first, n, ctx)."""
+    """The bytes of units' windows: rows (d, t, text, units) to (unit, rep, ctx)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,9 +170,9 @@ def _contexts(length: int):
                 text, units = b.column(2)[k].as_py(), b.column(3)[k].as_py()
                 ctx = [text[u["a"] - u["o2"] : u["a"] - u["o1"] + length] for u in units]
                 m = len(units)
-                cols = [pa.array([u["core"] for u in units], pa.int64()), pa.array([u["full"] for u in units], pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int32())]
+                cols = [pa.array([u["core"] for u in units], pa.int64()), pa.array([u["full"] for u in units], pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64())]
                 cols += [pa.array([u["a"] for u in units], pa.int64()), *(pa.array([u[c] for u in units], pa.int32()) for c in ("o1", "o2")), pa.array([u["rep"] for u in units], pa.bool_()), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["core", "full", "d", "th", "a", "o1", "o2", "rep", "ctx"])
+                yield pa.RecordBatch.from_arrays(cols, names=["core", "full", "d", "t", "a", "o1", "o2", "rep", "ctx"])
 
     return run
 
@@ -177,80 +183,86 @@ def _split(length: int, grid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(9)]
-            for _, _, d, th, a, o1, o2, rep, ctx in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, _, d, t, a, o1, o2, rep, ctx in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 names, start = Names(ctx, length + grid), a - o2
                 for j in range(o1 // grid, o2 // grid + 1):
                     p1, p2 = max(j * grid, o1), min(j * grid + grid - 1, o2)
                     core = names.of(np.array([a - j * grid - start]), length - grid + 1).view(np.int64)[0]
                     low, size = a - p2 - start, p2 - p1 + length
                     full = names.of(np.array([low]), size).view(np.int64)[0]
-                    for col, v in zip(cols, (core, full, d, th, a, p1, p2, rep, ctx[low : low + size]), strict=True):
+                    for col, v in zip(cols, (core, full, d, t, a, p1, p2, rep, ctx[low : low + size]), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=b.schema.names)
 
     return run
 
 
-def window_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks, in suffix order, of the substrings of ``length`` bytes at ``starts``, by doubling from 8
-    bytes. ``text`` has at least 8 bytes of padding behind the last of them."""
-    packed = np.zeros(len(text) - 7, np.uint64)
-    for k in range(8):
-        packed = (packed << np.uint64(8)) | text[k : len(text) - 7 + k]
-    rank = np.unique(packed, return_inverse=True)[1]
-    size = 8
-    while size * 2 <= length:
-        key = rank[: len(rank) - size] * np.int64(int(rank.max()) + 1) + rank[size:]
-        rank = np.unique(key, return_inverse=True)[1]
-        size *= 2
-    key = rank[starts] * np.int64(int(rank.max()) + 1) + rank[starts + length - size]
-    return np.unique(key, return_inverse=True)[1]
-
-
-def earlier_and_any(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows with suffix ranks and positions: whether an earlier equal window exists (longest
-    previous factor of full length) and whether any other does.
-
-    In suffix order with equals by position, a window's run begins at the last place where the rank
-    changed. The run's first position is the smallest: the previous smaller one of all others."""
-    order = np.lexsort((position, rank))
-    r, p = rank[order], position[order]
-    new = np.r_[True, r[1:] != r[:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-    sizes = np.bincount(np.cumsum(new) - 1)
-    earlier, other = np.empty(len(r), bool), np.empty(len(r), bool)
-    earlier[order] = p > p[head]
-    other[order] = np.repeat(sizes, sizes) > 1
-    return earlier, other
-
-
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """The longest-previous-factor array of a short text: the length of the longest match of each
-    suffix that starts earlier, from previous and next smaller positions in suffix order."""
-    n = len(text)
-    suffixes = sorted(range(n), key=lambda i: text[i:])
-    out = np.zeros(n, np.int64)
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while max(a, b) + k < n and text[a + k] == text[b + k]:
-            k += 1
-        return k
-
-    for order in (suffixes, suffixes[::-1]):  # previous smaller, then next smaller
-        stack: list[int] = []
-        for i in order:
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                out[i] = max(out[i], common(stack[-1], i))
-            stack.append(i)
-    return out
+class Suffixes:
+    """Windows of ``length`` bytes at ``starts`` of a text (at least 8 bytes of padding behind the last of
+    them) in suffix order: ranks of all substrings of 8, 16, ... bytes, and the windows' own."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, length: int) -> None:
+        self.text, self.starts, self.length = text, starts, length
+        packed = np.zeros(len(text) - 7, np.uint64)
+        for k in range(8):
+            packed = (packed << np.uint64(8)) | text[k : len(text) - 7 + k]
+        rank = np.unique(packed, return_inverse=True)[1]
+        self.levels, size = [rank], 8
+        while size * 2 <= length:
+            key = rank[: len(rank) - size] * np.int64(int(rank.max()) + 1) + rank[size:]
+            rank = np.unique(key, return_inverse=True)[1]
+            self.levels.append(rank)
+            size *= 2
+        key = rank[starts] * np.int64(int(rank.max()) + 1) + rank[starts + length - size]
+        self.rank = np.unique(key, return_inverse=True)[1]
+
+    def common(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of windows, ``length`` at most."""
+        a, b = self.starts[one], self.starts[other]
+        out = np.where(self.rank[one] == self.rank[other], self.length, 0)
+        at = np.flatnonzero(out == 0)
+        for k in range(len(self.levels) - 1, -1, -1):
+            size, rank = 8 << k, self.levels[k]
+            at_ = at[out[at] + size <= self.length]
+            out[at_[rank[a[at_] + out[at_]] == rank[b[at_] + out[at_]]]] += size
+        for _ in range(7):
+            at = at[out[at] < self.length]
+            at = at[self.text[a[at] + out[at]] == self.text[b[at] + out[at]]]
+            out[at] += 1
+        return out
+
+    def previous_factors(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest-previous-factor array of the windows (lengths up to ``length``) and each one's
+        source, a window with a smaller position that it is found at (-1: none)."""
+        order = np.lexsort((position, self.rank))
+        n = len(order)
+        before = smaller_before(position[order])
+        after = n - 1 - smaller_before(position[order][::-1])[::-1]
+        factor, source = np.zeros(n, np.int64), np.full(n, -1)
+        for near in (before, after):
+            at = np.flatnonzero((near >= 0) & (near < n))
+            windows, others = order[at], order[near[at]]
+            length = self.common(windows, others)
+            more = length > factor[windows]
+            factor[windows[more]], source[windows[more]] = length[more], others[more]
+        return factor, source
+
+
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each value the place of the nearest smaller one before it, or -1.  All chains of larger ones are
+    followed at once: what a larger one skipped is larger still."""
+    found = np.arange(-1, len(values) - 1)
+    todo = np.arange(len(values))
+    while len(todo):
+        todo = todo[found[todo] >= 0]
+        todo = todo[values[found[todo]] > values[todo]]
+        found[todo] = found[found[todo]]
+    return found
 
 
 def _ranges(length: int, keep_first: bool):
-    """Groups of units with their bytes, sorted by core, to byte ranges (d, th, beg, end)."""
+    """Groups of units with their bytes, sorted by core, to byte ranges (t, beg, end)."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         pad = b"\0" * 8
@@ -260,22 +272,22 @@ def _ranges(length: int, keep_first: bool):
         count = sizes - length + 1
         unit = np.repeat(np.arange(len(rows)), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        d, th, start = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+        d, t, start = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
         start = start - np.array([r[6] for r in rows])
         w = start[unit] + k
-        rank = window_ranks(text, begs[unit] + k, length)
-        by = np.lexsort((w, th[unit], d[unit]))
-        moved = np.r_[False, (np.diff(d[unit][by]) != 0) | (np.diff(th[unit][by]) != 0) | (np.diff(w[by]) != 0)]
         position = np.empty(len(w), np.int64)
-        position[by] = np.cumsum(moved)
-        earlier, other = earlier_and_any(rank, position)
-        hit = earlier if keep_first else other & ~np.array([r[7] for r in rows])[unit]
+        position[np.lexsort((w, t[unit], d[unit]))] = np.arange(len(w))
+        factor, source = Suffixes(text, begs[unit] + k, length).previous_factors(position)
+        hit = factor >= length
+        if not keep_first:
+            hit[source[hit]] = True
+            hit &= ~np.array([r[7] for r in rows])[unit]
         at = np.flatnonzero(hit)
         if not len(at):
             return None
         new = np.r_[True, (np.diff(at) != 1) | (unit[at][1:] != unit[at][:-1])]
         first, last = at[new], at[np.r_[np.flatnonzero(new)[1:], len(at)] - 1]
-        return pa.RecordBatch.from_arrays([pa.array(d[unit[first]], pa.int64()), pa.array(th[unit[first]], pa.int32()), pa.array(w[first], pa.int64()), pa.array(w[last] + length, pa.int64())], names=["d", "th", "beg", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(t[unit[first]], pa.int64()), pa.array(w[first], pa.int64()), pa.array(w[last] + length, pa.int64())], names=["t", "beg", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -295,45 +307,65 @@ def _ranges(length: int, keep_first: bool):
     return run
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
+def _text_key(text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("th"), text.cast("binary").alias("text")]
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
+def _row_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """(d, th, beg, end): byte ranges to remove, overlapping ones not merged. d and th are the row's key."""
-    spark = docs.sparkSession
-    rows = docs.select(*_row_key(id_col, text_col))
-    units = materialise(rows.mapInArrow(_units(length, reach), UNIT), "units")
+    """(h1, h2, d, n, ranges) of every distinct text that repeats anything: its name, its smallest id, its
+    rows, and the byte ranges to remove from one of them (overlapping ones not merged, null if none)."""
+    spark, made = docs.sparkSession, []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    h1, h2 = _text_key(text_col)
+    rows = docs.where(F.octet_length(F.col(text_col)) >= length).select(h1.alias("h1"), h2.alias("h2"), _row_id(id_col).alias("d"), F.col(text_col).cast("binary").alias("text"))
+    texts = rows.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    # a text's number is fixed once it is written
+    texts = written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    units = materialise(texts.select("d", "t", "text").mapInArrow(_units(length, reach), UNIT), "units")
     told = classify(units)
+    made.append(told)
     drop_written(spark, units)
-    window = [F.col("d"), F.col("th"), (F.col("a") - F.col("o2")).alias("beg"), (F.col("a") - F.col("o1") + length).alias("end")]
+    window = [F.col("t"), (F.col("a") - F.col("o2")).alias("beg"), (F.col("a") - F.col("o1") + length).alias("end")]
     whole = (F.col("n") > 1) & ~F.col("first") if keep_first else F.col("n") > 1
     found = [told.where(whole).select(*window)]
     # what a suffix array has to decide: units alone in their class, and one of each other class beside them
     open_ = (F.col("kinds") > 1) & ((F.col("n") == 1) | F.col("first"))
     unit = F.struct("core", "full", "a", "o1", "o2", (F.col("n") > 1).alias("rep"))
-    wanted = told.where(open_).groupBy("d", "th").agg(F.collect_list(unit).alias("units"))
+    wanted = told.where(open_).groupBy("t").agg(F.collect_list(unit).alias("units"))
     fields = UNIT + ", rep boolean, ctx binary"
-    parts = materialise(rows.join(wanted, ["d", "th"]).mapInArrow(_contexts(length), fields), "windows")
+    parts = written(texts.select("d", "t", "text").join(wanted, "t").select("d", "t", "text", "units").mapInArrow(_contexts(length), fields), "windows")
     for grid in (*GRIDS, 0):
         large = parts.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select("core")
         if not grid or large.isEmpty():
             large = None
         small = parts if large is None else parts.join(large, "core", "left_anti")
         dealt = small.repartition("core").sortWithinPartitions("core")
-        found.append(materialise(dealt.mapInArrow(_ranges(length, keep_first), "d long, th int, beg long, end long"), "ranges"))
+        found.append(written(dealt.mapInArrow(_ranges(length, keep_first), "t long, beg long, end long"), "ranges"))
         if large is None:
             break
-        finer = materialise(parts.join(large, "core", "left_semi").mapInArrow(_split(length, grid), fields), "windows")
+        finer = written(parts.join(large, "core", "left_semi").mapInArrow(_split(length, grid), fields), "windows")
         # a unit that stood for a class still does; its parts count as repeated
         told = classify(finer)
+        made.append(told)
         whole = (F.col("n") > 1) & ~F.col("first") if keep_first else (F.col("n") > 1) & ~F.col("rep")
         found.append(told.where(whole).select(*window))
-        parts = materialise(told.where(open_).withColumn("rep", F.col("rep") | (F.col("n") > 1)).select(*finer.columns), "windows")
-    out = found[0]
+        parts = written(told.where(open_).withColumn("rep", F.col("rep") | (F.col("n") > 1)).select(*finer.columns), "windows")
+    every = found[0]
     for more in found[1:]:
-        out = out.union(more)
+        every = every.union(more)
+    lists = every.groupBy("t").agg(F.collect_list(F.struct("beg", "end")).alias("ranges"))
+    out = materialise(texts.select("t", "h1", "h2", "d", "n").join(lists, "t", "left").where("n > 1 OR ranges IS NOT NULL").drop("t"), "repeats")
+    for done in made:
+        drop_written(spark, done)
     return out
 
 
@@ -357,18 +389,21 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(every column of docs, __ranges): the rows with their own ranges, as a list or null."""
-    keys = _row_key(id_col, text_col)[:2]
-    lists = ranges.groupBy(F.col("d").alias("__row_d"), F.col("th").alias("__row_th")).agg(F.collect_list(F.struct("beg", "end")).alias("__ranges"))
-    keyed = docs.withColumns({"__row_d": keys[0], "__row_th": keys[1]})
-    return keyed.join(lists, ["__row_d", "__row_th"], "left").drop("__row_d", "__row_th")
+def with_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """(every column of docs, __ranges): the rows with the byte ranges to remove from them, as a list or null."""
+    repeats = repeated_ranges(docs, length, keep_first, id_col, text_col, reach)
+    repeats = repeats.select(*(F.col(c).alias(f"__row_{c}") for c in repeats.columns))
+    keyed = docs.withColumns(dict(zip(("__row_h1", "__row_h2"), _text_key(text_col), strict=True))).join(repeats, ["__row_h1", "__row_h2"], "left")
+    gone = F.col("__row_d") != _row_id(id_col) if keep_first else F.col("__row_n") > 1
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("beg"), F.octet_length(F.col(text_col)).cast("long").alias("end")))
+    ranges = F.when(gone, whole).otherwise(F.col("__row_ranges"))
+    return keyed.withColumn("__ranges", ranges).drop(*repeats.columns)
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes that start more than once in the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_ranges(docs, repeated_ranges(docs), "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"), "__ranges")
+    rows = with_ranges(docs).select("doc_id", F.col("text").cast("binary").alias("text"), "__ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

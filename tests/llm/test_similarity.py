@@ -275,7 +275,7 @@ def test_repeats_model(spark, monkeypatch, group, first):
     monkeypatch.setattr(suffixes, "GRIDS", (4, 1))
     docs = repetitive(5 + group, 60)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: suffixes.merged([x.asDict() for x in r["__ranges"] or ()]) for r in suffixes.with_ranges(df, suffixes.repeated_ranges(df, 40, first, reach=16), "doc_id", "text").collect()}
+    got = {r["doc_id"]: suffixes.merged([x.asDict() for x in r["__ranges"] or ()]) for r in suffixes.with_ranges(df, 40, first, reach=16).collect()}
     assert got == brute_ranges([(i, t.encode()) for i, t in docs], 40, first)
 
 
@@ -314,30 +314,55 @@ def test_long_text_in_segments(monkeypatch):
     assert cores(500) == cores(1 << 20)
 
 
-def test_lpf_and_ranks():
+def test_longest_previous_factors():
+    """The array of the main path against brute force, positions in any order."""
     r = random.Random(7)
-    for _ in range(30):
-        t = bytes(r.choice(b"ab") for _ in range(r.randint(0, 60)))
-        lpf = suffixes.longest_previous_factor(t)
-        for i in range(len(t)):
-            want = max([0] + [k for j in range(i) for k in range(1, len(t) - i + 1) if t[j : j + k] == t[i : i + k]])
-            assert lpf[i] == want
-    t = bytes(r.choice(b"ab") for _ in range(600))
-    starts = np.arange(0, 600 - 40)
-    rank = suffixes.window_ranks(np.frombuffer(t + b"\0" * 8, np.uint8), starts, 40)
-    words = [t[s : s + 40] for s in starts]
-    order = {w: k for k, w in enumerate(sorted(set(words)))}
-    assert rank.tolist() == [order[w] for w in words]
-    earlier, other = suffixes.earlier_and_any(rank, starts)
-    lpf = suffixes.longest_previous_factor(t)
-    assert earlier.tolist() == [bool(lpf[s] >= 40) for s in starts] and other.tolist() == [words.count(w) > 1 for w in words]
+    assert suffixes.smaller_before(np.array([3, 1, 2, 5, 4, 0])).tolist() == [-1, -1, 1, 2, 2, -1]
+    assert suffixes.smaller_before(np.arange(0)).tolist() == []
+    for letters, size in ((b"ab", 90), (b"ab", 400), (b"a", 120), (b"abcdefgh", 200)):
+        t = bytes(r.choice(letters) for _ in range(size))
+        t += t[10:60]
+        starts = np.arange(len(t) - 43)
+        position = np.array(r.sample(range(1000), len(starts)))
+        factor, source = suffixes.Suffixes(np.frombuffer(t + b"\0" * 8, np.uint8), starts, 44).previous_factors(position)
+
+        def common(a, b, t=t):
+            return next((k for k in range(44) if t[a + k] != t[b + k]), 44)
+
+        for i in range(0, len(starts), 7):
+            want = max([common(i, j) for j in starts if position[j] < position[i]], default=0)
+            assert factor[i] == want
+            assert source[i] == -1 if not want else position[source[i]] < position[i] and common(i, source[i]) == want
+
+
+def test_texts_without_an_id_are_told_apart(spark):
+    """Texts of one id or of none are named by themselves: what repeats nothing is left alone."""
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdef") for _ in range(900)) for _ in range(4)]
+    rows = [(None, t) for t in texts] + [(1, texts[0]), (1, texts[1][:600]), (1, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["text"]): suffixes.merged([y.asDict() for y in x["__ranges"] or ()]) for x in suffixes.with_ranges(df).collect()}
+    assert got[None, texts[0]] == got[1, texts[0]] == [(0, 900)] and got[1, texts[1][:600]] == got[None, texts[1]] == [(0, 600)]
+    assert got[None, texts[2]] == got[None, texts[3]] == got[1, "short"] == []
+
+
+def test_equal_rows_cost_linear_work(spark):
+    """Equal rows leave one list of ranges, however many they are."""
+    r = random.Random(10)
+    text = "".join(r.choice("abcdef") for _ in range(3000))
+    other = text[:1500] + "".join(r.choice("abcdef") for _ in range(500))
+    for k in (50, 400):
+        df = spark.createDataFrame([(1, text)] * k + [(2, other)], "doc_id long, text string")
+        found = suffixes.repeated_ranges(df).collect()
+        assert sum(len(x["ranges"] or ()) for x in found) < 60 and {x["n"] for x in found} == {1, k}
+        assert suffixes.with_ranges(df).where("__ranges is not null").count() == k + 1
 
 
 def test_repeated_rows_are_cut_alike(spark):
     r = random.Random(8)
     text = "".join(r.choice("abcdef") for _ in range(900))
     df = spark.createDataFrame([(1, text), (1, text), (2, text[:500])], "doc_id long, text string")
-    kept = [r["__ranges"] is None for r in suffixes.with_ranges(df, suffixes.repeated_ranges(df, keep_first=True), "doc_id", "text").orderBy("doc_id").collect()]  # noqa: E501
+    kept = [r["__ranges"] is None for r in suffixes.with_ranges(df, keep_first=True).orderBy("doc_id").collect()]  # noqa: E501
     assert kept == [True, True, False]
     assert df.select(F.count("*")).first()[0] == 3
 
