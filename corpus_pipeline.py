@@ -83,7 +83,7 @@ def _cut_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without later copies of passages."""
-    rows = suffixes.with_ranges(docs, suffixes.repeated_ranges(docs, PASSAGE_BYTES, keep_first=True, reach=PASSAGE_REACH), "doc_id", "text")
+    rows = suffixes.with_ranges(docs, PASSAGE_BYTES, keep_first=True, reach=PASSAGE_REACH)
     text = F.pandas_udf(_cut_text, "string")(F.col("text"), F.transform("__ranges", lambda r: r["beg"]), F.transform("__ranges", lambda r: r["end"]))
     rows = rows.withColumn("text", text)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
