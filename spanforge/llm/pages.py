@@ -41,12 +41,12 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
-    r"|<(?P<held>template|svg|math|object|canvas|audio|video|select)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=held)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HELD = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("template", "svg", "math", "object", "canvas", "audio", "video", "select")}
+_ATTR = re.compile(r"(?:\A|(?<=[\s\"'/]))([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -80,9 +80,13 @@ _MARKS = (",", ".", "!", "?", ";", ":")
 
 class Page:
     """Nodes of one page in document order: ``kind``, ``parent``, ``end`` (behind the subtree),
-    ``depth``, ``hint`` and ``above`` (own and inherited tokens and kinds), run ``text`` and counts."""
+    ``depth``, ``hint`` and ``above`` (own and inherited tokens and kinds), run ``text`` and counts.
+    ``practice`` pages have labels, which no other page's attributes are taken for.  The open elements of
+    each name are known by their place, so that every tag costs the same however deep it is."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, practice: bool = False) -> None:
+        self._practice = practice
+        self._places: dict[str, list[int]] = {}  # of open elements on the stack, by tag
         self.kind: list[int] = []
         self.parent: list[int] = []
         self.end: list[int] = []
@@ -98,17 +102,26 @@ class Page:
         self._linked = 0
         self._open("html", "")
         at = 0
-        for m in _TOKEN.finditer(source):
+        never: set[str] = set()  # held elements whose end does not come any more
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self._add(source[at : m.start()])
             at = m.end()
             tag = m["tag"]
             if tag is None:
-                if (m["raw"] or m["held"] or "").lower() in ("select", "textarea"):
+                if (m["raw"] or "").lower() == "textarea":
                     self._open("input", "")
                     self._close_to(len(self._stack) - 1)
                 continue
             tag = tag.lower()
+            if tag in _HELD and not m["close"] and tag not in never:
+                if end := _HELD[tag].search(source, at):
+                    at = end.end()
+                    if tag == "select":
+                        self._open("input", "")
+                        self._close_to(len(self._stack) - 1)
+                    continue
+                never.add(tag)
             if tag in _INLINE:
                 if tag == "br":
                     self._parts.append(" ")
@@ -117,11 +130,9 @@ class Page:
                 continue
             self._flush()
             if m["close"]:
-                for k in range(len(self._stack) - 1, 0, -1):
-                    if self._stack[k][0] == tag:
-                        self._close_to(k)
-                        break
-            elif tag not in ("html", "head") and not (tag == "body" and any(s[0] == "body" for s in self._stack)):
+                if (k := self._last(tag)) > 0:
+                    self._close_to(k)
+            elif tag not in ("html", "head") and not (tag == "body" and self._last("body") >= 0):
                 self._end_implied(tag)
                 self._open(tag, m["attrs"])
                 if tag in _VOID or m["attrs"].endswith("/") and tag in ("input",):
@@ -131,25 +142,18 @@ class Page:
         self._flush()
         self._close_to(0)
 
+    def _last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=-1)
+
     def _end_implied(self, tag: str) -> None:
-        if tag in _ENDS_P:
-            for k in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[k][0]
-                if name == "p":
-                    self._close_to(k)
-                    break
-                if name in ("td", "th", "button", "object", "table", "body"):
-                    break
+        if tag in _ENDS_P and (k := self._last("p")) > self._last("td", "th", "button", "object", "table", "body"):
+            self._close_to(k)
         ends = _ENDS.get(tag)
-        if ends:
-            for k in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[k][0]
-                if name in _SCOPE and name not in ends:
-                    break
-                if name in ends:
-                    self._close_to(k)
-                    if tag not in ("tr", "tbody", "tfoot", "thead"):
-                        break
+        while ends and (k := self._last(*ends)) > max(0, self._last(*(_SCOPE - ends))):
+            self._close_to(k)
+            if tag not in ("tr", "tbody", "tfoot", "thead"):
+                break
 
     def _node(self, kind: int, hint: int) -> int:
         node = len(self.kind)
@@ -171,18 +175,20 @@ class Page:
                 if name in ("class", "id", "role", "itemprop", "aria-label", "style"):
                     for w in _WORD.findall(_CAMEL.sub(" ", a or b or c).lower()):
                         hint |= _HINT.get(w, 0)
-                elif name == "data-practice":
+                elif self._practice and name == "data-practice":
                     label = int(a)
         if "hidden" in attrs and re.search(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", attrs):
             hint |= _HINT["hidden"]
         node = self._node(_NUMBER[_KIND.get(tag, "other")], hint)
         self.label[node] = label
+        self._places.setdefault(tag, []).append(len(self._stack))
         self._stack.append((tag, node, label))
 
     def _close_to(self, k: int) -> None:
         n = len(self.kind)
-        for _, node, _ in self._stack[k:]:
+        for tag, node, _ in reversed(self._stack[k:]):
             self.end[node] = n
+            self._places[tag].pop()
         del self._stack[k:]
 
     def _add(self, text: str) -> None:
@@ -377,7 +383,7 @@ def practice(seed: int) -> str:
 @functools.cache
 def model(n_pages: int = PRACTICE_PAGES) -> Boosted:
     """Trees fitted on ``n_pages`` practice pages. A node is 1 if it holds main text."""
-    pages = [Page(practice(k)) for k in range(n_pages)]
+    pages = [Page(practice(k), True) for k in range(n_pages)]
     x = features(pages)
     y, weight = [], []
     for p in pages:

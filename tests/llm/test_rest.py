@@ -1,6 +1,7 @@
 """Sharding, neighbours, pages, chat and toxicity."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -126,7 +127,7 @@ def test_practice_pages_held_out():
     right = 0
     for k in range(20_000, 20_200):
         source = pages.practice(k)
-        page = pages.Page(source)
+        page = pages.Page(source, True)
         right += pages.extract([source], trees) == ["\n".join(page.text[v] for v in page.text if page.label[v])]
     assert right >= 190
 
@@ -159,6 +160,25 @@ def test_odd_pages(spark):
     assert isinstance(pages.extract([deep], pages.model())[0], str)
 
 
+def test_practice_labels_are_not_read_from_pages():
+    body = "<p>" + "This is the main text of the page, with a sentence or two. " * 8 + "</p>"
+    want = pages.extract([f"<article>{body}</article>"], pages.model())
+    for value in ('"x"', "1", "'0'", '""', '"1"'):
+        assert pages.extract([f"<article data-practice={value}>{body}</article>"], pages.model()) == want
+        assert not any(pages.Page(f"<article data-practice={value}>{body}</article>").label.values())
+
+
+@pytest.mark.parametrize("deep", ["<div><section>", "<p><x-a>", "<li><b>", "<table><tr><td>", "<select>", "<svg>", "<a b='", "<nosuch></div>"])
+def test_deep_pages_cost_linear_time(deep):
+    began = time.perf_counter()
+    page = pages.Page(deep * 25_000 + "text")
+    assert time.perf_counter() - began < 10
+    assert len(pages.features([page])) == len(page.kind)
+    wide = f"<div {'x' * 100_000} a=b>text</div>"
+    assert list(pages.Page(wide).text.values()) == ["text"]
+    assert time.perf_counter() - began < 20
+
+
 def test_decoding_has_no_contradictions():
     r = random.Random(4)
     page = pages.Page(pages.practice(5))
