@@ -4,12 +4,15 @@ Documents become pieces of at most ``CAPACITY`` tokens.  Only the number of piec
 matters for a plan, so the plan is made from at most ``CAPACITY`` counts: for each length, longest
 first, the gap it leaves is looked up among the sums of one, two and three available lengths, and a
 combination that fills it exactly is used as often as counts allow.  A gap that no combination fills
-takes the best-fitting length, and what remains of the gap is looked up again.  Sums of fewer lengths
-make other plans; the one with the fewest sequences is taken.
+takes the best-fitting length, and what remains of the gap is looked up again.  Sums of at most two
+lengths and of one make other plans; the one with the fewest sequences is taken (on even ground the one
+that looks up most).
 
 A plan is a list of layouts (lengths and how often) with the number of sequences of each.  A piece
 finds its place from its rank among the pieces of its length, so no task ever holds more than a
-bucket of one length, however common the length.
+bucket of one length, however common the length: buckets are as many as keep them at some
+``BUCKET_PIECES`` if all pieces have one length, and a piece's follows from its id, place and checksum,
+so that pieces of one id, or of none, are dealt out too.
 
 Defined results: a null text is empty and still has its end token; only documents longer than a
 sequence are cut, into full pieces behind a first one that may be shorter; ties between equal
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.llm.tokens import encode, encoding
+from spanforge.llm.tokens import encode_as_library
 from spanforge.shared import materialise
 from spanforge.sources.tables import table
 
 CAPACITY = 1024
 BUCKETS = 256
+BUCKET_PIECES = 1 << 17
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -118,13 +122,12 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
     """(_id, piece, start, length, ids_crc32 and, if asked for, ids) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols: list[list] = [[] for _ in range(6)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(enc, text or ""), end], np.dtype("<u4"))
+                    ids = np.array([*encode_as_library(vocabulary, text or ""), end], np.dtype("<u4"))
                     first = len(ids) % capacity or capacity
                     begs = [0, *range(first, len(ids), capacity)]
                     for k, (x, y) in enumerate(zip(begs, [*begs[1:], len(ids)], strict=True)):
@@ -158,7 +161,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces (columns _id, piece, length and others)."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs = pieces.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
-    bucket = pieces.withColumn("_b", F.pmod(F.xxhash64("_id", "piece"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, sum(counts.values()) // BUCKET_PIECES)
+    bucket = pieces.withColumn("_b", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = bucket.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     base = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("length", "_b", base.alias("_base"))

@@ -20,6 +20,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -48,7 +49,7 @@ def _ranks_of_json(path: str) -> dict[bytes, int]:
 @functools.cache
 def encoding(name: str) -> tiktoken.Encoding:
     """The merge engine for a vocabulary file, by name: ranks (.tiktoken) or a tokenizer (.json).
-    Merge order and id order are the same in both kinds, and special tokens are ordinary text."""
+    Merge order and id order are the same in both kinds, and special tokens are ordinary text here."""
     path = public_tokenizers.path(name)
     if name.endswith(".json"):
         ranks = _ranks_of_json(path)
@@ -58,6 +59,31 @@ def encoding(name: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def added_tokens(name: str) -> dict[str, int]:
+    """The ids of a tokenizer file's added tokens, by their text; a file of ranks has none.  The library finds
+    them in a text before anything else."""
+    if not name.endswith(".json"):
+        return {}
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: only added tokens that stand for their exact text are read")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encode_as_library(name: str, text: str) -> list[int]:
+    """The ids that the tokenizers library gives a text with its default settings: added tokens are single
+    ids, and what lies between them is encoded by itself."""
+    enc, added = encoding(name), added_tokens(name)
+    if not any(t in text for t in added):
+        return encode(enc, text)
+    out: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+        out += [added[part]] if part in added else encode(enc, part)
+    return out
+
+
 def seam(text: str, at: int) -> bool:
     """Whether encodings left and right of ``at`` are independent."""
     return text[at - 1] not in WHITE and text[at] in WHITE
