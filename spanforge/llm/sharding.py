@@ -1,18 +1,19 @@
 """Sharding over fixed virtual slots [native].
 
-Records hash into a fixed number of virtual slots.  Bytes are summed per slot, and a small versioned
+Records (id and text) hash into a fixed number of virtual slots.  Bytes are summed per slot, and a small versioned
 table maps slots to shards.  Moving a slot is one edited row of that table; records never rehash.
 
 Law ``bytes``: version 1 deals slots out in turn, and ``rebalance`` edits it into version 2, which
 moves slots until the shards' bytes are near equal.  Law ``key`` (``grow``): a slot's shard follows
 from the slot and the shard count alone, and a further shard takes slots only into itself.
 
-Defined results: a null text counts no bytes; a null id hashes to one fixed slot; repeated rows keep
-their slot and get places of their own; an empty table gives an empty result and a map whose slots
+Defined results: a null text counts no bytes; rows of one id or of none are dealt out by their texts;
+repeated rows share a slot and get places of their own, but a record that more than ``REPEATS`` rows
+repeat is dealt over all slots by its rows' numbers, so that it does not outweigh a shard; an empty table gives an empty result and a map whose slots
 all hold nothing.  Columns besides the id and the text are ignored, whatever their names.
 
-Scale: one scan of the texts, an aggregation that leaves at most ``n_slots`` rows, and one shuffle of
-(id, size, checksum) by slot.  The slot map has ``n_slots`` rows whatever the input, so it may be
+Scale: one scan of the texts, aggregations that leave the records repeated very often and at most
+``n_slots`` rows, and one shuffle of (id, size, checksum) by slot.  The slot map has ``n_slots`` rows whatever the input, so it may be
 broadcast and folded in one task.
 """
 
@@ -26,6 +27,7 @@ from spanforge.shared import materialise
 from spanforge.sources.tables import table
 
 N_SLOTS = 4096
+REPEATS = 1024
 SEED = "virtual-slot"
 
 
@@ -92,12 +94,16 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     shard, gapless from 0 in order of vslot and id).  Map: both versions.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialise(
-        docs.select(
-            F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col(id_col), n_slots).alias("vslot")
-        ),
-        "shard-rows",
-    )
+    size = (F.octet_length(text).cast("long") + 1).alias("size")
+    # a row's number is fixed once it is written
+    rows = materialise(docs.select(F.col(id_col).alias("_id"), size, F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
+    often = rows.groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > REPEATS)
+    often = materialise(often.select(F.col("_id").alias("_oid"), F.col("_t").alias("_ot")), "repeated")
+    turn = F.lit(0).cast("long")
+    if not often.isEmpty():
+        rows = rows.join(often, rows["_id"].eqNullSafe(often["_oid"]) & (rows["_t"] == often["_ot"]), "left")
+        turn = F.when(F.col("_ot").isNotNull(), F.col("_row")).otherwise(turn)
+    rows = rows.select("_id", "size", "text_crc32", slot_of(F.struct(F.col("_id"), F.col("_t"), turn.alias("turn")), n_slots).alias("vslot"))
     first = initial_map(docs.sparkSession, n_shards, n_slots)
     second = materialise(rebalance(first, slot_usage(rows, "size"), n_shards), "slot-map")
     base = F.sum("slot_rows").over(W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1))
