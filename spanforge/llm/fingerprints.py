@@ -8,11 +8,13 @@ corrected for chance equality: (share - 2^-8) / (1 - 2^-8), at least 0.
 
 Defined results: a null text is empty; fewer than five words are one shingle; a text without words
 has the empty fingerprint ``''``, alike (1.0) to another empty one and unlike (0.0) any other.  Equal
-texts have equal fingerprints.  Documents are ordered by descending id, null ids last, repeated ids
-by text; a table of one document follows itself.  Columns besides id and text are ignored.
+texts have equal fingerprints.  Documents are ordered by descending id, null ids last, rows of one id
+by text (in a range of more than ``CROWD`` rows by a hash of the text first); a table of one document
+follows itself.  Columns besides id and text are ignored.
 
 Scale: shingles stay inside their row as arrays of longs, never exploded.  ``followed`` moves each
-text once, by ranges of 64 ids; only the heads of those ranges are looked up across ranges.
+text once, by ranges of 64 ids; only the heads of those ranges are looked up across ranges.  A range
+that repeated ids or null ids crowd is cut into cells of one id and some ``CROWD`` rows by text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.shared import materialise
 from spanforge.sources.tables import table
 
 BIN_BITS = 8
@@ -29,7 +32,9 @@ LOW_BITS = 8
 WORDS = 5
 TRIES = 10
 RANGE = 64
+CROWD = 2048
 NULL_RANGE = -(1 << 60)
+MOST_BROADCAST = 100_000
 WHITE = " \t\n\u000b\f\r"
 
 
@@ -88,29 +93,47 @@ def packed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda v: F.get(digits, v.cast("int") + 128)), "")
 
 
-def _following(ranges: DataFrame) -> DataFrame:
-    """For each range number (column _r, distinct) the next lower one, and the highest after the lowest."""
+CELL = ["_r", "_ci", "_cs"]
+
+
+def _following(cells: DataFrame) -> DataFrame:
+    """For each cell (columns ``CELL``, distinct) the next lower one, and the highest after the lowest."""
     down = lambda part, by: W.partitionBy(*part).orderBy(F.desc(by))
-    two = ranges.withColumn("_s", F.floor(F.col("_r") / 4096))
-    near = two.withColumn("_n", F.lead("_r").over(down(["_s"], "_r")))
-    tops = two.groupBy("_s").agg(F.max("_r").alias("_top"))
+    two = cells.select(F.struct(*CELL).alias("_c"), F.floor(F.col("_r") / 4096).alias("_s"))
+    near = two.withColumn("_n", F.lead("_c").over(down(["_s"], "_c")))
+    tops = two.groupBy("_s").agg(F.max("_c").alias("_top"))
     tops = tops.select("_s", F.lead("_top").over(down([], "_s")).alias("_below"), F.max("_top").over(W.partitionBy()).alias("_first"))
-    return near.join(tops, "_s").select(F.col("_r"), F.coalesce("_n", "_below", "_first").alias("_next"))
+    return near.join(tops, "_s").select("_c.*", F.coalesce("_n", "_below", "_first").alias("_next"))
+
+
+def _with_cells(rows: DataFrame) -> DataFrame:
+    """Adds ``CELL``: the range number of ``_id`` and, in a crowded range, the id and a number by the text."""
+    rows = rows.withColumn("_r", F.coalesce(F.floor(F.col("_id") / RANGE), F.lit(NULL_RANGE)))
+    crowded = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
+    crowded = materialise(crowded.select(F.col("_r").alias("_cr"), F.ceil(F.col("_n") / CROWD).alias("_cells")), "crowded")
+    found = crowded.count()
+    if not found:
+        return rows.withColumns({"_ci": F.lit(0).cast("long"), "_cs": F.lit(0).cast("long")})
+    if found <= MOST_BROADCAST:  # beyond, the join is a shuffle like any other
+        crowded = F.broadcast(crowded)
+    rows = rows.join(crowded, F.col("_r") == F.col("_cr"), "left")
+    many = F.col("_cells").isNotNull()
+    cells = {"_ci": F.when(many, F.coalesce("_id", F.lit(-(1 << 63)))).otherwise(0), "_cs": F.when(many, F.pmod(F.xxhash64("_text"), F.col("_cells"))).otherwise(0)}
+    return rows.withColumns({k: v.cast("long") for k, v in cells.items()}).drop("_cr", "_cells")
 
 
 def followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text and _fp of every document, and _next_text and _next_fp of the document after it in
     descending order of id (after the last: the first).  The window and the join with the heads deal
-    rows out by the same range number, so that texts are shuffled once."""
-    number = F.coalesce(F.floor(F.col("_id") / RANGE), F.lit(NULL_RANGE))
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_r", number)
-    order = W.partitionBy("_r").orderBy(F.desc("_id"), F.desc("_text"))
+    rows out by the same cell, so that texts are shuffled once."""
+    base = _with_cells(docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
+    order = W.partitionBy(*CELL).orderBy(F.desc("_id"), F.desc("_text"))
     rows = with_fingerprint(base, "_text", "_fp")
     rows = rows.withColumns({"_next_text": F.lead("_text").over(order), "_next_fp": F.lead("_fp").over(order)})
-    heads = base.groupBy("_r").agg(F.max_by("_text", F.struct("_id", "_text")).alias("_head")).withColumnRenamed("_r", "_next")
-    heads = _following(base.select("_r").distinct()).join(heads, "_next").select("_r", "_head")
+    heads = base.groupBy(*CELL).agg(F.max_by("_text", F.struct("_id", "_text")).alias("_head")).select(F.struct(*CELL).alias("_next"), "_head")
+    heads = _following(base.select(*CELL).distinct()).join(heads, "_next").select(*CELL, "_head")
     heads = with_fingerprint(heads, "_head", "_head_fp")
-    rows = rows.join(heads, "_r")
+    rows = rows.join(heads, CELL)
     return rows.select("_id", "_text", "_fp", F.coalesce("_next_text", "_head").alias("_next_text"), F.coalesce("_next_fp", "_head_fp").alias("_next_fp"))
 
 

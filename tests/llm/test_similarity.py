@@ -244,6 +244,22 @@ def test_minhash_edges(spark, edge_dir, empty_dir):
     assert row["_next_text"] == "a b c d e f g h i"
 
 
+def test_followers_of_crowded_ids(spark, monkeypatch):
+    """Ranges crowded by repeated and null ids, cut into cells, are followed in one order without gaps."""
+    monkeypatch.setattr(fingerprints, "CROWD", 20)
+    rows = [(k, f"plain {k}") for k in range(0, 400, 3)] + [(130, f"crowd {k}") for k in range(300)] + [(None, f"none {k}") for k in range(150)] + [(131, "same")] * 30
+    got = [(r["_id"], r["_text"], r["_next_text"]) for r in fingerprints.followed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()]
+    assert sorted((str(i), t) for i, t, _ in got) == sorted((str(i), t) for i, t in rows)
+    assert sorted(t for _, t, _ in got) == sorted(n for _, _, n in got)  # each row follows one other
+    by = {t: i for i, t in rows}
+    down = [i if i is not None else -1 for i in (by[t] for _, t, _ in got)]
+    after = [i if i is not None else -1 for i in (by[n] for _, _, n in got)]
+    assert sum(a < b for a, b in zip(down, after, strict=True)) == 1  # only the last is followed by a higher one
+    ids = sorted({i for i, _ in rows if i is not None}, reverse=True)
+    steps = {(a, b) for a, b in zip(down, after, strict=True) if a > b}
+    assert steps == set(zip(ids, [*ids[1:], -1], strict=True))
+
+
 def brute_ranges(docs, length, first):
     count, least = {}, {}
     for key, b in sorted(docs):
