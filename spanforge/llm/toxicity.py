@@ -6,7 +6,10 @@ leave an insult's subsequences in place.  It is scaled by each word's length, wh
 scaling and keeps it a kernel.
 
 Training sees a bounded sample (``MAX_LABELLED`` texts of each label, a documented parameter) of the
-rows it is given.  A text's label is known, the words that cause it are not, so witnesses are chosen
+rows it is given, and of that sample's words the commonest ``COMMON`` clean ones, ``OTHERS`` more of the
+clean ones drawn at random, ``WITNESSES`` witnesses and ``HARD`` clean ones that the machine had wrong,
+which bounds the machine whatever the length of the texts; words of over ``WINDOW`` letters are learnt
+by their first window.  Scoring knows no such bounds.  A text's label is known, the words that cause it are not, so witnesses are chosen
 among a toxic text's words, first by how much more often a word is in toxic texts than in clean ones, then in
 rounds by the machine itself.  Words are mapped to the landmarks' span (Nystroem); a squared-hinge
 machine is solved there; a logistic curve over a text's three
@@ -17,7 +20,7 @@ costs one look-up per subsequence and no kernel evaluations, and a text of any l
 
 Words: lower case, common digit-for-letter swaps undone, other characters dropped; three or more
 single letters in a row are also read as one word; words of over 24 letters are read in overlapping
-windows.  Defined results: a null or empty text has the score of a text without words; without both
+windows.  The commonest letters have numbers of their own, all others share ``SHARED`` numbers.  Defined results: a null or empty text has the score of a text without words; without both
 labels in the sample every score is the share of toxic rows in it (0 if none); repeated labels of an
 id count once, toxic if any is.  Other columns pass through untouched.
 """
@@ -42,6 +45,8 @@ SPAN = 8
 DECAY = 0.7
 WINDOW = 24
 ALPHABET = 64
+SHARED = 8
+COMMON, OTHERS, WITNESSES, HARD = 4000, 12_000, 3000, 2000
 TOP = 3
 THRESHOLD = 0.7
 CACHE = 400_000
@@ -73,14 +78,15 @@ def raw_words(text: str) -> set[str]:
 
 @dataclass
 class Spelling:
-    """Letters as small numbers; 0 is any letter outside the alphabet and never matches."""
+    """Letters as small numbers: the commonest by rank, all others by their code among ``SHARED`` more.
+    (Number 0 stands for no letter.)"""
 
     codes: dict[str, int]
 
     @classmethod
     def of(cls, words: list[str]) -> Spelling:
         count = Counter(c for w in words for c in w)
-        return cls({c: i + 1 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1])})
+        return cls({c: i + 1 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1 - SHARED])})
 
     def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of all windows one after the other, the window of each letter, the word of each window."""
@@ -91,7 +97,7 @@ class Spelling:
                 parts.append(w[at : at + WINDOW])
                 owner.append(k)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.fromiter((get(c, 0) for p in parts for c in p), np.int32, int(lengths.sum()))
+        codes = np.fromiter((get(c) or ALPHABET - 1 - ord(c) % SHARED for p in parts for c in p), np.int32, int(lengths.sum()))
         return codes, np.repeat(np.arange(len(parts)), lengths), np.array(owner, np.int64)
 
 
@@ -235,7 +241,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     sets = [{c for w in raw_words(t) if len(c := clean_word(w)) >= 4} for t in texts]
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
-        return Model(Spelling({}), np.zeros(1), 0.0, (0.0,) * (TOP + 3), prior=float(y.mean()) if len(y) else 0.0)
+        return Model(Spelling({}), np.zeros(ALPHABET**3), 0.0, (0.0,) * (TOP + 3), prior=float(y.mean()) if len(y) else 0.0)
     pos, neg = Counter(), Counter()
     for s, t in zip(sets, y, strict=True):
         (pos if t else neg).update(s)
@@ -244,14 +250,14 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     strong = lambda w: (pos[w] >= 2 and rare(w), odds[w] * np.sqrt(pos[w]), w)
     toxic_sets = [s for s, t in zip(sets, y, strict=True) if t]
     witnesses = Counter(w for s in toxic_sets for w in sorted(s, key=strong, reverse=True)[:3] if pos[w] >= min(3, n_pos) and rare(w))
-    common = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:4000]]
+    common = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
     rng = np.random.default_rng(10)
     rest = sorted(set(neg) - set(common))
-    negatives = [w for w in common if w not in witnesses] + [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), 12_000), replace=False))] if rest else common
+    negatives = [w for w in common if w not in witnesses] + [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), OTHERS), replace=False))] if rest else common
     spelling = Spelling.of(sorted(set(pos) | set(neg)))
     model, hard = None, []
     for _ in range(3):
-        chosen = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))][:3000]
+        chosen = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))][:WITNESSES]
         if not chosen:
             chosen = sorted(odds, key=strong, reverse=True)[: max(1, min(50, len(odds)))]
         half = LANDMARKS // 2
@@ -269,7 +275,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         model = Model(spelling, _weights(spelling, landmarks, root @ w), bias, (0.0,) * (TOP + 3))
         every = sorted(set(pos) | set(neg))
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
-        hard = sorted((w for w in neg if margin[w] > -0.5), key=lambda w: (-margin[w], w))[:2000]
+        hard = sorted((w for w in neg if margin[w] > -0.5), key=lambda w: (-margin[w], w))[:HARD]
         witnesses = Counter(w for s in toxic_sets for w in sorted((w for w in s if rare(w)), key=lambda w: (-margin[w], w))[:2] if margin[w] > 0)
     told = np.array([model.summary(((margin[w], w) for w in s), len(s)) for s in sets])
     model.curve = _curve(told, y)
