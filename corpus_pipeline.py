@@ -32,8 +32,8 @@ from spanforge.shared import materialise
 from spanforge.sources.tables import table
 
 
-PASSAGE_BYTES = 256
-PASSAGE_REACH = 160
+PASSAGE_BYTES = 160
+PASSAGE_REACH = 96
 PASSAGE_WORDS = 50
 
 
