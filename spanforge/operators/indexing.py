@@ -1,7 +1,8 @@
 """Coordinate indexes as aggregations and windows over records (contig, beg, end, voff, next_voff).
 
-``voff`` is where a record starts in its file and ``next_voff`` where the next one does.  The windows
-are per contig or per (contig, bin); a contig's linear index and bins are far fewer than its records.
+``voff`` is where a record starts in its file and ``next_voff`` where the next one does.  Records are
+gone through by stretches of the file (``FILE_BITS`` bits of an offset); windows per contig or per
+(contig, bin) see index rows only, which are far fewer than records.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.bins import STANDARD, Scheme
+from spanforge.operators.stretches import before
 
 FOLD = 0x10000
+FILE_BITS = 42
 
 
 def linear_index(records: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
@@ -23,12 +26,21 @@ def linear_index(records: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
     return first.withColumn("_from", F.coalesce(after + 1, F.lit(0))).select("contig", F.explode(F.sequence("_from", "win")).alias("win"), "voff")
 
 
-def bin_chunks(records: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
-    """(contig, bin, chunk_beg, chunk_end): runs of records of one bin that follow each other in the file."""
-    by_file = W.partitionBy("contig").orderBy("voff")
-    binned = records.withColumn("bin", scheme.reg2bin(F.col("beg"), F.col("end")))
-    marked = binned.withColumn("_new", F.when(F.col("bin").eqNullSafe(F.lag("bin").over(by_file)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_file))
-    return marked.groupBy("contig", "bin", "_run").agg(F.min("voff").alias("chunk_beg"), F.max("next_voff").alias("chunk_end")).drop("_run")
+def bin_chunks(records: DataFrame, scheme: Scheme = STANDARD, bits: int = FILE_BITS) -> DataFrame:
+    """(contig, bin, chunk_beg, chunk_end): runs of records of one bin that follow each other in the file.
+    Runs are made within stretches; then the first and last run of each stretch are joined across them."""
+    rows = records.select("contig", "voff", "next_voff", scheme.reg2bin(F.col("beg"), F.col("end")).alias("bin"), F.shiftright("voff", bits).alias("_s"))
+    by_file = W.partitionBy("contig", "_s").orderBy("voff")
+    rows = rows.withColumn("_new", F.when((F.row_number().over(by_file) > 1) & F.col("bin").eqNullSafe(F.lag("bin").over(by_file)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_file))
+    runs = rows.groupBy("contig", "_s", "_run", "bin").agg(F.min("voff").alias("chunk_beg"), F.max("next_voff").alias("chunk_end"))
+    stretch = W.partitionBy("contig", "_s").orderBy("_run").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    runs = runs.withColumns({"_first": F.col("_run") == F.first("_run").over(stretch), "_last": F.col("_run") == F.last("_run").over(stretch)})
+    inner = runs.where("NOT _first AND NOT _last").select("contig", "bin", "chunk_beg", "chunk_end")
+    border = runs.where("_first OR _last")  # two rows a stretch at most
+    order = W.partitionBy("contig").orderBy("_s", "_run")
+    goes_on = F.col("_first") & F.col("bin").eqNullSafe(F.lag("bin").over(order)) & (F.row_number().over(order) > 1)
+    border = border.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    return inner.union(border.groupBy("contig", "_run", "bin").agg(F.min("chunk_beg").alias("chunk_beg"), F.max("chunk_end").alias("chunk_end")).select("contig", "bin", "chunk_beg", "chunk_end"))
 
 
 def compress_bins(chunks: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
@@ -110,10 +122,10 @@ def coverage_estimate(linear: DataFrame) -> DataFrame:
     return rows.withColumn("coverage", (F.col("_own") + leak(F.lag) + leak(F.lead) + edge).cast("long")).select("contig", "win", "coverage")
 
 
-def order_violations(records: DataFrame, order: str = "voff") -> DataFrame:
+def order_violations(records: DataFrame, order: str = "voff", bits: int = FILE_BITS) -> DataFrame:
     """Records that begin before their predecessor on the contig does."""
-    before = F.lag("beg").over(W.partitionBy("contig").orderBy(order))
-    return records.withColumn("_before", before).where(F.col("beg") < F.col("_before")).drop("_before")
+    rows = before(records, ["contig"], [order], F.shiftright(F.col(order).cast("long"), bits), "beg", "_before")
+    return rows.where(F.col("beg") < F.col("_before")).drop("_before")
 
 
 def contig_runs(records: DataFrame, order: str = "voff") -> DataFrame:

@@ -9,10 +9,10 @@ key, which adaptive execution splits; no side is broadcast unless Spark itself f
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.bins import STANDARD, Scheme, overlaps
+from spanforge.operators.stretches import before, islands
 
 
 def with_bin(records: DataFrame, beg: str = "beg", end: str = "end", scheme: Scheme = STANDARD) -> DataFrame:
@@ -70,44 +70,23 @@ def seek(records: DataFrame, contig, pos: int) -> DataFrame:
     return records.where((F.col("contig") == contig) & (F.col("end") > pos))
 
 
-def merge_regions(regions: DataFrame) -> DataFrame:
-    """The union of regions per contig: overlapping or touching ones become one (contig, beg, end, n)."""
-    order = W.partitionBy("contig").orderBy("beg", "end")
-    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return (
-        regions.select("contig", "beg", "end")
-        .withColumn("_before", before)
-        .withColumn("_new", F.when(F.col("_before").isNull() | (F.col("beg") > F.col("_before")), 1).otherwise(0))
-        .withColumn("_island", F.sum("_new").over(order))
-        .groupBy("contig", "_island")
-        .agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
-        .drop("_island")
-    )
-
-
-def merge_regions_dense(regions: DataFrame, scheme: Scheme = STANDARD, level: int = 1) -> DataFrame:
-    """As ``merge_regions``, for contigs with so many regions that one task should not sort them all:
-    first within the bins of a level, then over what is left of each bin."""
-    split = regions.select("contig", "beg", "end").withColumn("_part", F.shiftright("beg", scheme.shift(level)))
-    order = W.partitionBy("contig", "_part").orderBy("beg", "end")
-    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    part = split.withColumn("_new", F.when(before.isNull() | (F.col("beg") > before), 1).otherwise(0))
-    part = part.withColumn("_island", F.sum("_new").over(order))
-    part = part.groupBy("contig", "_part", "_island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count(F.lit(1)).alias("_n"))
-    whole = W.partitionBy("contig").orderBy("beg", "end")
-    reach = F.max("end").over(whole.rowsBetween(W.unboundedPreceding, -1))
-    out = part.withColumn("_new", F.when(reach.isNull() | (F.col("beg") > reach), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(whole))
-    return out.groupBy("contig", "_run").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_run")
+def merge_regions(regions: DataFrame, bits: int = 20) -> DataFrame:
+    """The union of regions per contig: overlapping or touching ones become one (contig, beg, end, n).
+    Equal regions are counted first; contigs are gone through by stretches of 2^bits positions."""
+    distinct = regions.groupBy("contig", "beg", "end").agg(F.count(F.lit(1)).alias("n"))
+    found = islands(distinct, ["beg", "end"], bits)
+    return found.groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
-def complement(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+def complement(regions: DataFrame, contigs: DataFrame, bits: int = 20) -> DataFrame:
     """What regions leave of contigs (contig, length)."""
-    merged = merge_regions(regions).join(contigs, "contig").select("contig", "beg", "end")
+    merged = merge_regions(regions, bits).join(contigs, "contig").select("contig", "beg", "end")
     # an empty interval at either end of each contig
     ends = contigs.select("contig", F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("beg")).withColumn("end", F.col("beg") + 0)
-    edges = merged.select("contig", F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("end")).union(ends)
-    order = W.partitionBy("contig").orderBy("beg", "end")
-    return edges.select("contig", F.lag("end").over(order).alias("_from"), F.col("beg").alias("_to")).where("_to > _from").select("contig", F.col("_from").alias("beg"), F.col("_to").alias("end"))
+    edges = merged.select("contig", F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("end")).union(ends).distinct()
+    # merged regions do not meet, so the one before ends last
+    edges = before(edges, ["contig"], ["beg", "end"], F.shiftright("beg", bits), "end", "_from")
+    return edges.where("beg > _from").select("contig", F.col("_from").alias("beg"), F.col("beg").alias("end"))
 
 
 def with_region_order(regions: DataFrame, longest_first: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.sequence import reference_length
+from spanforge.operators.stretches import islands
 
 
 def _walk(cigar: Column) -> Column:
@@ -79,9 +80,10 @@ def cap_per_start(records: DataFrame, order: list[str], most: int) -> DataFrame:
     return records.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
 
 
-def capped(records: DataFrame, most: int, columns: list[str]) -> DataFrame:
+def capped(records: DataFrame, most: int, columns: list[str], bits: int = 20) -> DataFrame:
     """The exact depth cap: in file order, a record is dropped when ``most`` kept ones are still active
-    where it starts. One contig is one sequential scan; records have contig, beg, end, voff."""
+    where it starts. Records have contig, beg, end, voff, in order of beg. Nothing is active across a gap
+    that no record covers, so each stretch between gaps is one sequential scan, and no more than that."""
     import heapq
 
     def run(batches):
@@ -100,7 +102,8 @@ def capped(records: DataFrame, most: int, columns: list[str]) -> DataFrame:
                     heapq.heappush(ends, end)
             yield b[pd.Series(keep, index=b.index, dtype=bool)]
 
-    rows = records.select(*columns).repartition("contig").sortWithinPartitions("contig", "voff")
+    rows = islands(records.select(*columns), ["beg", "voff"], bits)
+    rows = rows.repartition("contig", "island").sortWithinPartitions("contig", "voff").select(*columns)
     return rows.mapInPandas(run, rows.schema)
 
 

@@ -149,8 +149,8 @@ def regions_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'{REC}, {_MERGED} SELECT contig, beg, "end", n FROM u')
 def regions_merge_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of records' intervals, in two steps."""
-    return intervals.merge_regions_dense(genome.records(spark, sf_dir), level=4).select("contig", "beg", "end", F.col("n").cast("long").alias("n"))
+    """The union of records' intervals, over short stretches."""
+    return intervals.merge_regions(genome.records(spark, sf_dir), bits=17).select("contig", "beg", "end", F.col("n").cast("long").alias("n"))
 
 
 @query(
@@ -170,11 +170,10 @@ def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.region_query(genome.records(spark, sf_dir), 5, 500_000, 700_000).select("contig", "beg", "end", "qname", "line")
 
 
-@query(f'{REC} SELECT region_id, rec.contig, rec.beg, rec."end", qname FROM rec JOIN reg ON {_MEETS} WHERE region_id < 300')
+@query(f'{REC} SELECT region_id, rec.contig, rec.beg, rec."end", qname FROM rec JOIN reg ON {_MEETS}')
 def separate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by region, once for each."""
-    some = genome.regions(spark, sf_dir).where("region_id < 300")
-    return intervals.interval_join(genome.records(spark, sf_dir), some).select("region_id", "contig", "beg", "end", "qname")
+    return intervals.interval_join(genome.records(spark, sf_dir), genome.regions(spark, sf_dir)).select("region_id", "contig", "beg", "end", "qname")
 
 
 @query(
@@ -192,13 +191,14 @@ def parse_region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{REC}, x AS (SELECT *, least(greatest(beg % 700 - 50, 0), 2000) AS lo, greatest(beg % 900, 0) AS hi FROM reg)
-SELECT region_id, substring(text, CAST(least(lo, length(text)) + 1 AS BIGINT), CAST(greatest(least(hi, length(text)) - least(lo, length(text)), 0) AS BIGINT)) AS bases FROM x JOIN documents ON doc_id = region_id % 200 WHERE region_id < 400"""
+    f"""{REC}, x AS (SELECT *, greatest(beg % 7919 - 50, 0) AS lo, beg % 9973 AS hi FROM reg)
+SELECT region_id, substring(text, CAST(least(lo, length(text)) + 1 AS BIGINT), CAST(greatest(least(hi, length(text)) - least(lo, length(text)), 0) AS BIGINT)) AS bases FROM x JOIN documents ON doc_id = region_id % (SELECT max(doc_id) + 1 FROM documents)"""
 )
 def sequence_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of sequences by name and interval, clipped to the sequence."""
-    r = genome.regions(spark, sf_dir).where("region_id < 400").withColumns({"lo": F.least(F.col("beg") % 700 - 50, F.lit(2000)), "hi": F.col("beg") % 900, "name": F.col("region_id") % 200})
     seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("seq"))
+    names = seqs.agg(F.max("name") + 1).first()[0]
+    r = genome.regions(spark, sf_dir).withColumns({"lo": F.col("beg") % 7919 - 50, "hi": F.col("beg") % 9973, "name": F.col("region_id") % names})
     return r.join(seqs, "name").select("region_id", regions.fetch(F.col("seq"), F.col("lo"), F.col("hi")).alias("bases"))
 
 
@@ -320,11 +320,11 @@ def first_seen_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.first_seen(rows.select(F.col("n_name").alias("contig"), F.col("s_suppkey").alias("voff")))
 
 
-@query(f"{FILED}, a AS (SELECT contig, win FROM (SELECT contig, unnest(range(beg >> 14, ((\"end\" - 1) >> 14) + 1)) AS win FROM f WHERE contig < 10) x GROUP BY 1, 2), b AS (SELECT contig, win FROM a WHERE win % 7 <> 0 UNION ALL SELECT 1000, 1) SELECT contig, CAST(win AS INTEGER) AS win, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT contig, CAST(win AS INTEGER), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@query(f"{FILED}, a AS (SELECT contig, win FROM (SELECT contig, unnest(range(beg >> 14, ((\"end\" - 1) >> 14) + 1)) AS win FROM f) x GROUP BY 1, 2), b AS (SELECT contig, win FROM a WHERE win % 7 <> 0 UNION ALL SELECT -1, 1) SELECT contig, CAST(win AS INTEGER) AS win, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT contig, CAST(win AS INTEGER), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def index_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two indexes do not share."""
-    a = genome.filed(spark, sf_dir).where("contig < 10").select("contig", F.explode(STANDARD.reg2lins(F.col("beg"), F.col("end"))).alias("win")).distinct()
-    b = a.where("win % 7 <> 0").union(spark.createDataFrame([(1000, 1)], a.schema))
+    a = genome.filed(spark, sf_dir).select("contig", F.explode(STANDARD.reg2lins(F.col("beg"), F.col("end"))).alias("win")).distinct()
+    b = a.where("win % 7 <> 0").union(spark.createDataFrame([(-1, 1)], a.schema))
     return indexing.index_diff(a, b)
 
 
@@ -500,7 +500,12 @@ def pileup_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("contig", "ref_pos").agg(F.count("base").alias("n_bases"), F.count(F.when(F.col("is_del"), 1)).alias("n_gaps"), F.count(F.when(F.col("is_refskip"), 1)).alias("n_skips"), F.sum("indel").alias("indels"), F.coalesce(F.sum("base_qual"), F.lit(-1)).alias("qual"))
 
 
-@query()
+@query(
+    "WITH a AS (SELECT p_partkey, p_partkey % 20 AS contig, p_partkey % 97 AS pos, p_partkey % 6 AS c, substr(translate(upper(p_name), ' ', 'N') || 'ACGTACGTACGTA', 1, 13) AS seq FROM part WHERE p_partkey % 13 <> 0), s(c, o, q) AS (VALUES "
+    + ", ".join(f"({c}, {o}, {q})" for c, rows in enumerate(_COVERED) for o, q, _, _ in rows if q >= 0)
+    + "), b AS (SELECT contig, CASE WHEN q < 5 THEN 40 WHEN q < 10 THEN 39 ELSE 38 END AS qual, substr(seq, CAST(q + 1 AS INTEGER), 1) = substr(reverse(seq), CAST(q + 1 AS INTEGER), 1) AS same FROM a JOIN s ON s.c = a.c)"
+    " SELECT contig, CAST(m AS INTEGER) AS mate, CAST(sum(CASE WHEN m = 2 THEN 0 WHEN same THEN least(2 * qual, 200) ELSE floor(qual * 0.8) END) AS BIGINT) AS q, count(*) AS n FROM b, (VALUES (1), (2)) t(m) GROUP BY 1, 2"
+)
 def mate_overlap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualities after merging what both mates of a template cover."""
     a = _alignments(spark, sf_dir)
@@ -510,12 +515,12 @@ def mate_overlap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{REC}, r AS (SELECT *, CAST(qname % 3 AS INTEGER) AS s FROM rec WHERE contig < 20), w AS (SELECT contig, s, unnest(range(beg // 1000, ("end" - 1) // 1000 + 1)) AS w FROM r)
+    f"""{REC}, r AS (SELECT *, CAST(qname % 3 AS INTEGER) AS s FROM rec), w AS (SELECT contig, s, unnest(range(beg // 1000, ("end" - 1) // 1000 + 1)) AS w FROM r)
 SELECT contig, CAST(w * 1000 AS BIGINT) AS pos, count(*) FILTER (WHERE s = 0) AS s0, count(*) FILTER (WHERE s = 1) AS s1, count(*) FILTER (WHERE s = 2) AS s2 FROM w GROUP BY 1, 2"""
 )
 def multi_sample_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of several samples side by side."""
-    r = genome.records(spark, sf_dir).where("contig < 20")
+    r = genome.records(spark, sf_dir)
     return pileup.multi_depth({f"s{k}": r.where(F.col("qname") % 3 == k) for k in range(3)}, 1000)
 
 
@@ -524,10 +529,10 @@ def multi_sample_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODES = "list_transform(string_split(text, ''), lambda c: ord(c))"
 
 
-@query(f"WITH c AS (SELECT lang, length(text) AS n, {_CODES} AS a FROM documents WHERE lang = 'en') SELECT lang, count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, CAST(min(list_min(a)) AS INTEGER) AS q_min, CAST(max(list_max(a)) AS INTEGER) AS q_max, CAST(sum(list_sum(a)) AS BIGINT) AS q_sum, CAST(sum(list_sum(a)) // sum(n) AS BIGINT) AS q_mean FROM c GROUP BY 1")
+@query(f"WITH c AS (SELECT lang, length(text) AS n, {_CODES} AS a FROM documents) SELECT lang, count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, CAST(min(list_min(a)) AS INTEGER) AS q_min, CAST(max(list_max(a)) AS INTEGER) AS q_max, CAST(sum(list_sum(a)) AS BIGINT) AS q_sum, CAST(sum(list_sum(a)) // sum(n) AS BIGINT) AS q_mean FROM c GROUP BY 1")
 def qual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character statistics of strings."""
-    return quality.quality_stats(table(spark, sf_dir, "documents").where("lang = 'en'"), "text", ["lang"])
+    return quality.quality_stats(table(spark, sf_dir, "documents"), "text", ["lang"])
 
 
 @query("WITH x AS (SELECT p_partkey, CAST(p_size + 20 AS BIGINT) AS lo, CAST(p_size + 20 + p_partkey % 60 AS BIGINT) AS hi FROM part) SELECT p_partkey, CAST(CASE WHEN lo >= 33 AND hi <= 78 THEN 0 WHEN lo >= 64 AND hi <= 109 THEN 1 WHEN lo >= 59 AND hi <= 109 THEN 2 WHEN abs((lo + hi) / 2 - 104) < abs((lo + hi) / 2 - 73) THEN 1 ELSE 0 END AS INTEGER) AS encoding FROM x")
@@ -795,7 +800,7 @@ def header_uniq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT l_suppkey AS k, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS a, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus <> 'O') AS b, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'O') AS c, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'O') AS d FROM lineitem WHERE l_suppkey < 50 GROUP BY 1),
+    """WITH t AS (SELECT l_suppkey AS k, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS a, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus <> 'O') AS b, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'O') AS c, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'O') AS d FROM lineitem GROUP BY 1),
 u AS (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS i FROM t),
 p AS (SELECT k, a, i, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN a + b - i < 2 THEN 0 ELSE lgamma(a + b - i + 1) END - CASE WHEN a + c - i < 2 THEN 0 ELSE lgamma(a + c - i + 1) END - CASE WHEN d - a + i < 2 THEN 0 ELSE lgamma(d - a + i + 1) END) AS p FROM u)
 SELECT k AS supplier, round(sum(p) FILTER (WHERE i <= a), 6) AS p_left, round(sum(p) FILTER (WHERE i >= a), 6) AS p_right FROM p GROUP BY k"""
@@ -804,7 +809,7 @@ def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fisher's exact test of a 2x2 table per supplier."""
     r, o = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
     n = lambda c: F.count(F.when(c, 1))
-    t = table(spark, sf_dir, "lineitem").where("l_suppkey < 50").groupBy(F.col("l_suppkey").alias("supplier")).agg(n(r & o).alias("a"), n(r & ~o).alias("b"), n(~r & o).alias("c"), n(~r & ~o).alias("d"))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(n(r & o).alias("a"), n(r & ~o).alias("b"), n(~r & o).alias("c"), n(~r & ~o).alias("d"))
     t = t.withColumn("p", stats.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
     return t.select("supplier", F.round("p.left", 6).alias("p_left"), F.round("p.right", 6).alias("p_right"))
 

@@ -297,14 +297,15 @@ def write_index(path: str, contigs: list[str], bins: DataFrame, linear: DataFram
 
 
 def filed_features(features: DataFrame) -> DataFrame:
-    """Features read with offsets as records (contig, beg, end, line, voff, next_voff)."""
-    from pyspark.sql import Window as W
-
+    """Features read with offsets as records (contig, beg, end, line, voff, next_voff): the next record is
+    the contig's next one in the file, found by stretches of the file read backwards."""
     from spanforge.functions.bins import virtual_offset
+    from spanforge.operators.indexing import FILE_BITS
+    from spanforge.operators.stretches import before
 
-    rows = features.withColumn("voff", virtual_offset(F.col("coffset"), F.col("uoffset")))
-    after = F.lead("voff").over(W.partitionBy("contig").orderBy("voff"))
-    return rows.withColumn("next_voff", F.coalesce(after, F.col("voff") + 1)).drop("coffset", "uoffset")
+    rows = features.withColumn("voff", virtual_offset(F.col("coffset"), F.col("uoffset"))).withColumn("_back", -F.col("voff"))
+    rows = before(rows, ["contig"], ["_back"], F.shiftright("_back", FILE_BITS), "voff", "_after")
+    return rows.withColumn("next_voff", F.coalesce("_after", F.col("voff") + 1)).drop("coffset", "uoffset", "_back", "_after")
 
 
 def query_file(spark: SparkSession, path: str, layout: Layout | str, chunks: DataFrame, linear: DataFrame, contig, beg: int, end: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import regions, sequence, stats, variants
 from spanforge.functions.bins import STANDARD, Scheme
-from spanforge.operators import checksum, headers, indexing, intervals, merging, pairing, pileup
+from spanforge.operators import checksum, headers, indexing, intervals, merging, pairing, pileup, stretches
 
 SPANS = "contig int, beg long, end long"
 
@@ -85,13 +85,53 @@ def test_merge_and_complement(spark):
     want = sorted((c, *r) for c, rs in out.items() for r in rs)
     df = spans(spark, rows)
     assert sorted(map(tuple, intervals.merge_regions(df).select("contig", "beg", "end", "n").collect())) == want
-    assert sorted(map(tuple, intervals.merge_regions_dense(df, level=5).select("contig", "beg", "end", "n").collect())) == want
+    for bits in (6, 13):
+        assert sorted(map(tuple, intervals.merge_regions(df, bits).select("contig", "beg", "end", "n").collect())) == want
     contigs = spark.createDataFrame([(1, 400_000), (2, 400_000), (3, 400_000), (4, 10)], "contig int, length long")
     gaps = {tuple(r) for r in intervals.complement(df, contigs).collect()}
     assert (4, 0, 10) in gaps
     for c, b, e in gaps:
         assert not any(x[0] == c and x[1] < e and x[2] > b for x in want)
+    assert {tuple(r) for r in intervals.complement(df, contigs, 9).collect()} == gaps
     assert intervals.merge_regions(df.limit(0)).count() == 0
+    whole = spans(spark, rows + [(None, 5, 9), (None, 9, 12)])
+    assert intervals.merge_regions(whole, 8).where("contig IS NULL").select("beg", "end", "n").collect() == [(5, 12, 2)]
+
+
+def test_stretches(spark):
+    """Columns over long groups do not depend on where stretches end."""
+    r = random.Random(21)
+    rows = [(r.choice((1, 2, None)), k * 7, r.randint(0, 50)) for k in range(300)]
+    df = spark.createDataFrame(rows, "contig int, at long, v int")
+    for bits in (3, 6, 40):
+        out = stretches.before(df, ["contig"], ["at"], F.shiftright("at", bits), "v", "b")
+        out = stretches.running(out, ["contig"], ["at"], F.shiftright("at", bits), "v", "s")
+        out = stretches.running(out, ["contig"], ["at"], F.shiftright("at", bits), "v", "m", most=True)
+        last, total, most = {}, {}, {}
+        for x in sorted(out.collect(), key=lambda x: x["at"]):
+            c = x["contig"]
+            assert (x["b"], x["s"], x["m"]) == (last.get(c), total.get(c), most.get(c))
+            last[c], total[c], most[c] = x["v"], total.get(c, 0) + x["v"], max(most.get(c, 0), x["v"])
+
+
+def test_chunks_and_order_by_stretch(spark):
+    r = random.Random(22)
+    spots = sorted((c, r.randint(0, 3_000_000)) for c in (1, 2) for _ in range(300))
+    filed = [(c, b, b + r.choice((10, 30_000)), k * 50 << 16, (k + 1) * 50 << 16) for k, (c, b) in enumerate(spots)]
+    df = spark.createDataFrame(filed, SPANS + ", voff long, next_voff long")
+    whole = sorted(map(tuple, indexing.bin_chunks(df, bits=60).collect()))
+    runs = []
+    for c, b, e, lo, hi in filed:
+        k = next((b >> w) + o for w, o in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1), (29, 0)) if b >> w == (e - 1) >> w)
+        if runs and runs[-1][:2] == [c, k]:
+            runs[-1][3] = hi
+        else:
+            runs.append([c, k, lo, hi])
+    assert whole == sorted(map(tuple, runs))
+    for bits in (22, 24, 26):
+        assert sorted(map(tuple, indexing.bin_chunks(df, bits=bits).collect())) == whole
+        mixed = df.withColumn("beg", F.col("beg") + F.when(F.col("voff") % 7 == 0, 100_000).otherwise(0))
+        assert indexing.order_violations(mixed, bits=bits).count() == indexing.order_violations(mixed, bits=60).count()
 
 
 def test_linear_index_and_query(spark):
@@ -142,6 +182,18 @@ def test_exact_cap(spark):
     rows = [(1, 0, 10, 0), (1, 0, 10, 1), (1, 5, 20, 2), (1, 10, 12, 3), (1, 10, 30, 4), (2, 0, 5, 5)]
     df = spark.createDataFrame(rows, SPANS + ", voff long")
     assert sorted(r["voff"] for r in pileup.capped(df, 2, ["contig", "beg", "end", "voff"]).collect()) == [0, 1, 3, 4, 5]
+    r = random.Random(23)
+    rows = sorted((c, b, b + r.randint(1, 60)) for c in (1, 2) for b in (r.randint(0, 3000) for _ in range(250)))
+    rows = [(*x, k) for k, x in enumerate(rows)]
+    kept, active = [], {}
+    for c, b, e, k in rows:
+        live = active[c] = [x for x in active.get(c, []) if x > b]
+        if len(live) < 3:
+            live.append(e)
+            kept.append(k)
+    df = spark.createDataFrame(rows, SPANS + ", voff long")
+    for bits in (5, 20):
+        assert sorted(x["voff"] for x in pileup.capped(df, 3, ["contig", "beg", "end", "voff"], bits).collect()) == kept
 
 
 def test_pileup(spark):
