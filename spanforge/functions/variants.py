@@ -189,3 +189,83 @@ def add_filter(filters: Column, name: str) -> Column:
 def remove_filter(filters: Column, name: str) -> Column:
     """Filters without one."""
     return F.array_remove(filters, name)
+
+
+def set_info(info: Column, key: str, value: Column | None) -> Column:
+    """An INFO map with a key set to text (null: a flag); its place is kept if it was there, else it is last."""
+    new = F.lit(None).cast("string") if value is None else value.cast("string")
+    changed = F.transform_values(info, lambda k, v: F.when(k == key, new).otherwise(v))
+    return F.when(F.map_contains_key(info, key), changed).otherwise(F.map_concat(info, F.create_map(F.lit(key), new)))
+
+
+def remove_info(info: Column, key: str) -> Column:
+    """An INFO map without a key."""
+    return F.map_filter(info, lambda k, _: k != key)
+
+
+def info_text(info: Column) -> Column:
+    """INFO as text; an empty map is ``.``."""
+    said = F.array_join(F.transform(F.map_entries(info), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return F.when(said == "", F.lit(".")).otherwise(said)
+
+
+def format_values(samples: Column, key: str, kind: str = "string") -> Column:
+    """The values of a FORMAT field: one array per sample (null where the sample has no such field), in which
+    ``.`` is null. samples: array<struct<sample, ..., fields map<string,string>>>."""
+
+    def of(s: Column) -> Column:
+        said = F.element_at(s["fields"], F.lit(key))
+        return F.when(said.isNotNull(), F.transform(F.split(said, ","), lambda x: F.when(x != ".", x).try_cast(kind)))
+
+    return F.transform(samples, of)
+
+
+def set_format(samples: Column, key: str, values: Column) -> Column:
+    """Samples with a FORMAT field set: ``values`` has one array of texts per sample; a null value is ``.``, a
+    null or empty array a lone ``.``, and a null ``values`` removes the field."""
+
+    def text(v: Column) -> Column:
+        said = F.array_join(F.transform(v, lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+        return F.when(v.isNull() | (F.size(v) < 1), F.lit(".")).otherwise(said)
+
+    def of(s: Column, i: Column) -> Column:
+        rest = F.map_filter(s["fields"], lambda k, _: k != key)
+        there = F.transform_values(s["fields"], lambda k, v: F.when(k == key, text(F.get(values, i))).otherwise(v))
+        new = F.when(F.map_contains_key(s["fields"], key), there).otherwise(F.map_concat(rest, F.create_map(F.lit(key), text(F.get(values, i)))))
+        return s.withField("fields", F.when(values.isNull(), rest).otherwise(new))
+
+    return F.transform(samples, of)
+
+
+def format_keys(samples: Column) -> Column:
+    """The FORMAT keys of a record: those of all samples, GT first."""
+    keys = F.array_distinct(F.flatten(F.transform(samples, lambda s: F.map_keys(s["fields"]))))
+    return F.concat(F.filter(keys, lambda k: k == "GT"), F.filter(keys, lambda k: k != "GT"))
+
+
+def sample_text(samples: Column) -> Column:
+    """FORMAT and sample columns as text, tab-separated; a field that a sample lacks is ``.``."""
+
+    def whole(keys: Column) -> Column:
+        one = lambda s: F.array_join(F.transform(keys, lambda k: F.coalesce(F.element_at(s["fields"], k), F.lit("."))), ":")
+        return F.array_join(F.concat(F.array(F.array_join(keys, ":")), F.transform(samples, one)), "\t")
+
+    return _let(format_keys(samples), whole)
+
+
+def set_alleles(alleles: Column) -> tuple[Column, Column]:
+    """(ref, alts) of an array of alleles, the reference first."""
+    return F.get(alleles, F.lit(0)), F.slice(alleles, 2, F.greatest(F.size(alleles) - 1, F.lit(0)))
+
+
+def add_id(old: Column, new: str) -> Column:
+    """An ID with one more name, unless it is there; a missing one is replaced."""
+    names = F.split(old, ";")
+    return F.when(old.isNull() | old.isin(".", ""), F.lit(new)).when(F.array_contains(names, new), old).otherwise(F.concat(old, F.lit(f";{new}")))
+
+
+def matches_target_alleles(target: Column, ref: Column, alts: Column) -> Column:
+    """Whether a variant may stand for a target's alleles (an array, the reference first): targets with an
+    allele of several bases take variants with an indel, all others those without. A simplified rule."""
+    indel = variant_class(ref, alts).bitwiseAND(F.lit(INDEL)) != 0
+    return F.when(F.exists(target, lambda a: F.length(a) > 1), indel).otherwise(~indel)

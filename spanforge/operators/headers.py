@@ -105,19 +105,86 @@ def libraries(records: DataFrame, lines: DataFrame) -> DataFrame:
     return records.join(groups, "rg", "left").withColumn("library", F.coalesce("library", F.lit("")))
 
 
+def _definition(k: int, line: str) -> list[tuple]:
+    """Rows of ``DEFINITIONS`` of one line."""
+    if line.startswith("#CHROM"):
+        return [(k, "samples", s, None, None, None, line) for s in line.split("\t")[9:]]
+    if m := re.match(r"##([^=]+)=<(.*)>\s*$", line):
+        said = {a: b.strip('"') for a, b in re.findall(r'([A-Za-z0-9_.]+)=("(?:\\.|[^"\\])*"|[^,]*)', m[2])}
+        return [(k, m[1], said.get("ID"), said.get("Number") or said.get("length"), said.get("Type"), said.get("Description"), line)]
+    if m := re.match(r"##([^=]+)=(.*)$", line):
+        return [(k, m[1], None, None, None, m[2], line)]
+    return []
+
+
 def parse_variant_header(spark: SparkSession, text: str) -> DataFrame:
     """Definitions of a variant header: ##KIND=<ID=...,Number=...,Type=...,Description=...> and plain
     ##key=value lines (id null). The sample line is under kind ``samples``."""
-    rows = []
-    for k, line in enumerate(text.splitlines()):
-        if line.startswith("#CHROM"):
-            rows += [(k, "samples", s, None, None, None, line) for s in line.split("\t")[9:]]
-        elif m := re.match(r"##([^=]+)=<(.*)>\s*$", line):
-            said = {a: b.strip('"') for a, b in re.findall(r'([A-Za-z0-9_.]+)=("(?:\\.|[^"\\])*"|[^,]*)', m[2])}
-            rows.append((k, m[1], said.get("ID"), said.get("Number") or said.get("length"), said.get("Type"), said.get("Description"), line))
-        elif m := re.match(r"##([^=]+)=(.*)$", line):
-            rows.append((k, m[1], None, None, None, m[2], line))
-    return spark.createDataFrame(rows, DEFINITIONS)
+    return spark.createDataFrame([r for k, line in enumerate(text.splitlines()) for r in _definition(k, line)], DEFINITIONS)
+
+
+def append_definition(definitions: DataFrame, line: str) -> DataFrame:
+    """Definitions with one more line behind those of its kind's end, unless its kind has the id already (or,
+    without an id, the line)."""
+    spark = definitions.sparkSession
+    new = spark.createDataFrame(_definition(0, line), DEFINITIONS)
+    key = F.coalesce("id", "line")
+    there = definitions.where("kind <> 'samples'").select(F.col("kind").alias("_kind"), key.alias("_key"))
+    new = new.join(there, (F.col("kind") == F.col("_kind")) & (key == F.col("_key")), "left_anti")
+    top = definitions.where("kind <> 'samples'").agg(F.coalesce(F.max("pos"), F.lit(-1)) + 1).first()[0]
+    moved = definitions.withColumn("pos", F.when(F.col("kind") == "samples", F.greatest("pos", F.lit(top + 1))).otherwise(F.col("pos")).cast("int"))
+    return moved.unionByName(new.withColumn("pos", F.lit(top).cast("int")))
+
+
+def remove_definitions(definitions: DataFrame, kind: str, id_: str | None = None) -> DataFrame:
+    """Definitions without one of a kind, or without all of it; the sample line is none of them."""
+    gone = (F.col("kind") == kind) & (F.lit(True) if id_ is None else F.col("id").eqNullSafe(id_)) & (F.col("kind") != "samples")
+    return definitions.where(~gone)
+
+
+def find_definition(definitions: DataFrame, kind: str, id_: str) -> DataFrame:
+    """The definition of an id."""
+    return definitions.where((F.col("kind") == kind) & (F.col("id") == id_))
+
+
+def version_of(definitions: DataFrame) -> str | None:
+    """The format version that a header states."""
+    found = definitions.where("kind = 'fileformat'").orderBy("pos").select("description").first()
+    return found[0] if found else None
+
+
+def set_version(definitions: DataFrame, version: str) -> DataFrame:
+    """Definitions under another format version, which stands first."""
+    line = f"##fileformat={version}"
+    first = definitions.sparkSession.createDataFrame([(-1, "fileformat", None, None, None, version, line)], DEFINITIONS)
+    return first.unionByName(definitions.where("kind <> 'fileformat'"))
+
+
+def add_sample(definitions: DataFrame, name: str) -> DataFrame:
+    """Definitions with one more sample at the end; a name that is there already is refused."""
+    samples = [r[0] for r in definitions.where("kind = 'samples'").orderBy("pos", F.length("line")).select("id").collect()]  # a header's samples
+    if name in samples:
+        raise ValueError(f"sample {name} is there already")
+    top = definitions.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
+    at = definitions.where("kind = 'samples'").agg(F.coalesce(F.max("pos"), F.lit(top + 1))).first()[0]
+    line = definitions.where("kind = 'samples'").select("line").first()
+    names = line[0].split("\t")[9:] if line else []
+    rows = _definition(at, sample_line([*names, name]))
+    return definitions.where("kind <> 'samples'").unionByName(definitions.sparkSession.createDataFrame(rows, DEFINITIONS))
+
+
+def sample_line(names: list[str]) -> str:
+    """The line of column names."""
+    fixed = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
+    return "\t".join([fixed, "FORMAT", *names]) if names else fixed
+
+
+def variant_header_text(definitions: DataFrame) -> str:
+    """A variant header as text: its lines once each, in order, the sample line last."""
+    rows = [tuple(r) for r in definitions.select("pos", "kind", "line").collect()]  # a header
+    lines = list(dict.fromkeys(line for _, kind, line in sorted(rows, key=lambda r: r[0]) if kind != "samples"))
+    last = next((line for _, kind, line in rows if kind == "samples"), sample_line([]))
+    return "\n".join([*lines, last]) + "\n"
 
 
 def merge_headers(first: DataFrame, second: DataFrame) -> DataFrame:

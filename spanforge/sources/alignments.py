@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ SCHEMA = "qname string, flag int, refid int, rname string, pos long, mapq int, c
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM text (plain, gzip or blocked files), in ``SCHEMA`` without the file offsets. pos
     is 0-based, -1 if there is none."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    f = F.split("value", "\t")
+    lines = bgzf.text_lines(spark, path).where(~F.col("line").rlike("^@[A-Z]{2}\t") & (F.col("line") != ""))
+    f = F.split("line", "\t")
     at = lambda k: F.get(F.col("f"), F.lit(k))
     rows = lines.select(f.alias("f"))
     return rows.select(
@@ -47,7 +48,7 @@ def sam_text(rows: DataFrame) -> DataFrame:
 
 def sam_header(spark: SparkSession, path: str) -> str:
     """The header lines of SAM text. A header is one document, read by the driver."""
-    return "\n".join(r[0] for r in spark.read.text(path).where(F.col("value").rlike("^@[A-Z]{2}\t")).collect())
+    return "\n".join(bgzf.leading_lines(spark, path, lambda line: re.match(r"@[A-Z]{2}\t", line)))
 
 
 def parse_bam_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:

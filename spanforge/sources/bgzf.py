@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -130,6 +131,21 @@ def open_file(path: str) -> tuple[fs.FileSystem, str, int]:
     return system, inner, info.size
 
 
+def files_of(path: str) -> list[str]:
+    """The files that a path names: itself, or the visible ones of a folder in order of their names."""
+    out = []
+    for one in path.split(","):
+        inner = one.removeprefix("file://") if one.startswith("file://") else one
+        system, inner = fs.FileSystem.from_uri(inner) if "://" in inner else (fs.LocalFileSystem(), inner.removeprefix("file:"))
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            out.append(one)
+            continue
+        scheme = one[: len(one) - len(inner.rstrip("/"))] if one.rstrip("/").endswith(inner.rstrip("/")) else ""
+        names = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and f.base_name[:1] not in "._")
+        out += [scheme + n for n in names]
+    return out
+
+
 def is_blocked(path: str) -> bool:
     """Whether a file begins with a block."""
     system, inner, _ = open_file(path)
@@ -218,9 +234,9 @@ class _Range(InputPartition):
 
 
 def ranges(paths: list[str], split: int) -> list[_Range]:
-    """Byte ranges of files; a plain gzip file would be one range and is refused."""
+    """Byte ranges of files (folders stand for their files)."""
     out = []
-    for path in paths:
+    for path in (f for p in paths for f in files_of(p)):
         _, _, size = open_file(path)
         blocked = is_blocked(path)
         out += [_Range(path, k, min(k + split, size), blocked) for k in range(0, size, split)] or [_Range(path, 0, 0, blocked)]
@@ -419,6 +435,70 @@ def lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     return spark.read.format("bgzf_lines").option("split", split).load(path)
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of text files.  Blocked files are split at blocks; all others, and paths that only Spark can
+    open, go through Spark's own reader."""
+    try:
+        files = files_of(path)
+        blocked = bool(files) and is_blocked(files[0])
+    except (OSError, ValueError):  # pyarrow knows no such scheme, or the path is a pattern
+        blocked = False
+    if blocked:
+        return lines(spark, path).select("line")
+    return spark.read.text(path.split(",")).withColumnRenamed("value", "line")
+
+
+def head_lines(path: str) -> Iterator[tuple[tuple[int, int], str]]:
+    """((coffset, uoffset), line) of one file from its beginning, read only as far as the caller goes on."""
+    system, inner, _ = open_file(path)
+    with system.open_input_file(inner) as f:
+        first = f.read(64)
+    if first[:2] == b"\x1f\x8b" and block_size(first) is None:
+        with system.open_input_stream(inner, compression="gzip") as stream:
+            rest = b""
+            while data := stream.read(1 << 16):
+                *whole, rest = (rest + data).split(b"\n")
+                yield from (((-1, -1), x.decode("utf-8", "replace").removesuffix("\r")) for x in whole)
+            if rest:
+                yield (-1, -1), rest.decode("utf-8", "replace")
+        return
+    for c, u, _, line in lines_between(path, 0, 1 << 62, block_size(first) is not None):
+        yield (c, u), line
+
+
+def leading_lines(spark: SparkSession, path: str, belongs) -> list[str]:
+    """The lines at the beginning of a path's first file for which ``belongs`` holds: a header is read no
+    further than it goes.  A path that only Spark can open is looked through by Spark's reader."""
+    out = []
+    try:
+        for _, line in head_lines(files_of(path)[0]):
+            if not belongs(line):
+                break
+            out.append(line)
+        return out
+    except (OSError, ValueError, IndexError):
+        rows = spark.read.text(path.split(",")).toLocalIterator()  # in order, and no further than the header
+        for row in rows:
+            if not belongs(row[0]):
+                break
+            out.append(row[0])
+        return out
+
+
+def after_skipped(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """The lines (with offsets) of files without the first ``skip`` of each, told by their place."""
+    places = []
+    for file in files_of(path):
+        found = (place for k, (place, _) in enumerate(head_lines(file)) if k == skip)
+        place = next(found, (1 << 62, 0))
+        if place[0] < 0:
+            raise ValueError(f"{file}: lines of a plain gzip file have no place; skip needs a plain or blocked one")
+        places.append((file, *place))
+    first = spark.createDataFrame(places, "_path string, _c long, _u long")  # one row a file
+    rows = lines(spark, path).join(F.broadcast(first), F.col("path") == F.col("_path"))
+    return rows.where((F.col("coffset") > F.col("_c")) | ((F.col("coffset") == F.col("_c")) & (F.col("uoffset") >= F.col("_u")))).drop("_path", "_c", "_u")
+
+
 def chunk_lines(spark: SparkSession, path: str, chunks: list[tuple[int, int]]) -> DataFrame:
     """The lines of a blocked file that start in the given ranges of virtual offsets."""
     register(spark)
@@ -439,11 +519,47 @@ def load_block_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_block_index(blocks_: DataFrame, path: str) -> None:
-    """Write the block index of a table of blocks (coffset, uoffset). An index is a small document."""
-    rows = [tuple(r) for r in blocks_.select("coffset", "uoffset").orderBy("coffset").collect()]
+    """Write the block index of a table of blocks (coffset, uoffset). Rows pass through the driver a
+    partition at a time: the file is one stream, and no more of it is held."""
+    rows = blocks_.select("coffset", "uoffset").orderBy("coffset")
+    with open_output(path) as f:
+        f.write(struct.pack("<Q", max(blocks_.count() - 1, 0)))
+        for k, row in enumerate(rows.toLocalIterator()):
+            if k:
+                f.write(struct.pack("<QQ", *row))
+
+
+def open_output(path: str):
+    """A new file as an output stream."""
     system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    with system.open_output_stream(inner, compression=None) as f:
-        f.write(block_index_bytes(rows[1:]))
+    return system.open_output_stream(inner, compression=None)
+
+
+def join_parts(folder: str, path: str) -> None:
+    """Concatenate a folder's parts, in order of their names, to one file, a mebibyte at a time."""
+    with open_output(path) as out:
+        for part in files_of(folder):
+            system, inner, size = open_file(part)
+            with system.open_input_file(inner) as f:
+                for at in range(0, size, 1 << 20):
+                    out.write(f.read_at(min(1 << 20, size - at), at))
+
+
+def blocks_by_index(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """(uoffset, block): a plain file compressed with the block borders of an index (``load_block_index``).
+    Each block is read and compressed where its row is."""
+    from pyspark.sql import Window as W
+
+    _, _, size = open_file(path)
+    edges = index.select("uoffset", F.coalesce(F.lead("uoffset").over(W.orderBy("uoffset")), F.lit(size)).alias("_end")).where("_end > uoffset")
+
+    @F.udf("binary")
+    def packed(beg, end):
+        system, inner, _ = open_file(path)
+        with system.open_input_file(inner) as f:
+            return deflate(f.read_at(end - beg, beg))
+
+    return edges.repartitionByRange("uoffset").select("uoffset", packed("uoffset", "_end").alias("block"))
 
 
 def write(df: DataFrame, path: str, level: int = 6) -> None:
@@ -452,15 +568,21 @@ def write(df: DataFrame, path: str, level: int = 6) -> None:
     df.write.format("bgzf").option("level", level).mode("append").save(path)
 
 
-def section(path: str, beg: int, end: int) -> bytes:
-    """The inflated bytes [beg, end) of a file as blocks of their own."""
-    out, at = [], 0
-    for _, block in read_blocks_between(path, 0, 1 << 62):
-        data = inflate(block)
+def section(path: str, beg: int, end: int, index: DataFrame | None = None) -> bytes:
+    """The inflated bytes [beg, end) of a file as blocks of their own.  With a block index (coffset,
+    uoffset) reading starts at the block that holds ``beg``; without one blocks before it are passed by
+    their sizes and not inflated."""
+    out, first, at = [], 0, 0
+    if index is not None:
+        found = index.where(F.col("uoffset") <= beg).agg(F.max_by(F.struct("coffset", "uoffset"), "uoffset")).first()[0]
+        first, at = found or (0, 0)
+    for _, block in read_blocks_between(path, first, 1 << 62):
+        size = struct.unpack("<I", block[-4:])[0]
         if at >= end:
             break
-        out.append(data[max(beg - at, 0) : max(end - at, 0)])
-        at += len(data)
+        if at + size > beg:
+            out.append(inflate(block)[max(beg - at, 0) : max(end - at, 0)])
+        at += size
     return compress(b"".join(out))
 
 

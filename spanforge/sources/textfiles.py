@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from spanforge.functions.regions import text_interval
 from spanforge.functions.sequence import parse_cigar, text_end_position
-from spanforge.functions.variants import parse_filters, parse_genotype, parse_info, variant_end
+from spanforge.functions.variants import info_text, parse_filters, parse_genotype, parse_info, sample_text, variant_end
 from spanforge.sources import bgzf
 
 
@@ -38,11 +38,10 @@ def read_features(spark: SparkSession, path: str, layout: Layout | str, blocked_
     """(contig, beg, end, line) of a feature file; lines that do not parse are left out. With
     ``blocked_offsets`` the lines carry their file offsets (coffset, uoffset)."""
     at = LAYOUTS[layout] if isinstance(layout, str) else layout
-    rows = bgzf.lines(spark, path) if blocked_offsets else spark.read.text(path).withColumnRenamed("value", "line")
     if at.skip:
-        first = bgzf.lines(spark, path).orderBy("coffset", "uoffset").limit(at.skip).select("line") if blocked_offsets else rows.limit(at.skip)
-        rows = rows.join(F.broadcast(first.distinct()), "line", "left_anti")  # a file's skipped lines are few
-    return features_of(rows, layout)
+        rows = bgzf.after_skipped(spark, path, at.skip)
+        return features_of(rows if blocked_offsets else rows.select("line"), layout)
+    return features_of(bgzf.lines(spark, path) if blocked_offsets else bgzf.text_lines(spark, path), layout)
 
 
 def features_of(rows: DataFrame, layout: Layout | str) -> DataFrame:
@@ -78,7 +77,7 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 def variant_header(spark: SparkSession, path: str) -> str:
     """The header of a variant file: one document, read by the driver."""
-    return "\n".join(r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).collect())
+    return "\n".join(bgzf.leading_lines(spark, path, lambda line: line.startswith("#")))
 
 
 def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
@@ -87,7 +86,7 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
     if samples is None:
         heads = [h for h in variant_header(spark, path).splitlines() if h.startswith("#CHROM")]
         samples = heads[0].split("\t")[9:] if heads else []
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
+    rows = bgzf.text_lines(spark, path).where(~F.col("line").startswith("#") & (F.col("line") != "")).select(F.split("line", "\t").alias("f"))
     at = lambda k: F.get("f", F.lit(k))
     pos = at(1).cast("long") - 1
     names = F.array(*[F.lit(s) for s in samples]).cast("array<string>")
@@ -101,11 +100,13 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
 
 
 def vcf_text(variants: DataFrame) -> DataFrame:
-    """Lines (value) of variants without samples."""
-    info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    """Lines (value) of variants, with FORMAT and samples if there is a column ``samples`` and it holds any."""
     dot = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(".")).otherwise(c)
     qual = F.when(F.col("qual") == F.floor("qual"), F.floor("qual").cast("string")).otherwise(F.col("qual").cast("string"))
-    return variants.select(F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), dot(F.col("id")), "ref", dot(F.array_join("alts", ",")), dot(qual), dot(F.array_join("filters", ";")), dot(info)).alias("value"))
+    fields = ["contig", (F.col("pos") + 1).cast("string"), dot(F.col("id")), "ref", dot(F.array_join("alts", ",")), dot(qual), dot(F.array_join("filters", ";")), info_text(F.col("info"))]
+    if "samples" in variants.columns:
+        fields.append(F.when(F.size("samples") > 0, sample_text(F.col("samples"))))
+    return variants.select(F.concat_ws("\t", *fields).alias("value"))
 
 
 def _fastq_rows(p) -> Iterator[tuple]:
@@ -251,25 +252,33 @@ def parse_index(data: bytes) -> dict[str, list[tuple]]:
     return out
 
 
-def index_bytes(contigs: list[str], bins: list[tuple], linear: list[tuple], stats: list[tuple], layout: Layout, kind: int = 0) -> bytes:
-    """An index file (inflated) for a text layout from the rows of ``parse_index``. An index is a small
-    document, made by the driver."""
+def index_stream(contigs: list[str], bins: Iterator[tuple], linear: Iterator[tuple], stats: list[tuple], n_bins: dict[int, int], n_chunks: dict[tuple[int, int], int], n_linear: dict[int, int], layout: Layout, kind: int = 0) -> Iterator[bytes]:
+    """The bytes of an index file (inflated) for a text layout, from rows of ``parse_index`` in order of
+    refid and bin or window, and how many there are of each."""
     names = b"".join(c.encode() + b"\0" for c in contigs)
-    out = [b"TBI\1", struct.pack("<8i", len(contigs), kind | (0x10000 if layout.zero_based else 0), layout.contig, layout.beg, layout.end, ord(layout.comment), layout.skip, len(names)), names]
-    by_bin: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for ref, b, beg, end in sorted(bins):
-        by_bin.setdefault(ref, {}).setdefault(b, []).append((beg, end))
+    yield b"TBI\1" + struct.pack("<8i", len(contigs), kind | (0x10000 if layout.zero_based else 0), layout.contig, layout.beg, layout.end, ord(layout.comment), layout.skip, len(names)) + names
     told = {s[0]: s[1:] for s in stats}
     for ref in range(len(contigs)):
-        own = by_bin.get(ref, {})
-        out.append(struct.pack("<i", len(own) + (ref in told)))
-        for b, pairs in own.items():
-            out.append(struct.pack("<Ii", b, len(pairs)) + b"".join(struct.pack("<QQ", *p) for p in pairs))
+        yield struct.pack("<i", n_bins.get(ref, 0) + (ref in told))
+        for _ in range(n_bins.get(ref, 0)):
+            _, b, *pair = next(bins)
+            n = n_chunks[ref, b]
+            yield struct.pack("<Ii", b, n) + struct.pack("<QQ", *pair)
+            for _ in range(n - 1):
+                yield struct.pack("<QQ", *next(bins)[2:])
         if ref in told:
-            out.append(struct.pack("<IiQQQQ", 37450, 2, *told[ref]))
-        wins = sorted((w, v) for r, w, v in linear if r == ref)
-        out.append(struct.pack("<i", len(wins)) + b"".join(struct.pack("<Q", v) for _, v in wins))
-    return b"".join(out)
+            yield struct.pack("<IiQQQQ", 37450, 2, *told[ref])
+        yield struct.pack("<i", n_linear.get(ref, 0))
+        for _ in range(n_linear.get(ref, 0)):
+            yield struct.pack("<Q", next(linear)[2])
+
+
+def index_bytes(contigs: list[str], bins: list[tuple], linear: list[tuple], stats: list[tuple], layout: Layout, kind: int = 0) -> bytes:
+    """An index file (inflated) as ``index_stream`` makes it, from lists of rows."""
+    from collections import Counter
+
+    chunks = Counter((r[0], r[1]) for r in bins)
+    return b"".join(index_stream(contigs, iter(sorted(bins)), iter(sorted(linear)), stats, Counter(r for r, _ in chunks), chunks, Counter(r[0] for r in linear), layout, kind))
 
 
 _INDEX = {
@@ -288,12 +297,71 @@ def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_index(path: str, contigs: list[str], bins: DataFrame, linear: DataFrame, stats: DataFrame, layout: Layout) -> None:
-    """Write tables with refid as a blocked index file. An index is a small document."""
-    rows = lambda df, name: [tuple(r) for r in df.select(*[f.split()[0] for f in _INDEX[name].split(", ")]).collect()]
-    data = index_bytes(contigs, rows(bins, "bins"), rows(linear, "linear"), rows(stats, "stats"), layout)
-    system, inner = bgzf.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    with system.open_output_stream(inner, compression=None) as f:
-        f.write(bgzf.compress(data))
+    """Write tables with refid as a blocked index file. The file is one stream: chunks and windows pass
+    through the driver a partition at a time, and only counts per bin are held."""
+    columns = lambda name: [f.split()[0] for f in _INDEX[name].split(", ")]
+    in_order = lambda df, name, *by: (tuple(r) for r in df.select(*columns(name)).orderBy(*by).toLocalIterator())
+    n_chunks = {(r[0], r[1]): r[2] for r in bins.groupBy("refid", "bin").count().collect()}  # a scheme has some 37,000 bins a contig
+    n_bins: dict[int, int] = {}
+    for ref, _ in n_chunks:
+        n_bins[ref] = n_bins.get(ref, 0) + 1
+    n_linear = {r[0]: r[1] for r in linear.groupBy("refid").count().collect()}  # one row a contig
+    told = [tuple(r) for r in stats.select(*columns("stats")).collect()]
+    stream = index_stream(contigs, in_order(bins, "bins", "refid", "bin", "chunk_beg", "chunk_end"), in_order(linear, "linear", "refid", "win"), told, n_bins, n_chunks, n_linear, layout)
+    with bgzf.open_output(path) as f:
+        held = b""
+        for piece in stream:
+            held += piece
+            if len(held) >= bgzf.PAYLOAD:
+                keep = len(held) % bgzf.PAYLOAD
+                f.write(bgzf.compress(held[: len(held) - keep], end=False))
+                held = held[len(held) - keep :]
+        f.write(bgzf.compress(held))
+
+
+REGION_KINDS = ("bed", "tab", "reg", "vcf")
+FARTHEST = 1 << 35  # Fixed value: where a region without an end ends.
+
+
+def regions_of(rows: DataFrame, kind: str) -> DataFrame:
+    """(contig, beg, end 0-based half-open, payload) of lines of a region list.
+
+    ``bed``: contig, 0-based begin, end. ``tab``: contig, 1-based begin, inclusive end or none (one base).
+    ``vcf``: contig, 1-based position. ``reg``: contig:from-to, contig:from (one base), contig:from- (to
+    the end). A contig alone is the whole contig; blank lines and comments are left out, as are lines
+    that do not parse. Payload is what follows on the line."""
+    if kind not in REGION_KINDS:
+        raise ValueError(f"no region lists of kind {kind}")
+    text = F.ltrim("line")
+    rows = rows.select(text.alias("line")).where("line <> '' AND NOT startswith(line, '#')")
+    number = lambda c: F.regexp_replace(c, ",", "").try_cast("long")
+    if kind == "reg":
+        part = lambda k: F.regexp_extract("line", r"^([^:\s]+)(?::([0-9,]+)(-?)([0-9,]*))?", k)
+        beg, last = number(part(2)), number(part(4))
+        end = F.when(last.isNotNull(), last).when(part(3) == "-", F.lit(FARTHEST)).otherwise(beg)
+        contig, rest = part(1), F.trim(F.regexp_extract("line", r"^\S+\s*(.*)$", 1))
+        alone = ~F.regexp_extract("line", r"^(\S+)", 1).contains(":")
+    else:
+        f = F.split("line", r"\s+")
+        at = lambda k: F.get(f, F.lit(k))
+        beg, last = number(at(1)), F.lit(None).cast("long") if kind == "vcf" else number(at(2))
+        contig, alone = at(0), at(1).isNull() | (at(1) == "")
+        beg = beg + 1 if kind == "bed" else beg
+        end = F.coalesce(last, beg) if kind != "bed" else last
+        taken = F.when(last.isNull(), 2).otherwise(3)
+        rest = F.array_join(F.slice(f, taken + 1, F.greatest(F.size(f) - taken, F.lit(0))), "\t")
+    found = rows.select(contig.alias("contig"), F.when(alone, 0).otherwise(beg - 1).cast("long").alias("beg"), F.when(alone, FARTHEST).otherwise(end).cast("long").alias("end"), rest.alias("payload"))
+    return found.where("contig <> '' AND beg >= 0 AND end > beg")
+
+
+def read_regions(spark: SparkSession, path: str, kind: str = "bed") -> DataFrame:
+    """Regions of a file, by one of ``REGION_KINDS``."""
+    return regions_of(bgzf.text_lines(spark, path), kind)
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a file of names: without blank lines."""
+    return bgzf.text_lines(spark, path).select(F.trim("line").alias("line")).where("line <> ''")
 
 
 def filed_features(features: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanforge.plans import catalogue
+from spanforge.plans import catalogue, files  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
