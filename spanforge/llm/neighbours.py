@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.shared import materialise
+from spanforge.shared import drop_written, materialise
 from spanforge.sources.tables import table
 
 K = 20
@@ -244,7 +244,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     n, low, high = distinct.agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).first()
     kinds = "bucket long, ask boolean, rep long"
     found = distinct.select("rep", "vec", "ask").mapInArrow(_bucketed(n, high if n and high > 1.01 * low else None), kinds)
-    best = materialise(_answers(materialise(found, "buckets"), distinct, k), "answers")
+    found = materialise(found, "buckets")
+    best = materialise(_answers(found, distinct, k), "answers")
+    drop_written(vectors.sparkSession, found)
     short = distinct.where("ask").join(best.where(F.size("ids") > k).select("rep"), "rep", "left_anti")
     if not short.isEmpty():
         length = F.size("vec").cast("long").alias("bucket")

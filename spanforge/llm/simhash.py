@@ -18,7 +18,7 @@ shingles: sets alike to s share a key with probability s^MINIMA, whatever the si
 compared (64-bit hashes of the distinct shingles): a link has the spec's similarity, exactly.
 
 Equal texts have equal fingerprints, so a group of copies of any size is one member.  A shard of more
-than ``SHARD`` members is dealt to several trees.  Each tree first links its own members; then every
+than ``SHARD`` members (twice as many where sets are compared) is dealt to several trees.  Each tree first links its own members; then every
 member that is not in its shard's most frequent component visits the shard's other trees.  Any two
 members of different components include one such visitor, so no link between components is lost,
 while a dense group of near copies, one component by then, travels once.  In a tree a pair is looked
@@ -48,7 +48,7 @@ from spanforge.llm.components import components
 from spanforge.shared import drop_written, materialise
 from spanforge.sources.tables import table
 
-SHARD = 1024
+SHARD = 256
 CHUNK = 1 << 15
 KEYS, MINIMA = 11, 4
 NO_ID = -(1 << 63)
@@ -293,7 +293,7 @@ def links(docs: DataFrame, members: DataFrame, spec: Spec, id_col: str = "doc_id
     keyed = materialise(keyed, "keys")
     sizes = keyed.groupBy("_shard", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = keyed.join(sizes, ["_shard", "_key"])
-    trees = F.ceil(F.col("_n") / SHARD).cast("int")
+    trees = F.ceil(F.col("_n") / (SHARD if spec.similarity is None else 2 * SHARD)).cast("int")
     met = materialise(met.select("_shard", "_key", "_m", trees.alias("_trees"), F.pmod(F.xxhash64("_m", "_shard"), trees).cast("int").alias("_tree")), "met")
     drop_written(spark, keyed)
     sets = None
@@ -303,18 +303,27 @@ def links(docs: DataFrame, members: DataFrame, spec: Spec, id_col: str = "doc_id
     schema = "u long, v long"
     first = materialise(_dealt(met.withColumns({"_own": F.lit(True), "_label": F.col("_m")}), members, sets).mapInArrow(_tree_links(spec, True), schema), "links")
     dense = met.where("_trees > 1")
+    made = [met] if sets is None else [met, sets]
+
+    def done(out: DataFrame) -> DataFrame:
+        for table_ in made:
+            drop_written(spark, table_)
+        return out
+
     if dense.isEmpty():
-        return first
+        return done(first)
     named = components(first)
     dense = dense.join(named, dense["_m"] == named["node"], "left").withColumn("_label", F.coalesce("component", "_m")).drop("node", "component")
     dense = materialise(dense, "dense")
+    made.append(dense)
     most = dense.groupBy("_shard", "_key", "_label").agg(F.count(F.lit(1)).alias("_c"))
     most = materialise(most.groupBy("_shard", "_key").agg(F.max_by("_label", F.struct("_c", "_label")).alias("_most")), "most")
+    made.append(most)
     dense = dense.join(most, ["_shard", "_key"])
     others = F.filter(F.sequence(F.lit(0), F.col("_trees") - 1), lambda t: t != F.col("_tree"))
     visits = dense.where("_label <> _most").withColumns({"_tree": F.explode(others), "_own": F.lit(False)})
     rest = _dealt(dense.withColumn("_own", F.lit(True)).unionByName(visits), members, sets).mapInArrow(_tree_links(spec, False), schema)
-    return materialise(first.union(rest), "links")
+    return done(materialise(first.union(rest), "links"))
 
 
 def near_duplicates(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,9 +334,12 @@ def near_duplicates(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_co
     members = rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.min(F.struct(*KEY)).alias("_row"), F.first("_keys").alias("_keys"))
     # a member's number is fixed once it is written
     members = materialise(members.select("_fp", "_least", "_row.*", "_keys", F.monotonically_increasing_id().alias("_m")), "members")
-    found = components(links(docs, members, spec, id_col, text_col))
+    edges = links(docs, members, spec, id_col, text_col)
+    found = components(edges)
+    drop_written(edges.sparkSession, edges)
     named = members.join(found, members["_m"] == found["node"], "left").select("_fp", "_least", F.coalesce("component", "_m").alias("_group"))
     named = materialise(named, "named")
+    drop_written(docs.sparkSession, members)
     least = materialise(named.groupBy("_group").agg(F.min("_least").alias("_component")), "least")
     named = named.join(least, "_group").select("_fp", "_group", "_component")
     return rows.join(named, "_fp").select("_id", *KEY, "_fp", "_group", "_component")
