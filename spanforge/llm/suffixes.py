@@ -162,7 +162,7 @@ def classify(units: DataFrame) -> DataFrame:
 
 
 def _contexts(length: int):
-    """The bytes of units' windows: rows (d, t, text, units) to (unit, rep, ctx)."""
+    """The bytes of units' windows: rows (d, t, text, units) to (unit, rep, ctx, g)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,8 +171,8 @@ def _contexts(length: int):
                 ctx = [text[u["a"] - u["o2"] : u["a"] - u["o1"] + length] for u in units]
                 m = len(units)
                 cols = [pa.array([u["core"] for u in units], pa.int64()), pa.array([u["full"] for u in units], pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64())]
-                cols += [pa.array([u["a"] for u in units], pa.int64()), *(pa.array([u[c] for u in units], pa.int32()) for c in ("o1", "o2")), pa.array([u["rep"] for u in units], pa.bool_()), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["core", "full", "d", "t", "a", "o1", "o2", "rep", "ctx"])
+                cols += [pa.array([u["a"] for u in units], pa.int64()), *(pa.array([u[c] for u in units], pa.int32()) for c in ("o1", "o2")), pa.array([u["rep"] for u in units], pa.bool_()), pa.array(ctx, pa.binary()), pa.array([u["g"] for u in units], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["core", "full", "d", "t", "a", "o1", "o2", "rep", "ctx", "g"])
 
     return run
 
@@ -339,26 +339,24 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     found = [told.where(whole).select(*window)]
     # what a suffix array has to decide: units alone in their class, and one of each other class beside them
     open_ = (F.col("kinds") > 1) & ((F.col("n") == 1) | F.col("first"))
-    unit = F.struct("core", "full", "a", "o1", "o2", (F.col("n") > 1).alias("rep"))
+    # such a unit stands for each class of its core, so the core's group is as large as it has classes
+    unit = F.struct("core", "full", "a", "o1", "o2", (F.col("n") > 1).alias("rep"), F.col("kinds").alias("g"))
     wanted = told.where(open_).groupBy("t").agg(F.collect_list(unit).alias("units"))
     fields = UNIT + ", rep boolean, ctx binary"
-    parts = written(texts.select("d", "t", "text").join(wanted, "t").select("d", "t", "text", "units").mapInArrow(_contexts(length), fields), "windows")
+    parts = written(texts.select("d", "t", "text").join(wanted, "t").select("d", "t", "text", "units").mapInArrow(_contexts(length), fields + ", g long"), "windows")
     for grid in (*GRIDS, 0):
-        large = parts.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select("core")
-        if not grid or large.isEmpty():
-            large = None
-        small = parts if large is None else parts.join(large, "core", "left_anti")
-        dealt = small.repartition("core").sortWithinPartitions("core")
+        large = F.col("g") > GROUP if grid else F.lit(False)
+        dealt = parts.where(~large).drop("g").repartition("core").sortWithinPartitions("core")
         found.append(written(dealt.mapInArrow(_ranges(length, keep_first), "t long, beg long, end long"), "ranges"))
-        if large is None:
+        if not grid or parts.where(large).isEmpty():
             break
-        finer = written(parts.join(large, "core", "left_semi").mapInArrow(_split(length, grid), fields), "windows")
+        finer = written(parts.where(large).drop("g").mapInArrow(_split(length, grid), fields), "windows")
         # a unit that stood for a class still does; its parts count as repeated
         told = classify(finer)
         made.append(told)
         whole = (F.col("n") > 1) & ~F.col("first") if keep_first else (F.col("n") > 1) & ~F.col("rep")
         found.append(told.where(whole).select(*window))
-        parts = written(told.where(open_).withColumn("rep", F.col("rep") | (F.col("n") > 1)).select(*finer.columns), "windows")
+        parts = written(told.where(open_).withColumn("rep", F.col("rep") | (F.col("n") > 1)).select(*finer.columns, F.col("kinds").alias("g")), "windows")
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
