@@ -62,65 +62,114 @@ def base_modifications(seq: Column, mm: Column, ml: Column, flag: Column) -> Col
     return run(F.struct(seq.alias("s"), mm.alias("m"), ml.cast("array<int>").alias("l"), flag.alias("f")))
 
 
-def alignment_posteriors(ref: str, query: str, quals: list[int], middle: np.ndarray, opening: float = 0.001, extension: float = 0.1, band: int = 7) -> np.ndarray:
-    """For each base of ``query``, the probability that it is aligned to reference base ``middle`` (-1: none),
-    by the forward and backward passes of a profile of match, insertion and deletion states in a band."""
-    n, m = len(query), len(ref)
-    end = 1 / (2 * n)
-    mm, mi, md = (1 - 2 * opening) * (1 - end), opening * (1 - end), opening * (1 - end)
+READS_AT_ONCE = 64
+
+
+def _padded(rows: list, width: int, fill: float, kind) -> np.ndarray:
+    out = np.full((len(rows), width), fill, kind)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def alignment_posteriors(reads: list[tuple[str, str, list[int], list[int]]], opening: float = 0.001, extension: float = 0.1, band: int = 7) -> list[np.ndarray]:
+    """For each base of each read (reference, query, qualities, place of each base in the reference or -1), the
+    probability that it is aligned to that place, by the forward and backward passes of a profile of match,
+    insertion and deletion states in a band around the given alignment.
+
+    All reads take each step together. A run of deletions within a row is a sum over its lengths, of which a
+    band has no more than its width."""
+    n = np.array([len(r[1]) for r in reads])
+    m = np.array([len(r[0]) for r in reads])
+    longest, widest = int(n.max()), int(m.max())
+    code = lambda k: _padded([np.frombuffer(r[k].encode("latin-1", "replace"), np.uint8) for r in reads], (widest, longest)[k], 78, np.uint8)  # noqa: E731  78: N
+    ref, query = code(0), code(1)
+    error = 10 ** (-_padded([r[2] for r in reads], longest, 0, float) / 10)
+    middle = _padded([r[3] for r in reads], longest, -1, np.int64)
+    end = (1 / (2 * n))[:, None]
+    mm, to_gap = (1 - 2 * opening) * (1 - end), opening * (1 - end)
     im, ii, dm, dd = (1 - extension) * (1 - end), extension * (1 - end), 1 - extension, extension
-    known = [k for k in middle if k >= 0] or [0]
-    line, last = np.empty(n, np.int64), known[0]
-    for i in range(n):  # the band follows the given alignment
-        last = int(middle[i]) if middle[i] >= 0 else last
-        line[i] = last
-    low, high = np.maximum(line - band, 0), np.minimum(line + band, m - 1)
-
-    def emits(i: int, k: int) -> float:
-        if query[i] == "N" or ref[k] == "N":
-            return 1.0
-        e = 10 ** (-quals[i] / 10)
-        return 1 - e if query[i] == ref[k] else e / 3
-
-    f = np.zeros((n, m + 1, 3))  # match, insertion, deletion at reference base k; row m stays empty
-    b = np.zeros((n, m + 1, 3))
-    scale = np.ones(n)
-    for i in range(n):
-        for k in range(low[i], high[i] + 1):
-            if not i:
-                f[i, k, 0], f[i, k, 1] = emits(i, k) * (1 - opening) / m, opening / m / 4
-                continue
-            p = f[i - 1, k - 1] if k else np.zeros(3)
-            f[i, k, 0] = emits(i, k) * (mm * p[0] + im * p[1] + dm * p[2])
-            f[i, k, 1] = (mi * f[i - 1, k, 0] + ii * f[i - 1, k, 1]) / 4
-            if k:
-                f[i, k, 2] = md * f[i, k - 1, 0] + dd * f[i, k - 1, 2]
-        scale[i] = f[i].sum() or 1.0
-        f[i] /= scale[i]
-    b[n - 1, :, :2] = end
-    for i in range(n - 2, -1, -1):
-        for k in range(high[i], low[i] - 1, -1):
-            nxt = emits(i + 1, k + 1) * b[i + 1, k + 1, 0] if k + 1 < m else 0.0
-            ins, dele = b[i + 1, k, 1] / 4, b[i, k + 1, 2]
-            b[i, k, 0] = mm * nxt + mi * ins + md * dele
-            b[i, k, 1] = im * nxt + ii * ins
-            b[i, k, 2] = (dm * nxt + dd * dele) if i else 0.0
-        b[i] /= scale[i + 1]
-    both = f[:, :, :2] * b[:, :, :2]
-    total = both.sum(axis=(1, 2))
-    at = np.where(middle >= 0, middle, m)
-    return np.where(middle >= 0, both[np.arange(n), at, 0] / np.where(total > 0, total, 1), 0.0)
+    # the band follows the given alignment
+    first = np.array([next((x for x in r[3] if x >= 0), 0) for r in reads])
+    seen = np.maximum.accumulate(np.where(middle >= 0, np.arange(longest), -1), axis=1)
+    line = np.where(seen >= 0, np.take_along_axis(middle, np.maximum(seen, 0), axis=1), first[:, None])
+    k = np.arange(widest)
+    within = k < m[:, None]
+
+    def banded(i: int) -> np.ndarray:
+        return (k >= line[:, i, None] - band) & (k <= line[:, i, None] + band) & within & (i < n)[:, None]
+
+    def emits(i: int) -> np.ndarray:
+        q, e = query[:, i, None], error[:, i, None]
+        return np.where((q == 78) | (ref == 78), 1.0, np.where(q == ref, 1 - e, e / 3))
+
+    def shifted(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros_like(x)
+        if by > 0:
+            out[:, by:] = x[:, :-by]
+        else:
+            out[:, :by] = x[:, -by:]
+        return out
+
+    def runs(x: np.ndarray, ahead: int) -> np.ndarray:
+        """The sums of dd^t x, t places on in one direction."""
+        out, weight, part = x.copy(), 1.0, x
+        for _ in range(min(2 * band, widest - 1)):
+            part, weight = shifted(part, ahead), weight * dd
+            out += weight * part
+        return out
+
+    def total(*parts: np.ndarray) -> np.ndarray:
+        found = sum(p.sum(axis=1) for p in parts)[:, None]
+        return np.where(found > 0, found, 1.0)
+
+    match, insert, scale = np.zeros((longest, len(reads), widest)), np.zeros((longest, len(reads), widest)), np.ones((longest, len(reads), 1))
+    fm, fi, fd = (np.zeros((len(reads), widest)) for _ in range(3))
+    for i in range(longest):
+        here = banded(i)
+        if not i:
+            fm, fi, fd = emits(0) * (1 - opening) / m[:, None] * here, opening / m[:, None] / 4 * here, np.zeros_like(fd)
+        else:
+            fm, fi = emits(i) * (mm * shifted(fm, 1) + im * shifted(fi, 1) + dm * shifted(fd, 1)) * here, (to_gap * fm + ii * fi) / 4 * here
+            fd = runs(shifted(to_gap * fm, 1), 1) * here
+            scale[i] = total(fm, fi, fd)
+            fm, fi, fd = fm / scale[i], fi / scale[i], fd / scale[i]
+        if not i:
+            scale[0] = total(fm, fi)
+            fm, fi = fm / scale[0], fi / scale[0]
+        match[i], insert[i] = fm, fi
+    out = np.zeros((len(reads), longest))
+    bm, bi = np.zeros((len(reads), widest)), np.zeros((len(reads), widest))
+    for i in range(longest - 1, -1, -1):
+        last = (i == n - 1)[:, None]
+        if i < longest - 1:
+            nxt, ins, here = shifted(emits(i + 1) * bm, -1), bi / 4, banded(i)
+            bd = runs(dm * nxt * here, -1) * here if i else np.zeros_like(nxt)
+            bm, bi = (mm * nxt + to_gap * ins + to_gap * shifted(bd, -1)) * here / scale[i + 1], (im * nxt + ii * ins) * here / scale[i + 1]
+        bm, bi = np.where(last, end * within, bm), np.where(last, end * within, bi)
+        both = match[i] * bm
+        whole = total(both, insert[i] * bi)[:, 0]
+        at = np.clip(middle[:, i], 0, widest - 1)
+        out[:, i] = np.where((middle[:, i] >= 0) & (i < n), both[np.arange(len(reads)), at] / whole, 0.0)
+    return [out[r, : n[r]] for r in range(len(reads))]
+
+
+def alignment_qualities(reads: list[tuple[str, str, list[int], list[int]]]) -> list[list[int]]:
+    """Qualities of reads (reference, query, qualities, places) capped by how surely each base is aligned where
+    the alignment has it; bases that are not aligned to the reference keep theirs."""
+    out = [list(r[2]) for r in reads]
+    some = [k for k, r in enumerate(reads) if r[0] and r[1]]
+    for at in range(0, len(some), READS_AT_ONCE):
+        part = some[at : at + READS_AT_ONCE]
+        for k, sure in zip(part, alignment_posteriors([(reads[k][0].upper(), reads[k][1].upper(), *reads[k][2:]) for k in part]), strict=True):
+            caps = np.where(sure >= 1 - 1e-10, 99, np.floor(-10 * np.log10(np.maximum(1 - sure, 1e-10)) + 0.499))
+            out[k] = [int(min(q, c)) if x >= 0 else q for q, c, x in zip(reads[k][2], caps.tolist(), reads[k][3], strict=True)]
+    return out
 
 
 def alignment_quality(ref: str, query: str, quals: list[int], middle: list[int]) -> list[int]:
-    """Qualities capped by how surely each base is aligned where the alignment has it; bases that are not
-    aligned to the reference keep theirs."""
-    place = np.array(middle, np.int64)
-    if not len(query) or not len(ref):
-        return list(quals)
-    sure = alignment_posteriors(ref.upper(), query.upper(), quals, place)
-    caps = [99 if p >= 1 - 1e-10 else int(-10 * math.log10(max(1 - p, 1e-10)) + 0.499) for p in sure]
-    return [min(q, c) if k >= 0 else q for q, c, k in zip(quals, caps, middle, strict=True)]
+    """``alignment_qualities`` of one read."""
+    return alignment_qualities([(ref, query, quals, middle)])[0]
 
 
 def _placed(cigar: str, pos: int, beg: int) -> list[int]:
@@ -143,16 +192,17 @@ def base_alignment_quality(ref: Column, ref_beg: Column, seq: Column, qual: Colu
     @F.pandas_udf("string")
     def run(args: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for part in args:
-            out = []
+            out, places, reads = [], [], []
             for r, rb, s, q, c, p in part.itertuples(index=False, name=None):
+                out.append(q)
                 if not all(isinstance(x, str) for x in (r, s, q, c)) or len(s) != len(q) or "N" in c or c == "*":
-                    out.append(q)
                     continue
                 middle = _placed(c, int(p), int(rb))
-                if len(middle) != len(s) or max(middle, default=-1) >= len(r):
-                    out.append(q)
-                    continue
-                out.append("".join(chr(33 + x) for x in alignment_quality(r, s, [ord(x) - 33 for x in q], middle)))
+                if len(middle) == len(s) and max(middle, default=-1) < len(r):
+                    places.append(len(out) - 1)
+                    reads.append((r, s, [ord(x) - 33 for x in q], middle))
+            for k, found in zip(places, alignment_qualities(reads), strict=True):
+                out[k] = "".join(chr(33 + x) for x in found)
             yield pd.Series(out, dtype="object")
 
     return run(F.struct(ref.alias("r"), ref_beg.alias("rb"), seq.alias("s"), qual.alias("q"), cigar.alias("c"), pos.alias("p")))

@@ -68,8 +68,15 @@ def _applied(function, *cols: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(args: pd.DataFrame) -> pd.Series:
-        rows = args.itertuples(index=False, name=None)
-        return pd.Series([None if any(pd.isna(v) for v in vs) else function(*vs) for vs in rows], dtype="float64")
+        # equal arguments are computed once: real columns of counts repeat few values
+        cols = [args[c].to_numpy(float) for c in args.columns]
+        rows = np.stack(cols, axis=1)
+        some = np.flatnonzero(~np.isnan(rows).any(axis=1))
+        out = np.full(len(rows), np.nan)
+        if len(some):
+            distinct, which = np.unique(rows[some], axis=0, return_inverse=True)
+            out[some] = np.array([function(*vs) for vs in distinct.tolist()])[which.reshape(-1)]
+        return pd.Series([None if x else v for v, x in zip(out.tolist(), np.isnan(rows).any(axis=1).tolist(), strict=True)], dtype="object")
 
     return run(F.struct(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(cols)]))
 
@@ -99,12 +106,24 @@ def betai(a: Column, b: Column, x: Column) -> Column:
     return _applied(beta_i, a, b, x)
 
 
+_FACTORIALS = np.zeros(1)
+
+
+def _log_factorials(most: int) -> np.ndarray:
+    """Logarithms of 0! to at least ``most``!, kept and extended by doubling."""
+    global _FACTORIALS
+    if len(_FACTORIALS) <= most:
+        size = max(most + 1, 2 * len(_FACTORIALS), 1024)
+        _FACTORIALS = np.array([math.lgamma(i + 1) for i in range(size)]) if size <= 1 << 22 else np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size)))])
+    return _FACTORIALS
+
+
 def fisher(n11: int, n12: int, n21: int, n22: int) -> tuple[float, float, float]:
     """(left, right, two-tailed) probabilities of Fisher's exact test on a 2x2 table."""
     row, col, total = n11 + n12, n11 + n21, n11 + n12 + n21 + n22
     low, high = max(0, row + col - total), min(row, col)
     k = np.arange(low, high + 1)
-    table = np.array([math.lgamma(i + 1) for i in range(total + 1)])
+    table = _log_factorials(total)
     log = table[row] + table[total - row] + table[col] + table[total - col] - table[total] - table[k] - table[row - k] - table[col - k] - table[total - row - col + k]
     p = np.exp(log)
     at = p[n11 - low]
