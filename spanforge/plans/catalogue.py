@@ -450,7 +450,13 @@ def depth_cap_per_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.cap_per_start(genome.records(spark, sf_dir), ["end", "qname", "line", "price"], 3).groupBy("contig", "beg").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""{FILED.replace("WITH f", "WITH RECURSIVE f")}, r AS (SELECT contig, beg, "end", row_number() OVER (PARTITION BY contig ORDER BY voff) AS k FROM f),
+s AS (SELECT contig, k, ["end"] AS ends, CAST(1 AS BIGINT) AS kept FROM r WHERE k = 1
+UNION ALL SELECT s.contig, r.k, CASE WHEN len(list_filter(s.ends, lambda x: x > r.beg)) < 5 THEN list_append(list_filter(s.ends, lambda x: x > r.beg), r."end") ELSE list_filter(s.ends, lambda x: x > r.beg) END,
+  s.kept + CASE WHEN len(list_filter(s.ends, lambda x: x > r.beg)) < 5 THEN 1 ELSE 0 END FROM s JOIN r ON r.contig = s.contig AND r.k = s.k + 1)
+SELECT contig, max(kept) AS n FROM s GROUP BY 1"""
+)
 def depth_cap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The depth cap in file order."""
     cols = ["contig", "beg", "end", "voff"]
@@ -612,6 +618,8 @@ def _filtered(name: str, expression: str, where: str, source: str, key: str) ->
 _filtered("numeric", "l_quantity * 2 > 50 && l_discount < 0.05", "l_quantity * 2 > 50 AND l_discount < 0.05", "lineitem", "l_suppkey")
 _filtered("precedence", "l_linenumber == 1 || l_linenumber == 2 && l_quantity < 10", "(l_linenumber = 1 OR l_linenumber = 2) AND l_quantity < 10", "lineitem", "l_suppkey")
 _filtered("bits", "(l_orderkey & 6) == 4 || (l_partkey ^ l_suppkey) % 5 == 0", "(l_orderkey & 6) = 4 OR xor(l_partkey, l_suppkey) % 5 = 0", "lineitem", "l_linenumber")
+_filtered("sums", "l_quantity + l_linenumber - 2 >= 25 && (l_discount * 100 + 1) / 2 != 3", "l_quantity + l_linenumber - 2 >= 25 AND (l_discount * 100 + 1) / 2 <> 3", "lineitem", "l_suppkey")
+_filtered("order", "l_linenumber <= 3 && l_quantity >= 10 && l_partkey < 1000 || l_tax > 0.05", "l_linenumber <= 3 AND l_quantity >= 10 AND l_partkey < 1000 OR l_tax > 0.05", "lineitem", "l_suppkey")
 _filtered("string", 'l_returnflag == "R" && l_linestatus != "O"', "l_returnflag = 'R' AND l_linestatus <> 'O'", "lineitem", "l_suppkey")
 _filtered("regex", 'p_name =~ "^[[:alpha:]]+ .*[aeiou]$" || p_type !~ "[[:upper:]]{3}"', "regexp_matches(p_name, '^[A-Za-z]+ .*[aeiou]$') OR NOT regexp_matches(p_type, '[A-Z]{3}')", "part", "p_size")
 _filtered("function", "length(p_name) >= 6 && max(p_name) > 110 && avg(p_brand) > 70", "length(p_name) >= 6 AND list_max(list_transform(string_split(p_name, ''), lambda c: ord(c))) > 110 AND list_avg(list_transform(string_split(p_brand, ''), lambda c: ord(c))) > 70", "part", "p_size")

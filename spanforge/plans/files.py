@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions import sequence, variants
+from spanforge.functions import filterlang, sequence, variants
 from spanforge.functions.bins import overlaps
 from spanforge.operators import headers, indexing, intervals, pairing
 from spanforge.plans import genome
@@ -200,6 +200,18 @@ def bam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(alignments.read_bam(spark, folder + ".bam", 1 << 18))
 
 
+@query(
+    """SELECT l_returnflag AS rg, count(*) AS n FROM (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 13 END AS rlen FROM lineitem) x
+WHERE l_linenumber % 2 = 1 AND rlen <= 10 AND l_orderkey % 60 > 20 AND (l_linenumber >= 3 OR l_returnflag = 'R') AND 'c' || l_suppkey % 5 = 'c1' AND l_partkey * 3 + rlen < 3000 AND l_partkey * 3 + 1 > 30 AND l_orderkey % 4 <> 3 GROUP BY 1"""
+)
+def filter_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments that pass an expression over flags, positions, lengths, tags and names."""
+    rows = _reads(spark, sf_dir).withColumns({"cigar": sequence.parse_cigar(F.col("cigar_text")), "library": F.lit("lib")})
+    said = 'flag.read1 && !flag.read2 && rlen <= 10 && qlen == 10 && mapq > 20 && ([NM] >= 3 || [RG] == "R") && rname == "c1" && endpos < 3000 && pos > 30 && cigar !~ "D" && library == "lib" && length(seq) == 10'
+    found = filterlang.passing(rows, said, filterlang.alignment_symbols(rows))
+    return found.groupBy(sequence.tag_value(F.col("tags"), "RG").alias("rg")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(k AS INTEGER) AS refid, 'c' || k AS contig, CAST(10000000 AS BIGINT) AS length FROM range(5) t(k)")
 def sam_header_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's contig dictionary from its header, of which no more is read than there is."""
