@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.bins import STANDARD, Scheme
 from spanforge.operators.stretches import before
+from spanforge.shared import materialise
 
 FOLD = 0x10000
 FILE_BITS = 42
@@ -31,10 +32,9 @@ def bin_chunks(records: DataFrame, scheme: Scheme = STANDARD, bits: int = FILE_B
     Runs are made within stretches; then the first and last run of each stretch are joined across them."""
     rows = records.select("contig", "voff", "next_voff", scheme.reg2bin(F.col("beg"), F.col("end")).alias("bin"), F.shiftright("voff", bits).alias("_s"))
     by_file = W.partitionBy("contig", "_s").orderBy("voff")
-    rows = rows.withColumn("_new", F.when((F.row_number().over(by_file) > 1) & F.col("bin").eqNullSafe(F.lag("bin").over(by_file)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_file))
-    runs = rows.groupBy("contig", "_s", "_run", "bin").agg(F.min("voff").alias("chunk_beg"), F.max("next_voff").alias("chunk_end"))
-    stretch = W.partitionBy("contig", "_s").orderBy("_run").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    runs = runs.withColumns({"_first": F.col("_run") == F.first("_run").over(stretch), "_last": F.col("_run") == F.last("_run").over(stretch)})
+    rows = rows.withColumn("_new", F.when((F.row_number().over(by_file) > 1) & F.col("bin").eqNullSafe(F.lag("bin").over(by_file)), 0).otherwise(1))
+    rows = rows.withColumns({"_run": F.sum("_new").over(by_file.rowsBetween(W.unboundedPreceding, 0)), "_ends": F.lead("voff").over(by_file).isNull()})
+    runs = rows.groupBy("contig", "_s", "_run", "bin").agg(F.min("voff").alias("chunk_beg"), F.max("next_voff").alias("chunk_end"), F.max("_ends").alias("_last")).withColumn("_first", F.col("_run") == 1)
     inner = runs.where("NOT _first AND NOT _last").select("contig", "bin", "chunk_beg", "chunk_end")
     border = runs.where("_first OR _last")  # two rows a stretch at most
     order = W.partitionBy("contig").orderBy("_s", "_run")
@@ -46,8 +46,10 @@ def bin_chunks(records: DataFrame, scheme: Scheme = STANDARD, bits: int = FILE_B
 def compress_bins(chunks: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
     """Fold bins whose chunks span little of the file into their parents, from the leaves up, where the
     parent exists; then join chunks that share a block.  Folding works on one row per bin: ``bin`` stays
-    the original, ``_at`` is where it has moved to."""
+    the original, ``_at`` is where it has moved to.  Chunks, far fewer than records, are written first."""
+    chunks = materialise(chunks, "chunks")
     bins = chunks.groupBy("contig", "bin").agg(F.min("chunk_beg").alias("_lo"), F.max("chunk_end").alias("_hi")).withColumn("_at", F.col("bin"))
+    bins = bins.repartition("contig")  # one row a bin: all levels are folded where they are
     for level in range(scheme.n_levels, 0, -1):
         own = (F.col("_at") >= scheme.first(level)) & (F.col("_at") < scheme.first(level + 1))
         here = W.partitionBy("contig", "_at")

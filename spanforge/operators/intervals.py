@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.bins import STANDARD, Scheme, overlaps
-from spanforge.operators.stretches import before, islands
+from spanforge.operators.stretches import before, united
+from spanforge.shared import materialise
 
 
 def with_bin(records: DataFrame, beg: str = "beg", end: str = "end", scheme: Scheme = STANDARD) -> DataFrame:
@@ -72,15 +73,13 @@ def seek(records: DataFrame, contig, pos: int) -> DataFrame:
 
 def merge_regions(regions: DataFrame, bits: int = 20) -> DataFrame:
     """The union of regions per contig: overlapping or touching ones become one (contig, beg, end, n).
-    Equal regions are counted first; contigs are gone through by stretches of 2^bits positions."""
-    distinct = regions.groupBy("contig", "beg", "end").agg(F.count(F.lit(1)).alias("n"))
-    found = islands(distinct, ["beg", "end"], bits)
-    return found.groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
+    Contigs are gone through by stretches of 2^bits positions."""
+    return united(regions.select("contig", "beg", "end"), bits)
 
 
 def complement(regions: DataFrame, contigs: DataFrame, bits: int = 20) -> DataFrame:
-    """What regions leave of contigs (contig, length)."""
-    merged = merge_regions(regions, bits).join(contigs, "contig").select("contig", "beg", "end")
+    """What regions leave of contigs (contig, length). Their union, far smaller, is written first."""
+    merged = materialise(merge_regions(regions, bits), "regions").join(contigs, "contig").select("contig", "beg", "end")
     # an empty interval at either end of each contig
     ends = contigs.select("contig", F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("beg")).withColumn("end", F.col("beg") + 0)
     edges = merged.select("contig", F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("end")).union(ends).distinct()

@@ -51,11 +51,41 @@ def running(rows: DataFrame, by: list[str], order: list[str], stretch: Column, v
     return rows.withColumn(out, both).drop(STRETCH, "__base")
 
 
+def _own_islands(rows: DataFrame, order: list[str], bits: int) -> DataFrame:
+    """Adds the stretch and ``__own``, the begin of the first row of a row's island within its stretch."""
+    rows = rows.withColumn(STRETCH, F.shiftright("beg", bits))
+    here = W.partitionBy("contig", STRETCH).orderBy(*order)
+    reach = F.max("end").over(here.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__new", F.when(reach.isNull() | (F.col("beg") > reach), F.col("beg")))
+    return rows.withColumn("__own", F.max("__new").over(here.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+
+
+def _joined_islands(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``_own_islands`` with ``island`` instead: the begin of the first row of all stretches' island.
+
+    Of a stretch's own islands only the last can reach into later stretches.  One row per stretch tells how
+    far those before reach and where their chain began; whatever begins within that reach belongs to it."""
+    per = rows.groupBy(F.col("contig").alias("__contig"), F.col(STRETCH).alias("__at")).agg(F.max("end").alias("__end"), F.max_by("__own", "end").alias("__beg"))
+    ahead = W.partitionBy("__contig").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    crossing = F.col("__end") >= F.shiftleft(F.col("__at").cast("long") + 1, bits)
+    per = per.withColumn("__reach", F.max(F.when(crossing, F.col("__end"))).over(ahead))
+    begins = F.when(crossing & (F.col("__reach").isNull() | (F.col("__beg") > F.col("__reach"))), F.col("__beg"))
+    per = per.withColumn("__chain", F.max(begins).over(ahead)).drop("__end", "__beg")
+    met = rows.join(per, rows["contig"].eqNullSafe(per["__contig"]) & (rows[STRETCH] == per["__at"]))
+    island = F.when(F.col("__own") <= F.col("__reach"), F.col("__chain")).otherwise(F.col("__own"))
+    return met.withColumn("island", island).drop("__contig", "__at", "__reach", "__chain", "__own", STRETCH)
+
+
 def islands(rows: DataFrame, order: list[str], bits: int) -> DataFrame:
-    """Adds ``island``: rows (contig, beg, end) of a contig that overlap or touch, directly or through
-    others, have one number. ``order`` begins with beg and tells rows apart; a stretch is 2^bits positions."""
-    stretch = F.shiftright("beg", bits)
-    rows = running(rows, ["contig"], order, stretch, "end", "__reach", most=True)
-    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("beg") > F.col("__reach")), 1).otherwise(0)).drop("__reach")
-    rows = running(rows, ["contig"], order, stretch, "__new", "__sum")
-    return rows.withColumn("island", F.coalesce("__sum", F.lit(0)) + F.col("__new")).drop("__new", "__sum")
+    """Adds ``island``: rows (contig, beg, end) of a contig that overlap or touch, directly or through others,
+    have one, the begin of the first of them. ``order`` begins with beg; a stretch is 2^bits positions."""
+    return _joined_islands(_own_islands(rows, order, bits), bits)
+
+
+def united(rows: DataFrame, bits: int) -> DataFrame:
+    """(contig, beg, end, n) of the islands of rows (contig, beg, end): each stretch is united by itself before
+    stretches are."""
+    own = _own_islands(rows, ["beg", "end"], bits)
+    own = own.groupBy("contig", STRETCH, "__own").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+    found = _joined_islands(own, bits)
+    return found.groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
