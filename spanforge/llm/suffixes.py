@@ -54,7 +54,7 @@ REACH = 256
 GRIDS = (64, 16, 4, 1)
 GROUP = 256
 SEGMENT = 1 << 20
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
