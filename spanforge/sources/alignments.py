@@ -72,21 +72,15 @@ def bam_header_bytes(text: str, contigs: list[tuple[str, int]]) -> bytes:
     return b"BAM\1" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(contigs)) + names
 
 
-def _read_header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
-    """Header and where the first record starts: (text, contigs, coffset, uoffset)."""
-    data, places = b"", []
-    for at, block in bgzf.read_blocks_between(path, 0, 1 << 62):
-        places.append((at, len(data)))
-        data += bgzf.inflate(block)
-        try:
-            text, contigs, used = parse_bam_header(data)
-        except struct.error:
-            continue
-        if used <= len(data):
-            if used == len(data):
-                return text, contigs, at + len(block), 0
-            return text, contigs, at, used - places[-1][1]
-    raise bgzf.BlockError(f"{path}: header is cut short")
+def _read_header(path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
+    """Header and where the first record starts: (text, contigs, (coffset, uoffset))."""
+
+    def parse(data: bytes) -> tuple[tuple[str, list[tuple[str, int]]], int]:
+        text, contigs, used = parse_bam_header(data)
+        return (text, contigs), used
+
+    (text, contigs), *first = bgzf.header_between(path, parse)
+    return text, contigs, tuple(first)
 
 
 def _tags(data: bytes, at: int, end: int) -> dict[str, tuple[str, str]]:
@@ -175,13 +169,12 @@ def encode_record(row: dict, refids: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def _plausible(data: bytes, at: int, n_ref: int, depth: int = 3) -> bool | None:
-    """Whether a chain of records may start at ``at``; None if the data ends before that can be told."""
+def _plausible(data: bytes, at: int, n_ref: int, whole: bool, depth: int = 3) -> bool | None:
+    """Whether a chain of records may start at ``at``; None if the data ends before that can be told. ``whole``:
+    the file ends with the data, and so must the chain."""
     for _ in range(depth):
-        if at == len(data):
-            return None
         if at + 36 > len(data):
-            return None
+            return at == len(data) if whole else None
         size, refid, pos, l_name, _, _, n_ops, _, l_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
         if not (32 < size < 1 << 26 and -1 <= refid < n_ref and -1 <= mate < n_ref and pos >= -1 and mate_pos >= -1 and l_name > 1 and l_seq >= 0 and 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq <= size):
             return False
@@ -192,55 +185,14 @@ def _plausible(data: bytes, at: int, n_ref: int, depth: int = 3) -> bool | None:
     return True
 
 
+def _record_size(data: bytes, at: int) -> int | None:
+    return 4 + struct.unpack_from("<i", data, at)[0] if at + 4 <= len(data) else None
+
+
 def _bam_rows(p) -> Iterator[tuple]:
-    _, contigs, first_c, first_u = _read_header(p.path)
-    data, starts = b"", []  # inflated so far, and (offset in data, coffset) of its blocks
-    at: int | None = None
-    edge = None
-    for c, block in bgzf.read_blocks_between(p.path, max(p.beg, first_c) if p.beg > first_c else first_c, p.end):
-        if c >= p.end and edge is None:
-            edge = len(data)
-        starts.append((len(data), c))
-        data += bgzf.inflate(block)
-        if at is None:
-            if c == first_c:
-                at = first_u
-            else:
-                k, known = 0, None
-                while k < len(data):
-                    known = _plausible(data, k, len(contigs))
-                    if known is not False:
-                        break
-                    k += 1
-                if known is None and len(data) < 1 << 27:
-                    continue
-                if k >= len(data):
-                    continue
-                at = k
-        while at + 4 <= len(data):
-            size = struct.unpack_from("<i", data, at)[0]
-            if at + 4 + size > len(data):
-                break
-            if edge is not None and at >= edge:
-                return
-            k = max(i for i, (o, _) in enumerate(starts) if o <= at)
-            yield *decode_record(data, at, contigs), starts[k][1], at - starts[k][0]
-            at += 4 + size
-        if edge is not None and at >= edge:
-            return
-        k = max(i for i, (o, _) in enumerate(starts) if o <= at) if at < len(data) else len(starts)
-        cut = starts[k][0] if k < len(starts) else len(data)
-        data, at = data[cut:], at - cut
-        starts = [(o - cut, c) for o, c in starts[k:]]
-        edge = None if edge is None else edge - cut
-    if at is None and data:  # fewer records than a chain needs: take what chains to the end
-        at = next((k for k in range(len(data)) if _plausible(data, k, len(contigs)) is not False), len(data))
-        while at + 4 <= len(data):
-            if edge is not None and at >= edge:
-                return
-            k = max(i for i, (o, _) in enumerate(starts) if o <= at)
-            yield *decode_record(data, at, contigs), starts[k][1], at - starts[k][0]
-            at += 4 + struct.unpack_from("<i", data, at)[0]
+    _, contigs, first = _read_header(p.path)
+    for data, at, coffset, uoffset in bgzf.records_between(p.path, p.beg, p.end, first, _record_size, lambda d, k, whole: _plausible(d, k, len(contigs), whole)):
+        yield *decode_record(data, at, contigs), coffset, uoffset
 
 
 class BamSource(DataSource):
@@ -265,7 +217,7 @@ def read_bam(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataFra
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(refid, contig, length) of a binary file's header."""
-    _, contigs, _, _ = _read_header(path)
+    _, contigs, _ = _read_header(path)
     return spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(contigs)], "refid int, contig string, length long")
 
 

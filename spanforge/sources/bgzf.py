@@ -185,6 +185,80 @@ def read_blocks_between(path: str, beg: int, end: int) -> Iterator[tuple[int, by
             at += n
 
 
+def header_between(path: str, parse) -> tuple[object, int, int]:
+    """(header, coffset, uoffset of the first record) of a binary file. ``parse`` takes the inflated start and
+    gives (header, bytes used); it raises struct.error, or says more bytes than there are, if it needs more."""
+    data = b""
+    for at, block in read_blocks_between(path, 0, 1 << 62):
+        before = len(data)
+        data += inflate(block)
+        try:
+            header, used = parse(data)
+        except struct.error:
+            continue
+        if used == len(data):
+            return header, at + len(block), 0
+        if used < len(data):
+            return header, at, used - before
+    raise BlockError(f"{path}: header is cut short")
+
+
+def records_between(path: str, beg: int, end: int, first: tuple[int, int], size_of, plausible) -> Iterator[tuple[bytes, int, int, int]]:
+    """(inflated data, place of a record in it, coffset, uoffset) of the binary records that start in the
+    blocks of [beg, end); the last may go on behind it. ``first`` is where the file's first record starts.
+    ``size_of(data, at)`` tells a record's bytes, None if they are not there yet. A range that does not begin
+    the file looks for the first place where ``plausible(data, at, whole)`` is not False; None asks for more
+    data, of which there is none if ``whole``."""
+    data, starts = b"", []  # inflated so far, and (place in data, coffset) of its blocks
+    at: int | None = None
+    edge = None
+    tried = 0  # places in front of it are refused
+
+    def place(at: int) -> tuple[bytes, int, int, int]:
+        k = max(i for i, (o, _) in enumerate(starts) if o <= at)
+        return data, at, starts[k][1], at - starts[k][0]
+
+    for c, block in read_blocks_between(path, max(beg, first[0]), end):
+        if c >= end and edge is None:
+            edge = len(data)
+        starts.append((len(data), c))
+        data += inflate(block)
+        if at is None:
+            if c == first[0]:
+                at = first[1]
+            else:
+                known = False
+                while tried < len(data):
+                    known = plausible(data, tried, False)
+                    if known is not False:
+                        break
+                    tried += 1
+                if tried >= len(data) or (known is None and len(data) < 1 << 27):
+                    if edge is not None and tried >= edge:
+                        return
+                    continue
+                at = tried
+        while (size := size_of(data, at)) is not None and at + size <= len(data):
+            if edge is not None and at >= edge:
+                return
+            yield place(at)
+            at += size
+        if edge is not None and at >= edge:
+            return
+        k = max(i for i, (o, _) in enumerate(starts) if o <= at) if at < len(data) else len(starts)
+        cut = starts[k][0] if k < len(starts) else len(data)
+        data, at = data[cut:], at - cut
+        starts = [(o - cut, c) for o, c in starts[k:]]
+        edge = None if edge is None else edge - cut
+    if at is None and data:  # fewer records than a chain needs: take what chains to the end
+        at = next((k for k in range(tried, len(data)) if plausible(data, k, True)), len(data))
+        while (size := size_of(data, at)) is not None and at + size <= len(data):
+            if edge is not None and at >= edge:
+                return
+            yield place(at)
+            at += size
+
+
 def lines_between(path: str, beg: int, end: int, blocked: bool) -> Iterator[tuple[int, int, bool, str]]:
     """(coffset, uoffset, owned, line) from the first line that a byte range owns, and on behind its end
     with ``owned`` false. Plain files have their byte offset as coffset and 0 as uoffset.

@@ -305,6 +305,33 @@ def test_bcf_round_trip_of_odd_values(spark, tmp_path):
         bcf.write_bcf(rows.withColumn("contig", F.lit("nowhere")), str(tmp_path / "no"), header)
 
 
+def test_bcf_in_any_split(tmp_path):
+    header = "##fileformat=VCFv4.2\n##contig=<ID=c1>\n##contig=<ID=c2>\n##FORMAT=<ID=GT,Number=1,Type=String>\n##FORMAT=<ID=T,Number=1,Type=String>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+    r = random.Random(11)
+    numbered, contigs, samples = bcf.dictionaries(header)
+    strings, contig_ids = {v: k for k, v in numbered.items()}, {v: k for k, v in contigs.items()}
+    raw, head = b"", header.encode() + b"\0"
+    for k in range(300):
+        fields = [[("GT", r.choice(("0/1", "1|1"))), ("T", "x" * r.choice((0, 3, 2500)))] for _ in samples]
+        row = {"contig": r.choice(("c1", "c2")), "pos": k, "id": r.choice((None, "rs" * r.randint(1, 30))), "ref": "A" * r.choice((1, 40)), "alts": ["C"], "qual": None, "filters": None, "info": {}, "samples": [{"sample": s, "fields": f} for s, f in zip(samples, fields, strict=True)]}
+        raw += bcf.encode(row, strings, contig_ids, {}, 2)
+    data = b"BCF\2\2" + len(head).to_bytes(4, "little") + head + raw
+    path = str(tmp_path / "a.bcf")
+    with open(path, "wb") as f:
+        f.write(b"".join(bgzf.deflate(data[k : k + 700]) for k in range(0, len(data), 700)) + bgzf.EOF)
+    want = None
+    for split in (1 << 30, 9001, 1777, 300):
+        got = [row[1] for p in bgzf.ranges([path], split) for row in bcf._rows(p)]
+        assert got == list(range(300)), split
+        rows = [row for p in bgzf.ranges([path], split) for row in bcf._rows(p)]
+        want = want or rows
+        assert rows == want
+    with open(path, "wb") as f:
+        f.write(bgzf.compress(b"no variants here"))
+    with pytest.raises(bgzf.BlockError):
+        list(bcf._rows(bgzf.ranges([path], 1 << 20)[0]))
+
+
 def test_region_lists_of_odd_lines(spark):
     lines = ["c1", "c1\t5", "c1 5 9 name", "# no", "", "  c2\t7\t9", "c3\tx\t9", "c4\t0\t5", "c5\t1,000\t2,000"]
     rows = spark.createDataFrame([(x,) for x in lines], "line string")
