@@ -12,7 +12,7 @@ from spanforge.operators import headers, indexing, intervals, pairing
 from spanforge.plans import genome
 from spanforge.plans.catalogue import FILED, REC, VAR, query
 from spanforge.shared import new_path
-from spanforge.sources import alignments, bcf, bgzf, textfiles
+from spanforge.sources import alignments, bcf, bgzf, cram, textfiles
 from spanforge.sources.tables import table
 
 SPLIT = 1 << 16
@@ -200,6 +200,15 @@ def bam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(alignments.read_bam(spark, folder + ".bam", 1 << 18))
 
 
+@query(_READS_SQL)
+def cram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as a file of containers and read back in ranges."""
+    folder = new_path(spark, "cram")
+    cram.write_cram(_reads(spark, sf_dir), folder, _SAM_HEADER)
+    bgzf.join_parts(folder, folder + ".cram")
+    return _told(cram.read_cram(spark, folder + ".cram", split=1 << 18))
+
+
 @query(
     """SELECT l_returnflag AS rg, count(*) AS n FROM (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 13 END AS rlen FROM lineitem) x
 WHERE l_linenumber % 2 = 1 AND rlen <= 10 AND l_orderkey % 60 > 20 AND (l_linenumber >= 3 OR l_returnflag = 'R') AND 'c' || l_suppkey % 5 = 'c1' AND l_partkey * 3 + rlen < 3000 AND l_partkey * 3 + 1 > 30 AND l_orderkey % 4 <> 3 GROUP BY 1"""

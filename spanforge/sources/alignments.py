@@ -131,6 +131,25 @@ def _bin(beg: int, end: int) -> int:
     return 0
 
 
+def tag_values(tags: dict | None) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(key, type, binary value) of a row's tags, in order of their keys."""
+    for key, entry in sorted((tags or {}).items()):
+        kind, value = entry["type"], entry["value"]
+        if kind in "ZH":
+            yield key.encode(), kind.encode(), value.encode("latin1") + b"\0"
+        elif kind == "A":
+            yield key.encode(), b"A", value.encode("latin1")[:1]
+        elif kind == "B":
+            sub, *numbers = value.split(",")
+            yield key.encode(), b"B", sub.encode() + struct.pack(f"<i{len(numbers)}{_FORMATS[sub]}", len(numbers), *(float(x) if sub == "f" else int(x) for x in numbers))
+        elif kind in "fd":
+            yield key.encode(), b"f", struct.pack("<f", float(value))
+        elif int(value) < 1 << 31:
+            yield key.encode(), b"i", struct.pack("<i", int(value))
+        else:
+            yield key.encode(), b"I", struct.pack("<I", int(value))
+
+
 def encode_record(row: dict, refids: dict[str, int]) -> bytes:
     """A row of ``SCHEMA`` as a binary record, size field included."""
     name = (row["qname"] or "*").encode()[:254] + b"\0"
@@ -146,21 +165,7 @@ def encode_record(row: dict, refids: dict[str, int]) -> bytes:
     qual = b"\xff" * len(seq) if row["qual"] in (None, "*") else bytes(ord(c) - 33 for c in row["qual"])
     length = sum(o >> 4 for o in ops if OPERATIONS[o & 15] in "MDN=X")
     pos = row["pos"] if row["pos"] is not None else -1
-    tags = b""
-    for key, entry in sorted((row["tags"] or {}).items()):
-        kind, value = entry["type"], entry["value"]
-        tags += key.encode()
-        if kind in "ZH":
-            tags += kind.encode() + value.encode("latin1") + b"\0"
-        elif kind == "A":
-            tags += b"A" + value.encode("latin1")[:1]
-        elif kind == "B":
-            sub, *numbers = value.split(",")
-            tags += b"B" + sub.encode() + struct.pack(f"<i{len(numbers)}{_FORMATS[sub]}", len(numbers), *(float(x) if sub == "f" else int(x) for x in numbers))
-        elif kind in "fd":
-            tags += b"f" + struct.pack("<f", float(value))
-        else:
-            tags += b"i" + struct.pack("<i", int(value)) if int(value) < 1 << 31 else b"I" + struct.pack("<I", int(value))
+    tags = b"".join(key + kind + value for key, kind, value in tag_values(row["tags"]))
     core = struct.pack(
         "<iiBBHHHiiii", refids.get(row["rname"], -1), pos, len(name), row["mapq"] or 0, _bin(max(pos, 0), max(pos, 0) + max(length, 1)), len(ops), row["flag"] or 0, len(seq), refids.get(row["rnext"], -1),
         row["mate_pos"] if row["mate_pos"] is not None else -1, row["tlen"] or 0,

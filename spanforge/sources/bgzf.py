@@ -432,8 +432,8 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """Writes a part per task under a name of its own and gives it its final name when all have ended."""
 
-    def __init__(self, path: str, level: int) -> None:
-        self.path, self.level, self.job = path.rstrip("/"), level, uuid.uuid4().hex
+    def __init__(self, path: str, level: int, blocked: bool = True) -> None:
+        self.path, self.level, self.blocked, self.job = path.rstrip("/"), level, blocked, uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -448,6 +448,9 @@ class _Writer(DataSourceWriter):
             for row in iterator:
                 value = row[0]
                 data = bytes(value) if isinstance(value, (bytes, bytearray)) else str(value).encode() + b"\n"
+                if not self.blocked:
+                    f.write(data)
+                    continue
                 waiting.append(data)
                 size += len(data)
                 if size >= 16 * PAYLOAD:
@@ -455,8 +458,9 @@ class _Writer(DataSourceWriter):
                     keep = len(whole) % PAYLOAD
                     f.write(compress(whole[: len(whole) - keep], self.level, end=False))
                     waiting, size = [whole[len(whole) - keep :]], keep
-            f.write(compress(b"".join(waiting), self.level))
-        return _Written(held, f"{inner}/part-{part:05d}.gz")
+            if self.blocked:
+                f.write(compress(b"".join(waiting), self.level))
+        return _Written(held, f"{inner}/part-{part:05d}{'.gz' if self.blocked else ''}")
 
     def _system(self) -> fs.FileSystem:
         return fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)[0]
@@ -486,7 +490,7 @@ class BlockedSink(DataSource):
         return "value string"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], int(self.options.get("level", 6)))
+        return _Writer(self.options["path"], int(self.options.get("level", 6)), self.options.get("blocked", "true") == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -636,10 +640,10 @@ def blocks_by_index(spark: SparkSession, path: str, index: DataFrame) -> DataFra
     return edges.repartitionByRange("uoffset").select("uoffset", packed("uoffset", "_end").alias("block"))
 
 
-def write(df: DataFrame, path: str, level: int = 6) -> None:
-    """Write the first column, lines or bytes, as blocked files."""
+def write(df: DataFrame, path: str, level: int = 6, blocked: bool = True) -> None:
+    """Write the first column, lines or bytes, as blocked files, or as it is."""
     register(df.sparkSession)
-    df.write.format("bgzf").option("level", level).mode("append").save(path)
+    df.write.format("bgzf").option("level", level).option("blocked", blocked).mode("append").save(path)
 
 
 def section(path: str, beg: int, end: int, index: DataFrame | None = None) -> bytes:
