@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 from collections.abc import Iterator
@@ -105,8 +106,9 @@ def _tags(data: bytes, at: int, end: int) -> dict[str, tuple[str, str]]:
     return out
 
 
-def decode_record(data: bytes, at: int, contigs: list[tuple[str, int]]) -> tuple:
-    """One record (the size field excluded at ``at``) as a row of ``SCHEMA`` without offsets."""
+def decode_record(data: bytes, at: int, contigs: list[tuple[str, int]], wanted: set[str] | None = None) -> tuple:
+    """One record (its size field at ``at``) as a row of ``SCHEMA`` without offsets; bases, qualities and
+    tags are None unless wanted."""
     size = struct.unpack_from("<i", data, at)[0]
     end, at = at + 4 + size, at + 4
     refid, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at)
@@ -115,12 +117,15 @@ def decode_record(data: bytes, at: int, contigs: list[tuple[str, int]]) -> tuple
     ops = struct.unpack_from(f"<{n_ops}I", data, at)
     at += 4 * n_ops
     packed, at = data[at : at + (l_seq + 1) // 2], at + (l_seq + 1) // 2
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+    seq = ("".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or "*") if wanted is None or "seq" in wanted else None
     raw, at = data[at : at + l_seq], at + l_seq
-    qual = "*" if not l_seq or raw[0] == 255 else bytes(q + 33 for q in raw).decode("latin1")
+    qual = None
+    if wanted is None or "qual" in wanted:
+        qual = "*" if not l_seq or raw[0] == 255 else bytes(q + 33 for q in raw).decode("latin1")
+    tags = _tags(data, at, end) if wanted is None or "tags" in wanted else None
     contig = lambda k: contigs[k][0] if k >= 0 else "*"
     cigar = "".join(f"{o >> 4}{OPERATIONS[o & 15]}" for o in ops) or "*"
-    return name, flag, refid, contig(refid), pos, mapq, cigar, mate, contig(mate), mate_pos, tlen, seq or "*", qual, _tags(data, at, end)
+    return name, flag, refid, contig(refid), pos, mapq, cigar, mate, contig(mate), mate_pos, tlen, seq, qual, tags
 
 
 def _bin(beg: int, end: int) -> int:
@@ -194,10 +199,13 @@ def _record_size(data: bytes, at: int) -> int | None:
     return 4 + struct.unpack_from("<i", data, at)[0] if at + 4 <= len(data) else None
 
 
-def _bam_rows(p) -> Iterator[tuple]:
+def _bam_rows(p, wanted: list[str]) -> Iterator[tuple]:
     _, contigs, first = _read_header(p.path)
-    for data, at, coffset, uoffset in bgzf.records_between(p.path, p.beg, p.end, first, _record_size, lambda d, k, whole: _plausible(d, k, len(contigs), whole)):
-        yield *decode_record(data, at, contigs), coffset, uoffset
+    plausible = lambda d, k, whole: _plausible(d, k, len(contigs), whole)
+    found = bgzf.records_between(p.path, p.beg, p.end, first, _record_size, plausible)
+    columns = set(wanted)
+    rows = ((*decode_record(data, at, contigs, columns), coffset, uoffset) for data, at, coffset, uoffset in found)
+    return bgzf.picked(rows, list(bgzf.columns_of(SCHEMA)), wanted)
 
 
 class BamSource(DataSource):
@@ -211,13 +219,18 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return bgzf._Reader(self.options, _bam_rows)
+        return bgzf._Reader(self.options, functools.partial(_bam_rows, wanted=schema.names))
 
 
-def read_bam(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataFrame:
-    """Alignments of a binary file, with a parsed CIGAR."""
+def read_bam(spark: SparkSession, path: str, split: int = bgzf.SPLIT, columns: list[str] | None = None) -> DataFrame:
+    """Alignments of a binary file, with a parsed CIGAR; only the named columns of ``SCHEMA`` are decoded."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("split", split).load(path).withColumn("cigar", parse_cigar(F.col("cigar_text")))
+    return with_cigar(spark.read.format("bam").schema(bgzf.narrowed(SCHEMA, columns)).option("split", split).load(path))
+
+
+def with_cigar(rows: DataFrame) -> DataFrame:
+    """With a parsed CIGAR if its text was read."""
+    return rows.withColumn("cigar", parse_cigar(F.col("cigar_text"))) if "cigar_text" in rows.columns else rows
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:

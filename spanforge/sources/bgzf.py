@@ -119,6 +119,26 @@ def find_block(data: bytes, at: int = 0, whole_file: bool = False) -> int | None
         at += 1
 
 
+def find_block_before(data: bytes, at: int | None = None, whole_file: bool = False) -> int | None:
+    """The offset of the last true block header in front of ``at`` (by default the data's end), refused and
+    taken as by ``find_block``."""
+    stop = len(data) if at is None else at
+    while (found := data.rfind(MAGIC, 0, stop + len(MAGIC) - 1)) >= 0:
+        if find_block(data, found, whole_file) == found:
+            return found
+        stop = found
+    return None
+
+
+def split_block(block: bytes, at: int, level: int = 6) -> tuple[bytes, bytes]:
+    """Two blocks of what a block holds in front of and behind ``at`` of its inflated bytes; a side
+    without bytes is empty."""
+    data = inflate(block)
+    if not 0 <= at <= len(data):
+        raise BlockError(f"a block of {len(data)} bytes has no place {at}")
+    return tuple(deflate(part, level) if part else b"" for part in (data[:at], data[at:]))
+
+
 def open_file(path: str) -> tuple[fs.FileSystem, str, int]:
     """(file system, path in it, size)."""
     if "://" in path or path.startswith("file:"):
@@ -302,6 +322,35 @@ def lines_between(path: str, beg: int, end: int, blocked: bool) -> Iterator[tupl
         yield place[0], place[1], owned, rest.decode("utf-8", "replace")
 
 
+def columns_of(ddl: str) -> dict[str, str]:
+    """The columns of a schema's text by name: read without a session, which tasks have none of."""
+    parts, depth, at = [], 0, 0
+    for k, c in enumerate(ddl):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            parts.append(ddl[at:k])
+            at = k + 1
+    return {p.split()[0]: p.strip() for p in (*parts, ddl[at:])}
+
+
+def narrowed(ddl: str, columns: list[str] | None) -> str:
+    """A source's schema, or those of its columns that are named, in the source's order. The source decodes
+    no others: Spark tells Python sources nothing of the columns that a query uses."""
+    whole = columns_of(ddl)
+    unknown = set(columns or ()) - set(whole)
+    if unknown:
+        raise ValueError(f"no columns {sorted(unknown)}")
+    return ", ".join(part for name, part in whole.items() if columns is None or name in columns)
+
+
+def picked(rows: Iterator[tuple], names: list[str], wanted: list[str]) -> Iterator[tuple]:
+    """The wanted values of rows of all values."""
+    if list(names) == list(wanted):
+        return rows
+    places = [names.index(w) for w in wanted]
+    return (tuple(r[k] for k in places) for r in rows)
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, beg: int, end: int, blocked: bool) -> None:
         self.path, self.beg, self.end, self.blocked = path, beg, end, blocked

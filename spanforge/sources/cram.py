@@ -26,11 +26,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
-from spanforge.functions.sequence import parse_cigar
 from spanforge.sources import alignments, bgzf
 from spanforge.sources.codecs import Bits, Bytes, itf8, ltf8, rans
 
@@ -438,7 +436,12 @@ def decode(head: Container, raw: bytes, contigs: list[tuple[str, int]], groups:
         yield from _Slice(Bytes(raw, landmark), form, contigs, groups, reference).records()
 
 
-def _rows(p, reference: Reference) -> Iterator[tuple]:
+def _rows(p, reference: Reference, wanted: list[str] | None = None) -> Iterator[tuple]:
+    names = list(bgzf.columns_of(alignments.SCHEMA))
+    return bgzf.picked(_whole_rows(p, reference), names, wanted or names)
+
+
+def _whole_rows(p, reference: Reference) -> Iterator[tuple]:
     text = file_header(p.path)
     contigs, groups = contigs_of(text), read_groups(text)
     name = lambda k: contigs[k][0] if k >= 0 else "*"
@@ -459,15 +462,15 @@ class CramSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         path = self.options.get("reference")
-        return bgzf._Reader(self.options, lambda p: _rows(p, Reference(path)))
+        return bgzf._Reader(self.options, lambda p: _rows(p, Reference(path), schema.names))
 
 
-def read_cram(spark: SparkSession, path: str, reference: str | None = None, split: int = bgzf.SPLIT) -> DataFrame:
-    """Alignments of a file of containers, with a parsed CIGAR."""
+def read_cram(spark: SparkSession, path: str, reference: str | None = None, split: int = bgzf.SPLIT, columns: list[str] | None = None) -> DataFrame:
+    """Alignments of a file of containers, with a parsed CIGAR; only the named columns leave the tasks."""
     spark.dataSource.register(CramSource)
-    reader = spark.read.format("cram").option("split", split)
+    reader = spark.read.format("cram").schema(bgzf.narrowed(alignments.SCHEMA, columns)).option("split", split)
     reader = reader.option("reference", reference) if reference else reader
-    return reader.load(path).withColumn("cigar", parse_cigar(F.col("cigar_text")))
+    return alignments.with_cigar(reader.load(path))
 
 
 # --- writing ------------------------------------------------------------------------------------
@@ -505,14 +508,25 @@ def _sized(own: int) -> bytes:
     return b"\x04" + itf8(len(body)) + body
 
 
+def int_encoding(values: list[int], content: int) -> tuple[bytes, bytes | None]:
+    """(encoding, external data) of a series of numbers: one value throughout is a word of no bits and
+    takes no data, all else goes to a stream of its own, which is deflated."""
+    if len(set(values)) == 1:
+        body = itf8(1) + itf8(values[0]) + itf8(1) + itf8(0)
+        return b"\x03" + itf8(len(body)) + body, None
+    where = itf8(content)
+    return b"\x01" + itf8(len(where)) + where, b"".join(map(itf8, values))
+
+
 def encode(rows: list[dict], refids: dict[str, int], counter: int) -> bytes:
     """A container of rows of the schema of binary alignments."""
     out: dict[int, bytearray] = {}
     lists: dict[bytes, int] = {}
     tags: dict[bytes, int] = {}
+    ints: dict[str, list[int]] = {name: [] for name in _INTS}
 
     def put(name: str, value: int) -> None:
-        out.setdefault(_IDS[name], bytearray()).extend(itf8(value))
+        ints[name].append(value)
 
     def put_array(own: int, value: bytes) -> None:
         out.setdefault(own + _SIZES, bytearray()).extend(itf8(len(value)))
@@ -571,7 +585,12 @@ def encode(rows: list[dict], refids: dict[str, int], counter: int) -> bytes:
             out.setdefault(_IDS["QS"], bytearray()).extend(ord(c) - 33 for c in qual)
     listed = b"".join(line + b"\0" for line in lists)
     kept = b"RN\x01AP\x00RR\x00SM" + b"\x1b" * 5 + b"TD" + itf8(len(listed)) + listed
-    series = b"".join(name.encode() + b"\x01\x01" + itf8(_IDS[name]) for name in (*_INTS, "FC", "BA", "QS"))
+    series = b"".join(name.encode() + b"\x01\x01" + itf8(_IDS[name]) for name in ("FC", "BA", "QS"))
+    for name, values in ints.items():
+        encoding, data = int_encoding(values, _IDS[name])
+        series += name.encode() + encoding
+        if data:
+            out[_IDS[name]] = bytearray(data)
     series += b"RN\x05\x02\x00" + itf8(_IDS["RN"]) + b"".join(name.encode() + _sized(_IDS[name]) for name in ("SC", "IN", "BB"))
     tagged = b"".join(itf8(int.from_bytes(t, "big")) + _sized(own) for t, own in tags.items())
     form = b"".join(itf8(len(itf8(n) + m)) + itf8(n) + m for n, m in ((5, kept), (len(_INTS) + 7, series), (len(tags), tagged)))

@@ -113,6 +113,8 @@ def test_round_trip_in_any_split(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, back.select(*COLS).collect())) == want
     tags = {r["qname"]: r["tags"] for r in back.select("qname", "tags").collect()}
     assert tags["read1"]["XB"]["value"] == "s,1,-2" and tags["read1"]["RG"]["value"] == "g1" and not tags["read0"]
+    few = cram.read_cram(spark, folder + ".cram", columns=["pos", "qname"])
+    assert few.columns == ["qname", "pos"] and sorted(map(tuple, few.collect())) == sorted((w[0], w[3]) for w in want)
     empty = str(tmp_path / "none")
     cram.write_cram(df.limit(0), empty, HEADER)
     bgzf.join_parts(empty, empty + ".cram")
@@ -199,6 +201,15 @@ def test_container_by_hand(tmp_path):
         list(cram._rows(p, cram.Reference(fasta)))
 
 
+def test_encoding_by_values():
+    encoding, data = cram.int_encoding([-7] * 5, 9)
+    read = cram._reader((encoding[0], encoding[2:]), "int", Bits(b""), {})
+    assert data is None and [read(), read()] == [-7, -7]
+    encoding, data = cram.int_encoding([1, 300, -1], 9)
+    read = cram._reader((encoding[0], encoding[2:]), "int", Bits(b""), {9: Bytes(data)})
+    assert [read() for _ in range(3)] == [1, 300, -1] and cram.int_encoding([], 9)[1] == b""
+
+
 def test_encodings_of_bits():
     golomb = cram._reader((8, itf8(0) + itf8(2)), "int", Bits(_bits((0b110, 3), (0b01, 2), (0b0, 1), (0b11, 2))), {})
     assert [golomb(), golomb()] == [9, 3]

@@ -35,6 +35,23 @@ def test_codec_and_find():
     assert bgzf.decompress(bgzf.compress(b"")) == b""
 
 
+def test_find_backwards_and_split():
+    data = os.urandom(200_000)
+    blocked = bgzf.compress(data)
+    offsets = [o for o, _ in bgzf.blocks_of(blocked)]
+    for at in (*offsets, *(o + 1 for o in offsets), *(o + 700 for o in offsets[:-1])):
+        assert bgzf.find_block_before(blocked, at, True) == max((o for o in offsets if o < at), default=None)
+    assert bgzf.find_block_before(blocked, whole_file=True) == offsets[-1] and bgzf.find_block_before(b"", whole_file=True) is None
+    outer = bgzf.compress(bgzf.deflate(b"inner" * 10) * 3, level=0, end=False)
+    assert bgzf.find_block_before(outer, whole_file=True) == 0
+    block = bgzf.deflate(b"some text of a block")
+    for at in (0, 4, 20):
+        head, tail = bgzf.split_block(block, at)
+        assert bgzf.decompress(head + tail) == b"some text of a block" and (bgzf.inflate(head) if head else b"") == b"some text of a block"[:at]
+    with pytest.raises(bgzf.BlockError, match="no place"):
+        bgzf.split_block(block, 21)
+
+
 @pytest.mark.parametrize("blocked", [True, False])
 def test_lines_in_any_split(spark, tmp_path, lines, blocked):
     text = "\n".join(lines).encode() + b"\n"
@@ -115,6 +132,10 @@ def test_bam_round_trip(spark, tmp_path):
     for split in (1 << 30, 9000, 2500):
         got = alignments.read_bam(spark, one, split)
         assert key(got) == want, split
+    few = alignments.read_bam(spark, one, 9000, columns=["pos", "qual"])
+    assert few.columns == ["pos", "qual"] and sorted(map(tuple, few.collect())) == sorted((w[3], w[10]) for w in want)
+    with pytest.raises(ValueError, match="nothing"):
+        alignments.read_bam(spark, one, columns=["nothing"])
     tags = {r["qname"]: r["tags"] for r in got.select("qname", "tags").collect()}
     assert tags["read7"]["NM"]["value"] == "7" and tags["read7"]["XB"]["value"] == "s,1,-2" and tags["read7"]["XF"]["value"] == "1.5"
     assert [tuple(r) for r in alignments.bam_contigs(spark, one).orderBy("refid").collect()] == [(0, "chr1", 100000), (1, "chr2", 90000)]
@@ -301,6 +322,8 @@ def test_bcf_round_trip_of_odd_values(spark, tmp_path):
     back = bcf.read_bcf(spark, str(tmp_path / "a.bcf"))
     lines = lambda df: sorted(r[0] for r in textfiles.vcf_text(df).collect())
     assert lines(back) == lines(rows) == sorted(body)
+    few = bcf.read_bcf(spark, str(tmp_path / "a.bcf"), columns=["pos", "ref"])
+    assert few.columns == ["pos", "ref"] and sorted(map(tuple, few.collect())) == sorted(map(tuple, back.select("pos", "ref").collect()))
     with pytest.raises(Exception, match="KeyError"):
         bcf.write_bcf(rows.withColumn("contig", F.lit("nowhere")), str(tmp_path / "no"), header)
 
