@@ -209,6 +209,20 @@ def cram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(cram.read_cram(spark, folder + ".cram", split=1 << 18))
 
 
+@query(
+    """SELECT rg, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos FROM (SELECT l_returnflag AS rg, l_suppkey % 5 AS c, l_partkey * 3 AS pos, CASE l_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 13 END AS rlen FROM lineitem) x
+WHERE c = 2 AND pos < 900 AND pos + rlen > 300 GROUP BY 1"""
+)
+def cram_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of one region, from the containers that an index names."""
+    folder = new_path(spark, "cram")
+    cram.write_cram(_reads(spark, sf_dir).repartitionByRange(8, "rname", "pos").sortWithinPartitions("rname", "pos"), folder, _SAM_HEADER)
+    bgzf.join_parts(folder, folder + ".cram")
+    index = cram.container_index(cram.read_cram(spark, folder + ".cram", split=1 << 18, columns=["flag", "refid", "pos", "cigar_text", "coffset"]))
+    found = cram.query_cram(spark, folder + ".cram", index, 2, 300, 900)
+    return found.groupBy(sequence.tag_value(F.col("tags"), "RG").alias("rg")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+
+
 @query(
     """SELECT l_returnflag AS rg, count(*) AS n FROM (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 13 END AS rlen FROM lineitem) x
 WHERE l_linenumber % 2 = 1 AND rlen <= 10 AND l_orderkey % 60 > 20 AND (l_linenumber >= 3 OR l_returnflag = 'R') AND 'c' || l_suppkey % 5 = 'c1' AND l_partkey * 3 + rlen < 3000 AND l_partkey * 3 + 1 > 30 AND l_orderkey % 4 <> 3 GROUP BY 1"""

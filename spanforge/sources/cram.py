@@ -26,9 +26,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
+from spanforge.functions.sequence import end_position
 from spanforge.sources import alignments, bgzf
 from spanforge.sources.codecs import Bits, Bytes, itf8, ltf8, rans
 
@@ -450,6 +452,19 @@ def _whole_rows(p, reference: Reference) -> Iterator[tuple]:
             yield r["name"], r["flag"], r["refid"], name(r["refid"]), r["pos"], r["mapq"], r["cigar"], r["mate_refid"], name(r["mate_refid"]), r["mate_pos"], r["tlen"], r["seq"], r["qual"], r["tags"], at, k
 
 
+class _Reader(bgzf._Reader):
+    """Ranges of files, or those containers of one file whose offsets the option ``containers`` names."""
+
+    def __init__(self, options: dict, rows) -> None:
+        super().__init__(options, rows)
+        self.places = [int(k) for k in options["containers"].split(",") if k] if "containers" in options else None
+
+    def partitions(self) -> list[bgzf._Range]:
+        if self.places is None:
+            return super().partitions()
+        return [bgzf._Range(self.paths[0], at, at + 1, False) for at in self.places] or [bgzf._Range(self.paths[0], 0, 0, False)]
+
+
 class CramSource(DataSource):
     """``spark.read.format("cram").option("reference", fasta).load(path)``."""
 
@@ -462,17 +477,36 @@ class CramSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         path = self.options.get("reference")
-        return bgzf._Reader(self.options, lambda p: _rows(p, Reference(path), schema.names))
+        return _Reader(self.options, lambda p: _rows(p, Reference(path), schema.names))
 
 
 def read_cram(spark: SparkSession, path: str, reference: str | None = None, split: int = bgzf.SPLIT, columns: list[str] | None = None) -> DataFrame:
     """Alignments of a file of containers, with a parsed CIGAR; only the named columns leave the tasks."""
+    return _loaded(spark, path, reference, split, columns)
+
+
+def _loaded(spark: SparkSession, path: str, reference: str | None, split: int, columns: list[str] | None, **options: str) -> DataFrame:
     spark.dataSource.register(CramSource)
-    reader = spark.read.format("cram").schema(bgzf.narrowed(alignments.SCHEMA, columns)).option("split", split)
+    reader = spark.read.format("cram").schema(bgzf.narrowed(alignments.SCHEMA, columns)).option("split", split).options(**options)
     reader = reader.option("reference", reference) if reference else reader
     return alignments.with_cigar(reader.load(path))
 
 
+def container_index(rows: DataFrame) -> DataFrame:
+    """(refid, beg, end, container) of a file's containers and their mapped reads, from what ``read_cram`` gives."""
+    placed = rows.where("refid >= 0 AND pos >= 0")
+    return placed.groupBy("refid", F.col("coffset").alias("container")).agg(F.min("pos").alias("beg"), F.max(end_position(F.col("pos"), F.col("cigar"), F.col("flag"))).alias("end")).select("refid", "beg", "end", "container")
+
+
+def query_cram(spark: SparkSession, path: str, index: DataFrame, refid: int, beg: int, end: int, reference: str | None = None) -> DataFrame:
+    """Alignments that overlap a region; only the containers that an index names are read. index: the columns
+    of ``container_index``, which ``read_slice_index`` gives as well."""
+    near = index.where((F.col("refid") == refid) & (F.col("beg") < end) & (F.col("end") > beg))
+    places = [r[0] for r in near.select("container").distinct().orderBy("container").collect()]  # of one region: few
+    rows = _loaded(spark, path, reference, bgzf.SPLIT, None, containers=",".join(map(str, places)))
+    return rows.where((F.col("refid") == refid) & (F.col("pos") < end) & (end_position(F.col("pos"), F.col("cigar"), F.col("flag")) > beg))
+
+
 # --- writing ------------------------------------------------------------------------------------
 
 _INTS = ("BF", "CF", "RI", "RL", "AP", "RG", "MF", "NS", "NP", "TS", "TL", "FN", "FP", "DL", "RS", "PD", "HC", "MQ")

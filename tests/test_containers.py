@@ -115,6 +115,16 @@ def test_round_trip_in_any_split(spark, tmp_path, monkeypatch):
     assert tags["read1"]["XB"]["value"] == "s,1,-2" and tags["read1"]["RG"]["value"] == "g1" and not tags["read0"]
     few = cram.read_cram(spark, folder + ".cram", columns=["pos", "qname"])
     assert few.columns == ["qname", "pos"] and sorted(map(tuple, few.collect())) == sorted((w[0], w[3]) for w in want)
+    ordered = str(tmp_path / "ordered")
+    cram.write_cram(df.orderBy("rname", "pos").coalesce(1), ordered, HEADER)
+    bgzf.join_parts(ordered, ordered + ".cram")
+    index = cram.container_index(cram.read_cram(spark, ordered + ".cram"))
+    assert index.count() > 9
+    for refid, beg, end in ((0, 100, 160), (1, 0, 1), (1, 690, 5000), (0, 4000, 4001)):
+        found = cram.query_cram(spark, ordered + ".cram", index, refid, beg, end)
+        span = {"20M": 20, "3S17M": 17, "5M2I13M": 18, "10M4D10M": 24, "2H6M100N4M1P10M": 120}
+        near = [w for w in want if w[2] == CONTIGS[refid][0] and w[3] < end and w[3] + span[w[5]] > beg]
+        assert sorted(map(tuple, found.select(*COLS).collect())) == near
     empty = str(tmp_path / "none")
     cram.write_cram(df.limit(0), empty, HEADER)
     bgzf.join_parts(empty, empty + ".cram")
