@@ -88,7 +88,8 @@ def query_chunks(linear: DataFrame, chunks: DataFrame, contig, beg: int, end: in
     """File ranges that can hold records of a region: the chunks of its bins, cut by the linear index
     and joined where they touch. Columns chunk_beg, chunk_end."""
     low = linear.where((F.col("contig") == contig) & (F.col("win") >= beg >> scheme.min_shift)).agg(F.min_by("voff", "win").alias("_low"))
-    wanted = chunks.where((F.col("contig") == contig) & F.array_contains(scheme.reg2bins(F.lit(beg), F.lit(end)), F.col("bin")))
+    # the root holds what crosses a border of the widest bins, behind the scheme's reach as well
+    wanted = chunks.where((F.col("contig") == contig) & ((F.col("bin") == 0) | F.array_contains(scheme.reg2bins(F.lit(beg), F.lit(end)), F.col("bin"))))
     cut = wanted.crossJoin(F.broadcast(low)).where(F.col("chunk_end") > F.col("_low"))  # one row; null if no record lies that far
     cut = cut.select(F.lit(contig).alias("contig"), F.lit(0).alias("bin"), F.greatest("chunk_beg", "_low").alias("chunk_beg"), "chunk_end")
     return merge_chunks(cut).select("chunk_beg", "chunk_end").orderBy("chunk_beg")

@@ -11,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.bins import STANDARD, Scheme, overlaps
+from spanforge.functions.bins import Scheme, overlaps
 from spanforge.operators.stretches import before, united
 from spanforge.shared import materialise
 
+# As far as regions without an end go (2^35), so that long contigs do not crowd into the last leaf.
+FAR = Scheme(14, 7)
 
-def with_bin(records: DataFrame, beg: str = "beg", end: str = "end", scheme: Scheme = STANDARD) -> DataFrame:
-    """Records with column ``bin``."""
-    return records.withColumn("bin", scheme.reg2bin(F.col(beg), F.col(end)))
 
+def with_bin(records: DataFrame, beg: str = "beg", end: str = "end", scheme: Scheme = FAR) -> DataFrame:
+    """Records with column ``bin``; what lies behind the scheme's reach is in its last leaf."""
+    return records.withColumn("bin", scheme.reg2bin(*scheme.within(F.col(beg), F.col(end))))
 
-def exploded(regions: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
+
+def exploded(regions: DataFrame, scheme: Scheme = FAR) -> DataFrame:
     """Regions (contig, beg, end, ...) as one row per bin, in columns _contig, _beg, _end, _bin."""
     rest = [c for c in regions.columns if c not in ("contig", "beg", "end")]
     return regions.where("contig IS NOT NULL AND beg IS NOT NULL AND end IS NOT NULL AND end > beg").select(
-        F.col("contig").alias("_contig"), F.col("beg").alias("_beg"), F.col("end").alias("_end"), *rest, F.explode(scheme.reg2bins(F.col("beg"), F.col("end"))).alias("_bin")
+        F.col("contig").alias("_contig"), F.col("beg").alias("_beg"), F.col("end").alias("_end"), *rest, F.explode(scheme.reg2bins(*scheme.within(F.col("beg"), F.col("end")))).alias("_bin")
     )
 
 
@@ -35,23 +38,23 @@ def _meets(inclusive: bool) -> Column:
     return (F.col("contig") == F.col("_contig")) & (F.col("bin") == F.col("_bin")) & near
 
 
-def interval_join(records: DataFrame, regions: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
+def interval_join(records: DataFrame, regions: DataFrame, scheme: Scheme = FAR) -> DataFrame:
     """Every pair of a record (contig, beg, end, ...) and a region (contig, beg, end, payload...) that
     overlap. The region's own interval is in _beg and _end."""
     return with_bin(records, scheme=scheme).join(exploded(regions, scheme), _meets(False)).drop("bin", "_bin", "_contig")
 
 
-def interval_semi(records: DataFrame, regions: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
+def interval_semi(records: DataFrame, regions: DataFrame, scheme: Scheme = FAR) -> DataFrame:
     """Records that overlap any region, each once."""
     return with_bin(records, scheme=scheme).join(exploded(regions.select("contig", "beg", "end"), scheme), _meets(False), "left_semi").drop("bin")
 
 
-def interval_anti(records: DataFrame, regions: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
+def interval_anti(records: DataFrame, regions: DataFrame, scheme: Scheme = FAR) -> DataFrame:
     """Records that overlap no region."""
     return with_bin(records, scheme=scheme).join(exploded(regions.select("contig", "beg", "end"), scheme), _meets(False), "left_anti").drop("bin")
 
 
-def missed_regions(regions: DataFrame, records: DataFrame, scheme: Scheme = STANDARD) -> DataFrame:
+def missed_regions(regions: DataFrame, records: DataFrame, scheme: Scheme = FAR) -> DataFrame:
     """Regions that no record overlaps."""
     return interval_anti(regions, records, scheme)
 

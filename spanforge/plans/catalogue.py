@@ -48,7 +48,7 @@ def _bin_sql(beg: str, end: str) -> str:
 @query(f"{REC} SELECT CAST({_bin_sql('beg', '"end"')} AS INTEGER) AS bin, count(*) AS n FROM rec GROUP BY 1")
 def reg2bin_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records each bin holds."""
-    return intervals.with_bin(genome.records(spark, sf_dir)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return genome.records(spark, sf_dir).select(STANDARD.reg2bin(F.col("beg"), F.col("end")).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -74,7 +74,7 @@ SELECT CAST(b AS INTEGER) AS bin, CAST(k AS INTEGER) AS level, CAST(CASE WHEN b
 def bin_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bin in use with its place in the tree."""
     b = F.col("bin")
-    rows = intervals.with_bin(genome.regions(spark, sf_dir)).select("bin").distinct()
+    rows = genome.regions(spark, sf_dir).select(STANDARD.reg2bin(F.col("beg"), F.col("end")).alias("bin")).distinct()
     return rows.select(
         "bin", STANDARD.level(b).alias("level"), F.coalesce(STANDARD.parent(b), F.lit(-1)).alias("parent"), STANDARD.bin2beg(b).alias("beg"), STANDARD.bin2end(b).alias("bin_end"),
         F.size(STANDARD.children(b)).alias("n_children"), F.size(STANDARD.parents(b)).alias("n_parents"), F.size(STANDARD.bin2lins(b)).alias("n_windows"),
@@ -101,7 +101,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reg2bin_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As reg2bin_assign, in a scheme of six levels over leaves of 4096."""
-    return intervals.with_bin(genome.records(spark, sf_dir), scheme=Scheme(12, 6)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return genome.records(spark, sf_dir).select(Scheme(12, 6).reg2bin(F.col("beg"), F.col("end")).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- interval joins and sets --------------------------------------------------------------------
