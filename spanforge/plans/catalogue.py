@@ -538,7 +538,7 @@ _CODES = "list_transform(string_split(text, ''), lambda c: ord(c))"
 @query(f"WITH c AS (SELECT lang, length(text) AS n, {_CODES} AS a FROM documents) SELECT lang, count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, CAST(min(list_min(a)) AS INTEGER) AS q_min, CAST(max(list_max(a)) AS INTEGER) AS q_max, CAST(sum(list_sum(a)) AS BIGINT) AS q_sum, CAST(sum(list_sum(a)) // sum(n) AS BIGINT) AS q_mean FROM c GROUP BY 1")
 def qual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character statistics of strings."""
-    return quality.quality_stats(table(spark, sf_dir, "documents"), "text", ["lang"])
+    return quality.quality_stats(table(spark, sf_dir, "documents"), "text", ["lang"], every=True)
 
 
 @query("WITH x AS (SELECT p_partkey, CAST(p_size + 20 AS BIGINT) AS lo, CAST(p_size + 20 + p_partkey % 60 AS BIGINT) AS hi FROM part) SELECT p_partkey, CAST(CASE WHEN lo >= 33 AND hi <= 78 THEN 0 WHEN lo >= 64 AND hi <= 109 THEN 1 WHEN lo >= 59 AND hi <= 109 THEN 2 WHEN abs((lo + hi) / 2 - 104) < abs((lo + hi) / 2 - 73) THEN 1 ELSE 0 END AS INTEGER) AS encoding FROM x")
