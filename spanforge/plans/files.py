@@ -150,11 +150,14 @@ def fastq_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS k, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS length FROM documents")
 def fasta_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of sixty letters a line written as a blocked FASTA file and read back in ranges."""
-    letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    text = F.concat(F.lit(">s"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit("\n"), F.regexp_replace(letters, "(.{60})(?=.)", "$1\n"))
+    """Sequences of sixty letters a line written as a blocked FASTA file and read back in ranges. The comment
+    begins with a sign that tells a null text from an empty one."""
+    letters = F.coalesce(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit(""))
+    name, lang = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.regexp_replace("lang", r"\s", " "), F.lit(""))
+    text = F.concat(F.lit(">s"), name, F.when(F.col("text").isNull(), " - ").otherwise(" + "), lang, F.lit("\n"), F.regexp_replace(letters, "(.{60})(?=.)", "$1\n"))
     rows = textfiles.read_fasta(spark, _file(table(spark, sf_dir, "documents").select(text), "fasta"), SPLIT)
-    return rows.select(F.substr("name", F.lit(2)).cast("long").alias("k"), "seq", "length")
+    there = F.col("comment").startswith("+")
+    return rows.select(F.substr("name", F.lit(2)).try_cast("long").alias("k"), F.when(there, F.col("seq")).alias("seq"), F.when(there, F.col("length")).alias("length"))
 
 
 # --- alignments ---------------------------------------------------------------------------------
