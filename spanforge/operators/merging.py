@@ -7,6 +7,7 @@ group is the records of one position in all files.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 from itertools import groupby
 
@@ -90,24 +91,44 @@ def paired(position: Iterable[tuple[str, str, str, int]], mode: int) -> list[lis
         classes.add(1 if kind in (1, 2) else kind if kind in (0, 4, 8) else 0)
         alleles |= set(alts.upper().split(","))
         members.append((source, key))
-    left = list(sets.values())
-    out = []
-    while left:
-        left.sort(key=lambda s: -len(s[2]))
-        now = left[0]
-        best, at = (0, 0), 0
-        for k, other in enumerate(left[1:], 1):
-            if {s for s, _ in now[2]} & {s for s, _ in other[2]}:
-                continue
-            shared = mode & SOME and now[1] & other[1] and now[0] == other[0]
-            score = 4 if shared else min(pair_score(a, b, mode) for a in now[0] for b in other[0])
-            if score and (score, len(other[2])) > best:
-                best, at = (score, len(other[2])), k
-        if at:
-            other = left.pop(at)
-            left[0] = (now[0] | other[0], now[1] | other[1], now[2] + other[2])
-        else:
-            out.append(sorted(left.pop(0)[2]))
+    # sets present in most sources first; only the one at hand changes, so the others keep this order
+    names = {source: 1 << k for k, source in enumerate(dict.fromkeys(s for _, _, m in sets.values() for s, _ in m))}
+    left = sorted(((sum(names[s] for s, _ in m), frozenset(c), frozenset(a), m) for c, a, m in sets.values()), key=lambda s: -len(s[3]))
+    # sets of the same sources, classes and alleles are alike but for their order
+    alike: dict[int, dict[tuple, deque[int]]] = {}
+    for k, (mask, classes, alleles, _) in enumerate(left):
+        alike.setdefault(mask, {}).setdefault((classes, alleles), deque()).append(k)
+    scores: dict[tuple, int] = {}
+    taken, out = [False] * len(left), []
+    for k, (mask, classes, alleles, members) in enumerate(left):
+        if taken[k]:
+            continue
+        same = alike[mask][classes, alleles]
+        same.popleft()
+        if not same:
+            del alike[mask][classes, alleles]
+        while True:
+            best, found = (0, 0, 0), None
+            for other, kinds in alike.items():
+                if other & mask or (4, other.bit_count()) < best[:2]:
+                    continue
+                for (theirs, alts), places in kinds.items():
+                    if mode & SOME and classes == theirs and alleles & alts:
+                        score = 4
+                    elif (score := scores.get((classes, theirs), -1)) < 0:
+                        score = scores[classes, theirs] = min(pair_score(a, b, mode) for a in classes for b in theirs)
+                    rank = (score, other.bit_count(), -places[0])
+                    if score and (found is None or rank > best):
+                        best, found = rank, (other, theirs, alts)
+            if found is None:
+                break
+            other, theirs, alts = found
+            at = alike[other][theirs, alts].popleft()
+            if not alike[other][theirs, alts]:
+                del alike[other][theirs, alts]
+            taken[at] = True
+            mask, classes, alleles, members = mask | other, classes | theirs, alleles | alts, members + left[at][3]
+        out.append(sorted(members))
     return sorted(out)
 
 
