@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.sequence import reference_length
 from spanforge.operators.stretches import islands
+from spanforge.shared import pieces
 
 
 def _walk(cigar: Column) -> Column:
@@ -103,7 +104,8 @@ def capped(records: DataFrame, most: int, columns: list[str], bits: int = 20) ->
             yield b[pd.Series(keep, index=b.index, dtype=bool)]
 
     rows = islands(records.select(*columns), ["beg", "voff"], bits)
-    rows = rows.repartition("contig", "island").sortWithinPartitions("contig", "voff").select(*columns)
+    tasks = pieces(records)
+    rows = (rows.repartition(tasks, "contig", "island") if tasks else rows.repartition("contig", "island")).sortWithinPartitions("contig", "voff").select(*columns)
     return rows.mapInPandas(run, rows.schema)
 
 
